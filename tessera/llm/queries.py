@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontaminate, language_id, near_dedup, quality, secret_scan, token_counts, vector_dedup
+from . import byte_bpe, chat, decontaminate, language_id, near_dedup, quality, secret_scan, token_counts, vector_dedup
 from .common import table
 
 
@@ -34,6 +34,12 @@ def op7_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.95)
 
 
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = spark.createDataFrame([(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    return chat.digests(chat.chat_format(chat.messages_as_events(rows)))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), per_class=700)
 
@@ -49,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language_id": op5_language_id,
     "op6_secret_scan": op6_secret_scan,
     "op7_vector_dedup": op7_vector_dedup,
+    "op8_chat_format": op8_chat_format,
     "op9_quality": op9_quality,
     "op10_decontaminate": op10_decontaminate,
 }
