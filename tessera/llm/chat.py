@@ -136,12 +136,14 @@ def ordered(events: DataFrame) -> DataFrame:
 def folded(events: DataFrame) -> DataFrame:
     """conv_id, message, role, text: the final messages of a log."""
     ddl = "conv_id long, message long, role string, text string"
-    return ordered(events).mapInArrow(lambda batches: batched(fold(columns(batches)), arrow(ddl)), ddl)
+    schema = arrow(ddl)
+    return ordered(events).mapInArrow(lambda batches: batched(fold(columns(batches)), schema), ddl)
 
 
 def chat_format(events: DataFrame) -> DataFrame:
     """conv_id, piece, formatted, mask: the rendered conversations of a log, sorted within partitions."""
-    return ordered(events).mapInArrow(lambda batches: batched(pieces(fold(columns(batches))), arrow(PIECES)), PIECES)
+    schema = arrow(PIECES)
+    return ordered(events).mapInArrow(lambda batches: batched(pieces(fold(columns(batches))), schema), PIECES)
 
 
 def messages_as_events(rows: DataFrame) -> DataFrame:
@@ -171,4 +173,5 @@ def read_back(rows: Iterable[tuple]) -> Iterator[tuple]:
 
 def digests(formatted: DataFrame) -> DataFrame:
     """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, read back from ``chat_format``'s result."""
-    return formatted.mapInArrow(lambda batches: batched(read_back(columns(batches)), arrow(DIGESTS)), DIGESTS)
+    schema = arrow(DIGESTS)
+    return formatted.mapInArrow(lambda batches: batched(read_back(columns(batches)), schema), DIGESTS)
