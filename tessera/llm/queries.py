@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, chat, decontaminate, language_id, near_dedup, quality, secret_scan, token_counts, vector_dedup
+from . import byte_bpe, chat, decontaminate, language_id, near_dedup, quality, secret_scan, token_counts, token_file, vector_dedup
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op4_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_file.read_tokens(token_file.write_tokens(table(spark, sf_dir, "documents"), end_id=2))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(table(spark, sf_dir, "documents"), per_language=300)
 
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_token_counts": op2_token_counts,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_token_file": op4_token_file,
     "op5_language_id": op5_language_id,
     "op6_secret_scan": op6_secret_scan,
     "op7_vector_dedup": op7_vector_dedup,
