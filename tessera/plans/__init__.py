@@ -1 +1,6 @@
-"""Plans of the engine."""
+"""Queries of the engine over the driver's tables."""
+
+from . import queries_a, queries_b, queries_c, queries_d  # noqa: F401
+from .registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]

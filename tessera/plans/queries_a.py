@@ -95,9 +95,9 @@ def p2(spark, d):
     return asked.join(alias, "asked", "left").withColumn("slug", F.coalesce("slug", "asked")).join(f, "slug", "left").select("asked", "fund_id")
 
 
-@plan("p4_deals_of_fund", "SELECT order_id, line, round(amount, 2) AS amount, deal_year, CASE WHEN amount >= 50000 THEN 'large' ELSE 'small' END AS size_class FROM deals WHERE fund_id = 3")
+@plan("p4_deals_of_fund", "SELECT order_id, line, round(amount, 4) AS amount, deal_year, CASE WHEN amount >= 50000 THEN 'large' ELSE 'small' END AS size_class FROM deals WHERE fund_id = 3")
 def p4(spark, d):
-    return E(spark, d).deals.where("fund_id = 3").select("order_id", "line", F.round("amount", 2).alias("amount"), "deal_year", F.when(F.col("amount") >= 50000, "large").otherwise("small").alias("size_class"))
+    return E(spark, d).deals.where("fund_id = 3").select("order_id", "line", F.round("amount", 4).alias("amount"), "deal_year", F.when(F.col("amount") >= 50000, "large").otherwise("small").alias("size_class"))
 
 
 @plan("p5_type_exclusion", "SELECT signal_id, type FROM signals WHERE type <> 'website_change'")

@@ -332,9 +332,9 @@ def a21(spark, d):
     return every.groupBy("who").agg(F.count("*").alias("n"), F.min("y").alias("first_year"), F.sum("lead").alias("led"))
 
 
-@plan("a22_deals_per_fund", "SELECT fund_id, count(*) AS n, round(sum(amount), 2) AS total FROM deals GROUP BY fund_id")
+@plan("a22_deals_per_fund", "SELECT fund_id, count(*) AS n, round(sum(amount), 4) AS total FROM deals GROUP BY fund_id")
 def a22(spark, d):
-    return E(spark, d).deals.groupBy("fund_id").agg(F.count("*").alias("n"), F.round(F.sum("amount"), 2).alias("total"))
+    return E(spark, d).deals.groupBy("fund_id").agg(F.count("*").alias("n"), F.round(F.sum("amount"), 4).alias("total"))
 
 
 @plan("a23_people_stats", "SELECT c_nationkey, count(*) AS people, count(*) FILTER (c_mktsegment = 'BUILDING') AS building, count(*) FILTER (c_acctbal > 5000) AS senior, round(avg(nullif(c_acctbal, 0)), 1) AS mean_balance FROM customer GROUP BY c_nationkey")
