@@ -127,7 +127,7 @@ def stop_word_share(c: Column, stop: list[str]) -> Column:
 
 def once_per_sentence(c: Column, share: float = 0.6) -> Column:
     """Sentences of which at least ``share`` of the words occurred in sentences kept before are dropped; the rest joined by spaces."""
-    sentences = F.filter(F.transform(F.split(c, r"[.!?\n]+"), F.trim), lambda s: s != "")
+    sentences = F.filter(F.transform(F.split(c, r"[.!?\n]+"), lambda x: F.trim(x)), lambda s: s != "")
     start = F.struct(F.array().cast("array<string>").alias("seen"), F.array().cast("array<string>").alias("kept"))
 
     def step(acc: Column, s: Column) -> Column:

@@ -40,4 +40,4 @@ def at_path(state: Column, path: str, kind: str = "string") -> Column:
 def items(html: Column) -> Column:
     """Names on cards, logos and list entries: figure captions, image alternatives and list items, in that order, distinct and not blank."""
     found = F.flatten(F.array(*(F.regexp_extract_all(html, F.lit(p), 1) for p in (r"(?is)<figcaption[^>]*>\s*([^<]+?)\s*</figcaption>", r'(?is)<img[^>]*\balt="([^"]+)"', r"(?is)<li[^>]*>\s*(?:<a[^>]*>)?\s*([^<]+?)\s*<"))))
-    return F.array_distinct(F.filter(F.transform(found, F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(found, lambda x: F.trim(x)), lambda x: x != ""))
