@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, chat, decontaminate, language_id, near_dedup, quality, secret_scan, token_counts, token_file, vector_dedup
+from . import byte_bpe, chat, decontaminate, language_id, near_dedup, oracles, quality, secret_scan, token_counts, token_file, vector_dedup
 from .common import table
 
 
@@ -66,4 +66,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: DuckDB SQL, where SQL can express an operator.
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op1_near_dedup": oracles.NEAR_DEDUP,
+    "op7_vector_dedup": oracles.VECTOR_DEDUP,
+    "op8_chat_format": oracles.CHAT_FORMAT,
+}
