@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import components, cut
 
 #: Blocks of coordinates, members of one part of a cell, and vectors for which the grid has two coordinates; four times as many add one; candidates verified at once.
-BLOCKS, PART, TWO, CANDIDATES = 8, 2048, 100_000, 1 << 15
+BLOCKS, PART, TWO, CANDIDATES = 8, 4096, 12_000, 1 << 15
 
 
 def rotation(dim: int) -> np.ndarray:
@@ -48,10 +48,12 @@ def slack(cosine: float) -> float:
 
 
 def unit(raw: list[bytes], kind: str, dim: int) -> np.ndarray:
-    """Vectors in double precision, scaled by their largest component and then to length 1."""
+    """Vectors in double precision, scaled to length 1."""
     x = np.frombuffer(b"".join(raw), kind).reshape(-1, dim).astype("f8")
-    x /= np.abs(x).max(1, keepdims=True)
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
+    if kind == "f8":  # squares of single-precision numbers don't overflow
+        x /= np.abs(x).max(1, keepdims=True)
+    x /= np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+    return x
 
 
 def gridded(dim: int, kind: str, cosine: float, axes: int):
@@ -98,11 +100,11 @@ def matched(dim: int, kind: str, cosine: float):
         budget = slack(cosine) / len(blocks)
         k, ids, part = t["block"][0].as_py(), t["vec_id"].to_numpy(), t["part"].to_numpy()
         x = unit(t["raw"].to_pylist(), kind, dim)
-        y = x @ turn
         # The first part is of home vectors; pairs within a part are compared where it is paired with itself.
         lo, hi = t["i"][0].as_py(), t["j"][0].as_py()
         left, right = np.nonzero(part == lo)[0], np.nonzero(part == hi)[0]
-        z = y[:, blocks[k]].astype("f4")
+        own_block = x @ turn[:, blocks[k]]
+        z = own_block.astype("f4")
         half = (z * z).sum(1) / 2
         count, label, joins = np.zeros(len(ids), np.int64), np.arange(len(ids)), []
         for at in range(0, len(left), 512):
@@ -112,10 +114,12 @@ def matched(dim: int, kind: str, cosine: float):
                 a, b = own[p[start : start + CANDIDATES]], right[q[start : start + CANDIDATES]]
                 if lo == hi:
                     a, b = a[a < b], b[a < b]
-                fits = ((y[a][:, blocks[k]] - y[b][:, blocks[k]]) ** 2).sum(1) <= budget
-                for s in blocks[:k]:
-                    fits &= ((y[a][:, s] - y[b][:, s]) ** 2).sum(1) > budget
+                fits = ((own_block[a] - own_block[b]) ** 2).sum(1) <= budget
                 a, b = a[fits], b[fits]
+                for s in blocks[:k]:
+                    if len(a):
+                        later = (((x[a] - x[b]) @ turn[:, s]) ** 2).sum(1) > budget
+                        a, b = a[later], b[later]
                 ok = ((x[a] * x[b]).sum(1) >= cosine) & (ids[a] != ids[b])
                 a, b = a[ok], b[ok]
                 count += np.bincount(a, minlength=len(ids)) + np.bincount(b, minlength=len(ids))
@@ -143,7 +147,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
     if not sizes:
         return v.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     dim, n = sizes[0].dim, sizes[0].n
-    axes = max(1, min(-(-dim // BLOCKS), 2 + max(0, math.ceil(math.log(n / TWO, 4)))))
+    axes = max(1, min(-(-dim // BLOCKS), 2 + max(0, math.floor(math.log(n / TWO, 4)))))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -157,7 +161,8 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
     # Home parts are numbered 0..homes-1, guests' parts follow; a home part meets each part from its own on, guests meet homes alone.
     parts = parts.withColumn("other", F.explode(F.expr("if(home, sequence(0L, homes + guests - 1), sequence(0L, homes - 1))")))
     pairs = parts.withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")})
-    found = cut(pairs.groupBy("block", "cell", "i", "j").applyInArrow(matched(dim, kind, cosine), "vec_id long, links long, partner long"))
+    # Dealt by the pair of parts: a cell of any size is spread over as many tasks as it has pairs.
+    found = cut(pairs.repartition("block", "cell", "i", "j").groupBy("block", "cell", "i", "j").applyInArrow(matched(dim, kind, cosine), "vec_id long, links long, partner long"))
     links = found.where("links is not null").groupBy("vec_id").agg(F.sum("links").alias("links"))
     parts_of = components(found.where("partner is not null").select(F.col("vec_id").alias("a"), F.col("partner").alias("b"))).withColumnRenamed("node", "vec_id")
     out = v.select("vec_id").join(links, "vec_id", "left").join(parts_of, "vec_id", "left")
