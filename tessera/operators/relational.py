@@ -125,23 +125,29 @@ def islands(df: DataFrame, keys: Sequence[str], order: Sequence[Column], flag: C
     return d.withColumn(out, F.when(F.col("_flag"), F.sum(F.when(F.col("_flag"), 1).otherwise(0)).over(run)).otherwise(0).cast("long")).drop("_flag", "_g")
 
 
-def pairs_by_word(df: DataFrame, scope: Sequence[str], id_: str, words: str, at: str, near: Sequence[tuple[int, float]], unknown: float, least_words: int = 1) -> DataFrame:
-    """Candidate duplicates within a scope: pairs (a < b by id) that share words, with their overlap over the smaller set and the days between.
+def pairs_by_word(df: DataFrame, scope: Sequence[str], id_: str, words: str, at: str, near: Sequence[tuple[int, float]], unknown: float) -> DataFrame:
+    """Candidate duplicates within a scope: pairs (a < b by id) with their common words, overlap over the smaller set, and days between.
 
-    ``near`` lists (days, overlap); undated pairs need ``unknown``. Rows meet through their shared words, so the join is by equality and counting is
-    combined before its shuffle; no two rows of a scope meet without a common word.
+    ``near`` lists (days, overlap); undated pairs need ``unknown``. A pair that shares k of the smaller set's n words shares one of that set's
+    n - k + 1 rarest, so the smaller rows meet others through those alone: frequent words bring no candidates, and no pair is lost.
     """
-    rows = df.select(*scope, id_, F.col(words).alias("_w"), F.col(at).alias("_t")).where(F.size("_w") >= least_words)
-    word = rows.select(*scope, id_, F.size("_w").alias("_n"), "_t", F.explode("_w").alias("_x"))
-    a = word.select(*scope, F.col(id_).alias("a"), F.col("_n").alias("na"), F.col("_t").alias("ta"), "_x")
-    b = word.select(*scope, F.col(id_).alias("b"), F.col("_n").alias("nb"), F.col("_t").alias("tb"), "_x")
-    far = max(d for d, _ in near)
-    in_reach = F.col("ta").isNull() | F.col("tb").isNull() | (F.abs(F.datediff("ta", "tb")) <= far)
-    both = a.join(b, [*scope, "_x"]).where((F.col("a") < F.col("b")) & in_reach)
-    n = both.groupBy(*scope, "a", "b", "na", "nb", "ta", "tb").agg(F.count("*").alias("common"))
-    ratio = F.col("common") / F.least("na", "nb")
-    days = F.abs(F.datediff("ta", "tb"))
+    low, far = min(unknown, *(r for _, r in near)), max(d for d, _ in near)
+    rows = df.select(*scope, F.col(id_).alias("i"), F.array_distinct(words).alias("w"), F.col(at).alias("t")).where(F.size("w") > 0)
+    each = rows.select(*scope, "i", F.explode("w").alias("x"))
+    rare = each.groupBy(*scope, "x").agg(F.count("*").alias("f"))
+    ranked = each.join(rare, [*scope, "x"]).groupBy(*scope, "i").agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "x"))), lambda s: s.x).alias("r"))
+    need = F.ceil(low * F.size("r") - 1e-9).cast("int")
+    heads = ranked.select(*scope, "i", F.explode(F.slice("r", F.lit(1), F.size("r") - need + 1)).alias("x"))
+    side = lambda p: [F.col(c).alias(f"{p}{c}") for c in ("i", "w", "t")]
+    a = heads.join(rows, [*scope, "i"]).select(*scope, "x", *side("a"))
+    b = each.join(rows, [*scope, "i"]).select(*scope, "x", *side("b"))
+    na, nb = F.size("aw"), F.size("bw")
+    in_reach = F.col("at").isNull() | F.col("bt").isNull() | (F.abs(F.datediff("at", "bt")) <= far)
+    both = a.join(b, [*scope, "x"]).where(((na < nb) | ((na == nb) & (F.col("ai") < F.col("bi")))) & in_reach)
+    common = F.size(F.array_intersect("aw", "bw"))
+    ratio, days = common / na, F.abs(F.datediff("at", "bt"))
     ok = F.coalesce(days.isNull() & (ratio >= unknown), F.lit(False))
     for d, r in near:
         ok = ok | F.coalesce((days <= d) & (ratio >= r), F.lit(False))
-    return n.where(ok).select(*scope, "a", "b", F.col("common").cast("long"), F.round(ratio, 4).alias("ratio"), days.cast("long").alias("days"))
+    found = both.where(ok).select(*scope, F.least("ai", "bi").alias("a"), F.greatest("ai", "bi").alias("b"), common.cast("long").alias("common"), F.round(ratio, 4).alias("ratio"), days.cast("long").alias("days"))
+    return found.dropDuplicates([*scope, "a", "b"])

@@ -47,13 +47,13 @@ def d4(spark, d):
     return X.greedy_merge(x, "doc_id", ["k1", "k2", "k3"], [F.col("doc_id")], "source").select("doc_id", "sources")
 
 
-@plan("d6_near_pairs", """, w AS (SELECT signal_id, fund_id, published_at AS t, string_split('a' || company_id % 3 || ' b' || company_id % 5 || ' c' || company_id % 4 || ' ' || type, ' ') AS w FROM signals WHERE company_id < 60)
+@plan("d6_near_pairs", """, w AS (SELECT signal_id, fund_id, published_at AS t, string_split('a' || company_id || ' b' || url_id || ' c' || company_id % 40 || ' ' || type, ' ') AS w FROM signals)
 , p AS (SELECT a.fund_id, a.signal_id AS a, b.signal_id AS b, len(list_intersect(a.w, b.w)) AS common, len(list_intersect(a.w, b.w)) / 4.0 AS ratio, abs(date_diff('day', CAST(a.t AS DATE), CAST(b.t AS DATE))) AS days FROM w a JOIN w b ON a.fund_id = b.fund_id AND a.signal_id < b.signal_id)
 SELECT fund_id, a, b, common, round(ratio, 4) AS ratio, days FROM p WHERE (days IS NULL AND ratio >= 0.6) OR (days <= 3 AND ratio >= 0.4) OR (days <= 7 AND ratio >= 0.5)""")
 def d6(spark, d):
     """Near-duplicate pairs: overlap 0.4 within 3 days, 0.5 within 7, 0.6 undated."""
-    s = E(spark, d).signals.where("company_id < 60")
-    words = F.array(F.concat(F.lit("a"), F.col("company_id") % 3), F.concat(F.lit("b"), F.col("company_id") % 5), F.concat(F.lit("c"), F.col("company_id") % 4), F.col("type"))
+    s = E(spark, d).signals
+    words = F.array(F.concat(F.lit("a"), "company_id"), F.concat(F.lit("b"), "url_id"), F.concat(F.lit("c"), F.col("company_id") % 40), F.col("type"))
     return R.pairs_by_word(s.select("fund_id", "signal_id", words.alias("w"), F.col("published_at").alias("t")), ["fund_id"], "signal_id", "w", "t", [(3, 0.4), (7, 0.5)], 0.6)
 
 
