@@ -88,15 +88,22 @@ def tokens_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def bitmap(item: DataFrame) -> np.ndarray:
-    """Bits set by the items' seeds, in one array of 2**BITS bits: aggregated in parts of 4 KB, of which there are 512 at most."""
-    bit = F.shiftrightunsigned("h", 64 - BITS)
-    rows = item.select((bit / BUCKET).cast("long").alias("part"), (bit % BUCKET).alias("bit")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()
+    """Bits set by the items' seeds, two a seed, in one array of 2**BITS bits: aggregated in parts of 4 KB, of which there are 512 at most."""
+    both = F.array(F.shiftrightunsigned("h", 64 - BITS), F.shiftrightunsigned("h", 64 - 2 * BITS).bitwiseAND(F.lit((1 << BITS) - 1)))
+    bit = item.select(F.explode(both).alias("bit"))
+    rows = bit.select((F.col("bit") / BUCKET).cast("long").alias("part"), (F.col("bit") % BUCKET).alias("bit")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()
     out = np.zeros(1 << BITS >> 3, np.uint8)
     for r in rows:
         out[r.part * BUCKET // 8 : (r.part + 1) * BUCKET // 8] = np.frombuffer(r.bits, np.uint8)
     return out
 
 
+def may_hit(h: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Positions of hashes both of whose bits are set."""
+    i = np.nonzero(bits[h >> np.uint64(64 - BITS)])[0]
+    return i[bits[h[i] >> np.uint64(64 - 2 * BITS) & np.uint64((1 << BITS) - 1)]]
+
+
 REGION_ROW = "doc_id long, first long, words binary, hits array<struct<at: int, h: long>>"
 
 
@@ -105,7 +112,7 @@ def regions_of(key: int, words: np.ndarray, bits: np.ndarray) -> Iterator[tuple]
     at, hashes = [], []
     for h in seeds(words):
         if len(h):
-            i = np.nonzero(bits[h >> np.uint64(64 - BITS)])[0]
+            i = may_hit(h, bits)
             at.append(i)
             hashes.append(h[i])
     if not at or not sum(map(len, at)):
