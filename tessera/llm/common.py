@@ -46,9 +46,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(where)
 
 
-def ascii_lower(c):
-    """Lower-cases A-Z alone."""
-    return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+def spread(df: DataFrame) -> DataFrame:
+    """Deals a scan of fewer partitions than there are cores to all of them, before costly work on each row; larger inputs and
+    anything but a plain scan stay as they are."""
+    node = df._jdf.queryExecution().optimizedPlan()
+    while node.nodeName() in ("Project", "Filter"):
+        node = node.children().head()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if "Relation" in node.nodeName() and df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
 
 
 def per_text(schema: str, make: Callable[[], Callable[[int, str | None], tuple]], key: str = "doc_id", text: str = "text") -> Callable[[DataFrame], DataFrame]:
@@ -71,7 +78,7 @@ def per_text(schema: str, make: Callable[[], Callable[[int, str | None], tuple]]
         from pyspark.sql.types import StructType
 
         kinds = [to_arrow_type(f.dataType) for f in StructType.fromDDL(schema)]
-        return df.select(key, text).mapInArrow(rows, schema)
+        return spread(df.select(key, text)).mapInArrow(rows, schema)
 
     return run
 

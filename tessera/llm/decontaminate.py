@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, spread
 
 #: Fixed masks, all of weight 6.
 MASKS = ("111111", "1101011001", "111010011", "110010101001")
@@ -174,7 +174,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 10) -> Data
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=kinds[i].type) for i, c in enumerate(zip(*found))], schema=kinds)
 
-    region = cut(docs.select("doc_id", "text").mapInArrow(find, REGION_ROW))
+    region = cut(spread(docs.select("doc_id", "text")).mapInArrow(find, REGION_ROW))
     hits = region.select("doc_id", "first", F.inline("hits").alias("doc_at", "h")).join(item, "h")
     pairs = hits.groupBy("doc_id", "first", "item_id").agg(F.collect_set(F.col("doc_at") - F.col("at")).alias("diagonals"))
     tokens = benchmark.select("item_id", "text").mapInArrow(tokens_of, "item_id long, item_words binary")

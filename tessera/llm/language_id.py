@@ -22,6 +22,8 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import spread
+
 #: Hashed features have 2**BITS buckets; lexicon words of each language; words of a training sequence; words of a segment in prediction.
 BITS, LEXICON, LENGTH, SEGMENT = 15, 400, 24, 128
 WORD = re.compile(r"[^\W\d_]+")
@@ -252,7 +254,7 @@ def identify(docs: DataFrame, tagger: Tagger) -> DataFrame:
                 got = t.predict(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x for x, _ in got], pa.string()), pa.array([x for _, x in got], pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, lang_pred string, score double")
+    return spread(docs.select("doc_id", "text")).mapInArrow(rows, "doc_id long, lang_pred string, score double")
 
 
 def language_id(docs: DataFrame, per_language: int = 300) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, written
+from .common import components, cut, spread, written
 
 #: Registers, bands and registers of a band; base and rate of the sketch.
 M, BANDS, ROWS, BASE, RATE = 256, 42, 6, 1.02, 20.0
@@ -173,7 +173,7 @@ def member_sets(docs: DataFrame, members: DataFrame, k: int) -> DataFrame:
                 if sets:
                     yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in sets], pa.int64()), pa.array([h.tobytes() for _, h in sets], pa.binary()), pa.array([sketch(h).tobytes() for _, h in sets], pa.binary())], names=["doc_id", "own", "regs"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, own binary, regs binary")
+    return spread(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, own binary, regs binary")
 
 
 def linked(inter, a, b, percent: int):
@@ -253,7 +253,7 @@ def links_within(t: pa.Table, percent: int) -> list[tuple[int, int]]:
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of ``docs(doc_id, text)``; documents are linked if
     100 * |intersection| >= percent * |union| of their sets of k-word shingles."""
-    feats = written(docs.select("doc_id", "text").mapInArrow(described(k), "doc_id long, n long, f1 long, f2 long, bands array<long>"), "sets")
+    feats = written(spread(docs.select("doc_id", "text")).mapInArrow(described(k), "doc_id long, n long, f1 long, f2 long, bands array<long>"), "sets")
     sets = ["f1", "f2", "n"]
     real = feats.where("n > 0 and doc_id is not null")
     nodes = real.groupBy(*sets).agg(F.min("doc_id").alias("node"), F.min_by("bands", "doc_id").alias("bands"))

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import spread
 from .language_id import crc_mod, parts
 
 #: Filters, hidden units, bytes of a filter; positions (of two bytes) pooled together, two of which make a chunk; positions handled at once.
@@ -180,7 +181,7 @@ def scored(docs: DataFrame, net: Network) -> DataFrame:
             for part in parts(b, 2_000_000):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(net.scores(part.column(1).to_pylist()), pa.float64())], names=["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, score double")
+    return spread(docs.select("doc_id", "text")).mapInArrow(rows, "doc_id long, score double")
 
 
 def trained(docs: DataFrame, labels: DataFrame, per_class: int = 700) -> Network:
@@ -206,4 +207,4 @@ def good(docs: DataFrame, labels: DataFrame, per_class: int = 700) -> DataFrame:
             keep = [net.scores(part.column(0).to_pylist()) >= 0.5 for part in parts(pa.RecordBatch.from_arrays([b.column(at)] * 2, names=["t", "text"]), 2_000_000)]
             yield b.filter(pa.array(np.concatenate(keep) if keep else [], pa.bool_()))
 
-    return docs.mapInArrow(rows, StructType.fromJson(docs.schema.jsonValue()))
+    return spread(docs).mapInArrow(rows, StructType.fromJson(docs.schema.jsonValue()))

@@ -21,7 +21,7 @@ from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame
 
-from .common import per_text
+from .common import per_text, spread
 
 KINDS = ("assign", "access", "hex", "format")
 #: The base kinds, and the credential alphabet.
@@ -258,4 +258,4 @@ def redact(docs: DataFrame, model: Model | None = None, mark: str = "[SECRET]")
         for b in batches:
             yield b.set_column(at, b.schema.field(at), pa.array([one(None, t)[1] for t in b.column(at).to_pylist()], type=b.schema.field(at).type))
 
-    return docs.mapInArrow(rows, schema)
+    return spread(docs).mapInArrow(rows, schema)
