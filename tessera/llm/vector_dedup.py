@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import components, cut
 
 #: Blocks of coordinates, members of one part of a cell, and vectors for which the grid has two coordinates; four times as many add one; candidates verified at once.
-BLOCKS, PART, TWO, CANDIDATES = 8, 4096, 12_000, 1 << 15
+BLOCKS, PART, TWO, CANDIDATES = 8, 16384, 50_000, 1 << 15
 
 
 def rotation(dim: int) -> np.ndarray:
