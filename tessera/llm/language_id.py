@@ -5,7 +5,7 @@ neighbouring words, so that code-switched text gets one language per word, by fo
 document's language is the one with the highest mean marginal probability over its words, which is also its score.
 
 A null text and one without a letter get ``und`` and score 0. A table without labelled rows teaches no language: all get
-``und``. Repeated rows give repeated results; extra columns are ignored. The model is fitted on the driver from at most
+``und``. A null doc_id is neither learnt from nor held out. Repeated rows give repeated results; extra columns are ignored. The model is fitted on the driver from at most
 ``per_language`` labelled documents of each language, the first by hash of doc_id; prediction is one pass in the scan's own tasks.
 """
 
@@ -260,4 +260,4 @@ def identify(docs: DataFrame, tagger: Tagger) -> DataFrame:
 def language_id(docs: DataFrame, per_language: int = 300) -> DataFrame:
     """doc_id, held_out, lang_pred, score: learns where crc32(doc_id) mod 5 is not 0, predicts every row."""
     tagger = fit(training_rows(docs, crc_mod(5) != 0, per_language))
-    return identify(docs, tagger).select("doc_id", (crc_mod(5) == 0).alias("held_out"), "lang_pred", "score")
+    return identify(docs, tagger).select("doc_id", F.coalesce(crc_mod(5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")

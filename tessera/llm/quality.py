@@ -6,7 +6,7 @@ probability. The network is fitted on the driver from at most ``per_class`` labe
 first by hash of doc_id, and shipped to the tasks; scoring is one pass in the scan's own tasks over whole texts.
 
 A null text is an empty one; empty texts get the network's score of no bytes. Where labels hold fewer than two classes, all score 0.5.
-Labels repeated for a document count once, the larger one. Repeated rows give repeated results; extra columns are ignored.
+Labels repeated for a document count once, the larger one. A null doc_id is not held out. Repeated rows give repeated results; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -191,7 +191,7 @@ def trained(docs: DataFrame, labels: DataFrame, per_class: int = 700) -> Network
 
 def quality(docs: DataFrame, labels: DataFrame, per_class: int = 700) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of ``docs(doc_id, text)``."""
-    return scored(docs, trained(docs, labels, per_class)).select("doc_id", (crc_mod(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return scored(docs, trained(docs, labels, per_class)).select("doc_id", F.coalesce(crc_mod(3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def good(docs: DataFrame, labels: DataFrame, per_class: int = 700) -> DataFrame:
