@@ -33,13 +33,13 @@ from .common import written
 VOCABULARY, SPECIAL = "byte_bpe_50k.json", re.compile(r"(<\|endoftext\|>)")
 MAGIC = b"TCM1"
 #: Ids of a block, lanes coded side by side, slots of the order-1 and order-2 tables, highest confidence, pieces a worker keeps.
-LENGTH, LANES, SLOTS, SURE, PIECES = 4096, 1024, 2048, 7, 300_000
+LENGTH, LANES, SLOTS, SURE, PIECES = 2048, 4096, 1024, 7, 300_000
 #: Bits of flag and step probabilities, smallest step frequency, and the shifts by which they follow what they see.
 FLAG, STEP, LEAST, FAST, SLOW = 16, 15, 32, 4, 5
 #: Rows of the last step are hashed, so a lane's model stays in the cache.
-LAST = 1024
+LAST = 256
 NODES = 1 + 16 + 256 + LAST
-FULL = np.uint64(32)
+FULL, BYTES = np.uint64(32), np.uint64(0x0101010101010101)
 SCHEMA = "part int, row int, doc_ids array<long>, lengths array<int>, coded binary"
 
 
@@ -127,7 +127,7 @@ def coded(ids: np.ndarray, n: np.ndarray, coder) -> None:
     # A step's row holds the lower bounds of its 16 symbols; a row moves towards the bounds that would make the seen symbol surest.
     aim = (step[None, :] * LEAST + (step[None, :] > step[:, None]) * ((1 << STEP) - 16 * LEAST)).astype(np.int16)
     rows = np.tile((step * (1 << STEP - 4)).astype(np.int16), (lanes * NODES, 1))
-    flat = rows.reshape(-1)
+    flat, whole = rows.reshape(-1), rows.view("V32").reshape(-1)
     one, two = np.zeros(lanes * SLOTS, np.int32), np.zeros(lanes * SLOTS, np.int32)
     states = SURE + 1
     by_two = np.full(lanes * states, 1 << FLAG - 3, np.int32)
@@ -178,10 +178,12 @@ def coded(ids: np.ndarray, n: np.ndarray, coder) -> None:
         node, base = np.zeros(len(left), np.int64), left * NODES
         for level, first in enumerate((0, 1, 17, 0)):
             at = base + (first + node if level < 3 else 273 + (node * 40503 >> 4 & LAST - 1))
-            row = rows.take(at, axis=0)
+            row = whole.take(at).view(np.int16).reshape(-1, 16)
             if reading:
                 v = coder.peek(STEP).astype(np.int16)
-                symbol = (row <= v[:, None]).sum(1) - 1
+                # The bounds at or below v, counted by adding up the bytes of the comparison.
+                under = (row <= v[:, None]).view(np.uint64)
+                symbol = ((under[:, 0] + under[:, 1]) * BYTES >> np.uint64(56)).astype(np.int64) - 1
                 y = y << 4 | symbol
                 node = y
             else:
@@ -191,8 +193,8 @@ def coded(ids: np.ndarray, n: np.ndarray, coder) -> None:
             start = flat.take(place).astype(np.int64)
             end = np.where(symbol == 15, np.int64(1 << STEP), flat.take(place + 1, mode="clip").astype(np.int64))
             coder.code(start.astype(np.uint64), (end - start).astype(np.uint64), STEP)
-            row += aim[symbol] - row >> FAST
-            rows[at] = row
+            row += aim.take(symbol, axis=0) - row >> FAST
+            whole[at] = row.view("V32").reshape(-1)
         coder.save()
         if reading:
             x[left] = y
