@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import sentences
+
 #: Legal endings of company names, stripped up to three times from the end.
 LEGAL_ENDINGS = r"s\.?p\.?a\.?|s\.?r\.?l\.?|s\.?a\.?s\.?|s\.?n\.?c\.?|ltd\.?|llc\.?|inc\.?|gmbh\.?|ag\.?|b\.?v\.?|n\.?v\.?|plc\.?|corp\.?|corporation|company|group|gruppo|holding|holdings|partecipazioni"
 #: Words that carry no meaning in titles of this field.
@@ -126,17 +129,14 @@ def stop_word_share(c: Column, stop: list[str]) -> Column:
 
 
 def once_per_sentence(c: Column, share: float = 0.6) -> Column:
-    """Sentences of which at least ``share`` of the words occurred in sentences kept before are dropped; the rest joined by spaces."""
-    sentences = F.filter(F.transform(F.split(c, r"[.!?\n]+"), lambda x: F.trim(x)), lambda s: s != "")
-    start = F.struct(F.array().cast("array<string>").alias("seen"), F.array().cast("array<string>").alias("kept"))
+    """Sentences of which at least ``share`` of the words, or 0.3 if they are Italian, occurred in sentences kept before are dropped, but
+    for those under three words; the rest joined by full stops. In Arrow batches, as a set of words keeps long texts linear."""
 
-    def step(acc: Column, s: Column) -> Column:
-        ws = words(s)
-        old = F.size(F.array_intersect(ws, acc.seen)) >= share * F.size(ws)
-        drop = old & (F.size(ws) > 0)
-        return F.struct(F.when(drop, acc.seen).otherwise(F.array_union(acc.seen, ws)).alias("seen"), F.when(drop, acc.kept).otherwise(F.concat(acc.kept, F.array(s))).alias("kept"))
+    @F.arrow_udf("string")
+    def kept(texts: pa.Array) -> pa.Array:
+        return pa.array((sentences.once(t.as_py() or "", share) for t in texts), pa.string())
 
-    return F.concat_ws(". ", F.aggregate(sentences, start, step, lambda acc: acc.kept))
+    return kept(c)
 
 
 def contexts(c: Column, phrase: str, width: int = 60) -> Column:

@@ -83,8 +83,8 @@ def d12(spark, d):
 
 @plan("d13_sentence_dedup")
 def d13(spark, d):
-    """Sentences that repeat earlier words are dropped."""
-    return E(spark, d).docs.where("n_chars < 2000").select("doc_id", T.once_per_sentence(F.col("text")).alias("text"))
+    """Sentences that repeat earlier words are dropped, in texts of any length."""
+    return E(spark, d).docs.select("doc_id", T.once_per_sentence(F.col("text")).alias("text"))
 
 
 @plan("d14_fingerprint", "SELECT substr(md5(coalesce(title, '') || '|' || coalesce(lang, '')), 1, 12) AS fp, count(*) AS n FROM docs GROUP BY 1 HAVING count(*) > 1")

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import datetime as dt
 import random
+import re
 
 from pyspark.sql import functions as F
 
-from tessera.functions import dates, money, text, urls
+from tessera.functions import dates, money, sentences, text, urls
 from tessera.operators import dedup, relational, sequences, sinks
+from tessera.plans import QUERIES
 from tessera.sources import files, html
 from tessera.streaming import folds, streams
 
@@ -154,3 +156,28 @@ def test_functions(spark):
     assert one(spark, text.once_per_sentence(s("The big cat sat. The big cat sat! Other things happen."))) == "The big cat sat. Other things happen"
     assert one(spark, text.to_english(F.array(s("cede"), s("fondo")))) == ["fund", "sells"] and round(one(spark, text.similarity(s("acme"), s("acme italia"))), 3) == 0.345
     assert one(spark, text.sentence_cut(s("One two. Three four five"), 12)) == "One two."
+
+
+def test_sentence_dedup_is_whole(spark, data):
+    it = "The fund Azimut acquired the company Rossi for growth. Azimut acquisisce la Rossi con un accordo"
+    x = [
+        (it, "The fund Azimut acquired the company Rossi for growth"),
+        ("The fund Azimut acquired the company Rossi. Azimut Rossi delivers steady yearly growth", "The fund Azimut acquired the company Rossi. Azimut Rossi delivers steady yearly growth"),
+        ("The big cat sat there. Big cat. Cat sat big there", "The big cat sat there. Big cat"),
+        ("Una società è. Nata perciò già città. Perciò già città", "Una società è. Nata perciò già città"),
+        (None, ""),
+    ]
+    df = spark.createDataFrame([(t,) for t, _ in x], "t string")
+    assert [r.x for r in df.coalesce(1).select(text.once_per_sentence(F.col("t")).alias("x")).collect()] == [want for _, want in x]
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    got = {r.doc_id: r.text for r in QUERIES["d13_sentence_dedup"](spark, data).collect()}
+    assert len(got) == docs.count() and docs.where("n_chars >= 2000").count() > 0
+    long = docs.orderBy(F.desc("n_chars")).first()
+    kept, seen = [], set()
+    for s in (s.strip(" ") for s in re.split(r"[.!?\n]+", long.text)):
+        ws = set(re.findall(r"\w{3,}", s.lower()))
+        old = len(ws & seen) / len(ws) if len(ws) > 2 else 0
+        if s and old < 0.3 or s and old < 0.6 and not sentences.is_italian(s):
+            kept.append(s)
+            seen |= ws
+    assert got[long.doc_id] == ". ".join(kept)
