@@ -146,7 +146,7 @@ class Tagger:
 
 
 def fit(rows: list[tuple[str, str]], epochs: int = 4, seed: int = 5) -> Tagger:
-    """Fits the field on (text, language): sequences of words, of which a third switch language midway, by Adagrad on the log-likelihood."""
+    """Fits the field on (text, language): sequences of words over the whole of each text, of which a third switch language midway, by Adagrad on the log-likelihood."""
     labels = sorted({lang for _, lang in rows})
     r = np.random.default_rng(seed)
     words = [(WORD.findall(t.lower()), labels.index(lang)) for t, lang in rows]
@@ -160,7 +160,7 @@ def fit(rows: list[tuple[str, str]], epochs: int = 4, seed: int = 5) -> Tagger:
     tagger = Tagger(labels, lexicon)
     if not labels:
         return tagger
-    spans = [(ws[i : i + LENGTH], y) for ws, y in words for i in range(0, min(len(ws), LENGTH * 12), LENGTH) if len(ws[i : i + LENGTH]) >= 2]
+    spans = [(ws[i : i + LENGTH], y) for ws, y in words for i in range(0, len(ws), LENGTH) if len(ws[i : i + LENGTH]) >= 2]
     if not spans:
         return tagger
     every = sorted({w for ws, _ in spans for w in ws})

@@ -227,6 +227,17 @@ def test_language_id(spark, documents, data):
     assert all(0 <= r.score <= 1 for r in got.values())
 
 
+def test_language_id_learns_from_whole_texts():
+    """Texts that open with the same passage of 300 words and differ after it."""
+    r = np.random.default_rng(3)
+    head = " ".join("licence terms apply without any warranty".split() * 50)
+    own = {"aa": "zuvo zaki zemu zoro zinta zulpa".split(), "bb": "quebra quilo quarte quosum quinde quapt".split()}
+    rows = [(head + " " + " ".join(r.choice(ws, 60)), lang) for lang, ws in own.items() for _ in range(12)]
+    assert [x for x, _ in language_id.fit(rows).predict([" ".join(ws) for ws in own.values()])] == list(own)
+    t = language_id.fit(rows)
+    assert min(p for _, p in t.predict([" ".join(ws) for ws in own.values()])) > 0.9
+
+
 def test_language_id_edges(spark):
     lang = ["en", "en", "fr", "fr", None, "en", None, None]
     rows = ["the cat and the dog", "of the and that", "le chat et les chiens", "des une pour avec", None, "", "123 !!", "the le"]
