@@ -10,6 +10,7 @@ from tessera.functions import rules as Q
 from tessera.functions import text as T
 from tessera.functions import urls as U
 from tessera.operators import relational as R
+from tessera.operators.sequences import line_diff
 
 from .entities import Entities as E
 from .registry import plan
@@ -101,13 +102,22 @@ def f23(spark, d):
 
 @plan("f24_line_diff", "SELECT a.doc_id, len(list_filter(string_split(b.text, chr(10)), lambda l: NOT list_contains(string_split(a.text, chr(10)), l))) AS added, len(list_filter(string_split(a.text, chr(10)), lambda l: NOT list_contains(string_split(b.text, chr(10)), l))) AS removed FROM docs a JOIN docs b ON b.doc_id = a.doc_id + 1 WHERE a.n_chars < 500 AND b.n_chars < 500")
 def f24(spark, d):
-    """Lines added and removed between versions; the sequence form with ratio and opcodes is ``operators.sequences``."""
+    """Lines added and removed between versions of under 500 characters, as in its SQL; ``f24_line_diff_whole`` has versions of any
+    length. The sequence form with ratio and opcodes is ``operators.sequences``."""
     x = E(spark, d).docs.where("n_chars < 500").select("doc_id", F.split("text", "\n").alias("a"))
     y = x.select((F.col("doc_id") - 1).alias("doc_id"), F.col("a").alias("b"))
     less = lambda p, q: F.size(F.filter(p, lambda line: ~F.array_contains(q, line))).cast(LONG)
     return x.join(y, "doc_id").select("doc_id", less(F.col("b"), F.col("a")).alias("added"), less(F.col("a"), F.col("b")).alias("removed"))
 
 
+@plan("f24_line_diff_whole")
+def f24_whole(spark, d):
+    """``f24_line_diff`` for versions of any length, by a set of each version's lines; null where a version has no text."""
+    x = E(spark, d).docs.select("doc_id", F.col("text").alias("a"))
+    y = x.select((F.col("doc_id") - 1).alias("doc_id"), F.col("a").alias("b"))
+    return x.join(y, "doc_id").select("doc_id", line_diff(F.col("a"), F.col("b")).alias("n")).select("doc_id", "n.added", "n.removed")
+
+
 @plan("f26_extraction", r"SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9._]+@[A-Za-z0-9.]+\.[a-z]+')) AS mails, len(regexp_extract_all(text, '@([A-Za-z0-9_.]+)')) AS mentions, len(regexp_extract_all(text, '#([A-Za-z0-9_]+)')) AS tags FROM docs")
 def f26(spark, d):
     n = lambda c: F.size(c).cast(LONG)

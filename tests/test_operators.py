@@ -181,3 +181,17 @@ def test_sentence_dedup_is_whole(spark, data):
             kept.append(s)
             seen |= ws
     assert got[long.doc_id] == ". ".join(kept)
+
+
+def test_line_diff_is_whole(spark, data):
+    df = spark.createDataFrame([(1, "a\nb\nb", "b\nc\nc\nd"), (2, "", ""), (3, None, "x"), (4, "x\n", "x")], "id long, o string, n string")
+    got = {r.id: (r.d.added, r.d.removed) for r in df.select("id", sequences.line_diff(F.col("o"), F.col("n")).alias("d")).collect()}
+    assert got == {1: (3, 1), 2: (0, 0), 3: (None, None), 4: (0, 1)}
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    want = {}
+    for i in texts:
+        if i + 1 in texts:
+            a, b = texts[i].split("\n"), texts[i + 1].split("\n")
+            want[i] = (len([x for x in b if x not in a]), len([x for x in a if x not in b]))
+    rows = {r.doc_id: (r.added, r.removed) for r in QUERIES["f24_line_diff_whole"](spark, data).collect()}
+    assert rows == want and len(rows) > 2 * QUERIES["f24_line_diff"](spark, data).count()
