@@ -202,11 +202,20 @@ def u1(spark, d):
 
 @plan("u2_distinct_names", "SELECT fund_id, list(DISTINCT company_id ORDER BY company_id) AS names FROM (SELECT fund_id, company_id FROM items WHERE company_id < 50 UNION SELECT fund_id, company_id FROM signals WHERE company_id < 50) GROUP BY fund_id")
 def u2(spark, d):
+    """Companies under 50 alone, as in its SQL; ``u2_distinct_names_whole`` has all."""
     e = E(spark, d)
     both = e.items.where("company_id < 50").select("fund_id", "company_id").unionByName(e.signals.where("company_id < 50").select("fund_id", "company_id"))
     return both.groupBy("fund_id").agg(F.array_sort(F.collect_set("company_id")).alias("names"))
 
 
+@plan("u2_distinct_names_whole", "SELECT fund_id, list(DISTINCT company_id ORDER BY company_id) AS names FROM (SELECT fund_id, company_id FROM items UNION SELECT fund_id, company_id FROM signals) GROUP BY fund_id")
+def u2_whole(spark, d):
+    """``u2_distinct_names`` over all companies. The pairs are made distinct first, so that a fund's rows are spread."""
+    e = E(spark, d)
+    both = e.items.select("fund_id", "company_id").unionByName(e.signals.select("fund_id", "company_id")).distinct()
+    return both.groupBy("fund_id").agg(F.array_sort(F.collect_list("company_id")).alias("names"))
+
+
 @plan("u6_intersection", "SELECT company_id FROM items INTERSECT SELECT company_id FROM signals")
 def u6(spark, d):
     e = E(spark, d)

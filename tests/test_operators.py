@@ -195,3 +195,13 @@ def test_line_diff_is_whole(spark, data):
             want[i] = (len([x for x in b if x not in a]), len([x for x in a if x not in b]))
     rows = {r.doc_id: (r.added, r.removed) for r in QUERIES["f24_line_diff_whole"](spark, data).collect()}
     assert rows == want and len(rows) > 2 * QUERIES["f24_line_diff"](spark, data).count()
+
+
+def test_distinct_names_are_whole(spark, data):
+    want = {}
+    for r in spark.read.parquet(f"{data}/lineitem.parquet").select("l_suppkey", "l_partkey").collect():
+        want.setdefault(r.l_suppkey, set()).add(r.l_partkey)
+    for r in spark.read.parquet(f"{data}/events.parquet").select("user_id", "event_id").collect():
+        want.setdefault(r.user_id % 10, set()).add(r.event_id % 200)
+    rows = {r.fund_id: r.names for r in QUERIES["u2_distinct_names_whole"](spark, data).collect()}
+    assert rows == {f: sorted(ids) for f, ids in want.items()} and max(max(x) for x in rows.values()) >= 50
