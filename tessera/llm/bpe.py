@@ -17,6 +17,10 @@ import json
 import re
 from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 #: Entries of the worker's caches; a full cache is emptied, so a worker's memory is bounded whatever the corpus.
 PIECES, PAIRS, STEPS = 250_000, 150_000, 300_000
 #: Prefixes up to this length are kept across pieces.
@@ -194,3 +198,77 @@ def byte_symbols() -> str:
 #: Texts of these characters alone take the fast patterns: in them, word characters are letters, digits and _, and both
 #: the standard library and the tokenizers agree on white space and case.
 UNSAFE = re.compile("[^\t\n\r\x20-\x7e\xa0-\xb1\xb4-\xb8\xba\xbb\xbf-įı-ɏ]")
+#: A space before a character that is none: there the split patterns always start a new piece.
+BORDER = re.compile(r" (?=\S)")
+#: In a text without these, and that doesn't end in a space, every space is such a border.
+RUNS = ("  ", " \n", " \t", " \r", " \x0b", " \x0c", " \xa0", " \x85")
+#: Marks the first chunk of a text, which has no space before it; no text of plain characters holds it.
+FIRST = "\0"
+
+
+def regular(text: str) -> bool:
+    """Whether every space of the text is a border."""
+    return text[-1:] != " " and not any(r in text for r in RUNS)
+
+
+def chunked(texts: list[str]) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """Texts of plain characters cut at their borders, each different chunk once: for all chunks in order its place among the different
+    ones, the different ones, and the chunks of each text. A chunk stands for " " + chunk, but the first of a text, marked by FIRST, for
+    itself without the mark; the pieces of a text are those of its chunks."""
+    split, counts, at = [], np.zeros(len(texts), np.int64), np.array([regular(t) for t in texts], bool)
+    plain = pc.split_pattern(pa.array([FIRST + t for t, ok in zip(texts, at) if ok], pa.large_string()), " ")
+    counts[at] = np.diff(plain.offsets.to_numpy())
+    rough = [BORDER.split(FIRST + t) for t, ok in zip(texts, at) if not ok]
+    counts[~at] = [len(x) for x in rough]
+    values = pa.concat_arrays([plain.flatten(), pa.array([x for xs in rough for x in xs], pa.large_string())]).dictionary_encode()
+    index = values.indices.to_numpy()
+    if rough:  # back into the order of the texts
+        start = np.cumsum(counts[at]).tolist()
+        pos = {True: iter(np.split(index[: int(counts[at].sum())], start[:-1])) if start else iter(()), False: iter(np.split(index[int(counts[at].sum()) :], np.cumsum(counts[~at])[:-1]))}
+        index = np.concatenate([next(pos[bool(ok)]) for ok in at])
+    return index, values.dictionary.to_pylist(), counts
+
+
+def gathered(index: np.ndarray, packed: list[bytes], counts: np.ndarray, width: int) -> list[bytes]:
+    """For each text its chunks' ids, joined. ``packed``: the ids of each different chunk, ``width`` bytes each."""
+    if not len(counts):
+        return []
+    sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // width
+    flat, begin, n = np.frombuffer(b"".join(packed), f"<u{width}"), np.cumsum(sizes) - sizes, sizes[index]
+    ids = flat[np.repeat(begin[index] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+    ends = np.cumsum(np.add.reduceat(n, np.cumsum(counts) - counts)) * width
+    raw = ids.tobytes()
+    return [raw[i:j] for i, j in zip([0, *ends.tolist()], ends.tolist())]
+
+
+class Memory:
+    """What a worker remembers, of the last two generations: bounded whatever the corpus, and what is frequent stays."""
+
+    def __init__(self, most: int):
+        self.most, self.known, self.before = most, {}, {}
+
+    def all(self, keys: list, learn) -> list:
+        """The values of different keys; ``learn`` gives those of keys not remembered, in order."""
+        if len(self.known) > self.most:
+            self.known, self.before = {}, self.known
+        known, before = self.known, self.before
+        got, fresh = list(map(known.get, keys)), []
+        for at in missing(got):
+            if (kept := before.get(keys[at])) is None:
+                fresh.append(at)
+            else:
+                got[at] = known[keys[at]] = kept
+        for at, x in zip(fresh, learn([keys[at] for at in fresh])):
+            got[at] = known[keys[at]] = x
+        return got
+
+
+def missing(got: list) -> list[int]:
+    """Where a list holds None."""
+    out, at = [], -1
+    try:
+        while True:
+            at = got.index(None, at + 1)
+            out.append(at)
+    except ValueError:
+        return out

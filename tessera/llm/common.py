@@ -6,7 +6,9 @@ import itertools
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +60,17 @@ def spread(df: DataFrame) -> DataFrame:
     return df
 
 
+def parts(b: pa.RecordBatch, size: int = 4_000_000, rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Slices of a (key, text) batch of at most so many rows and, but for single long texts, about so many bytes of text."""
+    ends = np.cumsum(pc.binary_length(b.column(1)).fill_null(0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < b.num_rows:
+        to = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size))
+        to = min(max(at + 1, to), at + rows, b.num_rows)
+        yield b.slice(at, to - at)
+        at = to
+
+
 def per_text(schema: str, make: Callable[[], Callable[[int, str | None], tuple]], key: str = "doc_id", text: str = "text") -> Callable[[DataFrame], DataFrame]:
     """A transform that maps each row's (key, whole text) to one row of ``schema``; ``make`` builds the worker's function once a task."""
 

@@ -18,11 +18,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import spread
+from .common import parts, spread
 
 #: Hashed features have 2**BITS buckets; lexicon words of each language; words of a training sequence; words of a segment in prediction.
 BITS, LEXICON, LENGTH, SEGMENT = 15, 400, 24, 128
@@ -232,17 +231,6 @@ def crc_mod(n: int):
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
 
 
-def parts(b: pa.RecordBatch, chars: int = 4_000_000) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch of at most 1024 rows and, but for single long texts, about so many bytes of text."""
-    size = np.cumsum(pa.compute.binary_length(b.column(1)).fill_null(0).to_numpy(zero_copy_only=False))
-    at = 0
-    while at < b.num_rows:
-        to = int(np.searchsorted(size, (size[at - 1] if at else 0) + chars))
-        to = min(max(at + 1, to), at + 1024, b.num_rows)
-        yield b.slice(at, to - at)
-        at = to
-
-
 def identify(docs: DataFrame, tagger: Tagger) -> DataFrame:
     """doc_id, lang_pred, score of every row of ``docs(doc_id, text)``."""
     shared = docs.sparkSession.sparkContext.broadcast(tagger)

@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import spread
-from .language_id import crc_mod, parts
+from .common import parts, spread
+from .language_id import crc_mod
 
 #: Filters, hidden units, bytes of a filter; positions (of two bytes) pooled together, two of which make a chunk; positions handled at once.
 FILTERS, HIDDEN, WIDTH, HOP, BLOCK = 24, 16, 6, 32, 1 << 17

@@ -1,21 +1,22 @@
 """Operator 4: token ids in files coded by an adaptive context-mixing range coder.
 
 Ids follow each other in ascending doc_id order (ties by text; null first), each document closed by an end id. They are cut into blocks
-that are coded independently: every block starts from the same model and carries a checksum of its ids. The model predicts
-an id by the one last seen after the same two ids (order 2) and after the same one (order 1), each with a confidence; estimates of both
-orders are mixed by weights that follow which of them was right. An id that neither predicts is coded in four adaptive 16-way steps
-(order 0). All arithmetic is in integers, so any machine decodes what another has coded. The blocks of a row are coded side by side, one lane each.
+that are coded independently: every block starts from the same model and carries a checksum of its ids. Three orders predict an id: order 2 the
+one last seen after the same two ids, order 1 the one last seen after the same one, both with a confidence, and order 0 all ids by how often they
+occurred. Their predictions are mixed: each context of confidences has weights of the three orders, which follow which of them held, and an id's
+probability is the weighted sum. One interval of that mixture codes an id. All arithmetic is in integers, so any machine decodes what another has
+coded. The ids of a block are laid out in lanes that are coded side by side and share the block's model.
 
-File: rows (part, row, doc_ids, lengths, coded), written and read by Spark; part ascends with doc_id and row within part. ``coded``: magic, number of
-blocks, then of each block the number of ids, the number of 32-bit words and the checksum, then all words, little-endian.
+File: rows (part, row, doc_ids, lengths, coded), written and read by Spark; part ascends with doc_id and row within part. ``coded``: blocks, each
+preceded by its size. A block: magic, its ids, lanes, alphabet and checksum, then the words of each lane, then all words of 32 bits, little-endian.
 
-Null and empty texts have the end id alone. Extra columns are ignored. A block that fails its checksum raises an error.
+Null and empty texts have the end id alone. Repeated rows and tied doc_ids follow each other in the order of their texts. Extra columns are
+ignored; an empty table gives no rows. A block that fails its checksum raises an error.
 """
 
 from __future__ import annotations
 
 import os
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -26,51 +27,45 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import UNSAFE
-from .byte_bpe import PLAIN
-from .common import written
-
-VOCABULARY, SPECIAL = "byte_bpe_50k.json", re.compile(r"(<\|endoftext\|>)")
-MAGIC = b"TCM1"
-#: Ids of a block, lanes coded side by side, slots of the order-1 and order-2 tables, highest confidence, pieces a worker keeps.
-LENGTH, LANES, SLOTS, SURE, PIECES = 2048, 4096, 1024, 7, 300_000
-#: Bits of flag and step probabilities, smallest step frequency, and the shifts by which they follow what they see.
-FLAG, STEP, LEAST, FAST, SLOW = 16, 15, 32, 4, 5
-#: Rows of the last step are hashed, so a lane's model stays in the cache.
-LAST = 256
-NODES = 1 + 16 + 256 + LAST
-FULL, BYTES = np.uint64(32), np.uint64(0x0101010101010101)
+from .bpe import FIRST, UNSAFE, Memory, chunked, gathered
+from .common import parts, written
+
+VOCABULARY = "byte_bpe_50k.json"
+MAGIC = b"TCM2"
+#: Lanes coded side by side, ids of a lane at least (but in the smallest blocks) and ids of a block at most.
+LANES, STEPS, BLOCK = 4096, 1024, 1 << 23
+#: Bits of the order-2 table, highest confidence, bits of order 0's shares and of the orders' weights, and steps between recounts.
+SLOTS, SURE, ZERO, SHARE, EVERY = 19, 7, 18, 10, 64
+#: Chunks of a generation that a worker remembers, and how the vocabulary writes a space.
+CHUNKS, SPACE = 500_000, "\u0120"
+FULL, WHOLE = np.uint64(32), np.uint64(ZERO + SHARE)
 SCHEMA = "part int, row int, doc_ids array<long>, lengths array<int>, coded binary"
 
 
 class Writer:
-    """Range coders of all lanes: 64-bit low and range, 32-bit words out, carries added to the words before. Lanes are loaded, coded and saved."""
+    """Range coders of all lanes: 64-bit low and range, 32-bit words out, carries added to the words before."""
 
     def __init__(self, lanes: int, most: int):
-        self.lows, self.ranges = np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64)
-        self.out, self.ats = np.zeros((lanes, most), np.uint32), np.zeros(lanes, np.int64)
-
-    def load(self, lane: np.ndarray) -> None:
-        self.lane, self.low, self.range, self.at = lane, self.lows.take(lane), self.ranges.take(lane), self.ats.take(lane)
-
-    def save(self) -> None:
-        self.lows[self.lane], self.ranges[self.lane], self.ats[self.lane] = self.low, self.range, self.at
-
-    def code(self, start: np.ndarray, size: np.ndarray, bits: int) -> None:
-        r = self.range >> np.uint64(bits)
-        low = self.low + r * start
+        self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64)
+        self.out, self.at = np.zeros((lanes, most), np.uint32), np.zeros(lanes, np.int64)
+
+    def code(self, start: np.ndarray, size: np.ndarray) -> None:
+        """Codes an interval of 2**WHOLE for each of the first lanes."""
+        m = len(start)
+        r = self.range[:m] >> WHOLE
+        low = self.low[:m] + r * start
         r *= size
-        over = np.nonzero(low < self.low)[0]
+        over = np.nonzero(low < self.low[:m])[0]
         if len(over):
-            self.carry(self.lane[over], self.at[over] - 1)
+            self.carry(over, self.at[over] - 1)
         short = np.nonzero(r < 1 << 32)[0]
         if len(short):
-            x = low[short]
-            self.out[self.lane[short], self.at[short]] = x >> FULL
-            self.at[short] += 1
+            x, at = low.take(short), self.at.take(short)
+            self.out[short, at] = x >> FULL
+            self.at[short] = at + 1
             low[short] = x << FULL
-            r[short] = r[short] << FULL
-        self.low, self.range = low, r
+            r[short] = r.take(short) << FULL
+        self.low[:m], self.range[:m] = low, r
 
     def carry(self, lane: np.ndarray, at: np.ndarray) -> None:
         while len(lane):
@@ -80,201 +75,192 @@ class Writer:
 
     def words(self) -> list[np.ndarray]:
         for _ in range(2):
-            self.out[np.arange(len(self.ats)), self.ats] = self.lows >> FULL
-            self.lows <<= FULL
-            self.ats += 1
-        return [self.out[i, :n] for i, n in enumerate(self.ats)]
+            self.out[np.arange(len(self.at)), self.at] = self.low >> FULL
+            self.low <<= FULL
+            self.at += 1
+        return [self.out[i, :n] for i, n in enumerate(self.at)]
 
 
 class Reader:
     """The decoders of all lanes: code and range, relative to low."""
 
-    def __init__(self, words: list[np.ndarray]):
-        self.flat = np.concatenate([*words, np.zeros(2, np.uint32)]).astype(np.uint64)
-        n = np.array([len(w) for w in words])
-        self.ats = np.cumsum(n) - n
-        self.ranges = np.full(len(words), 2**64 - 1, np.uint64)
-        self.values = self.flat[self.ats] << FULL | self.flat[self.ats + 1]
-        self.ats += 2
-
-    def load(self, lane: np.ndarray) -> None:
-        self.lane, self.value, self.range, self.at = lane, self.values.take(lane), self.ranges.take(lane), self.ats.take(lane)
-
-    def save(self) -> None:
-        self.values[self.lane], self.ranges[self.lane], self.ats[self.lane] = self.value, self.range, self.at
-
-    def peek(self, bits: int) -> np.ndarray:
-        return np.minimum(self.value // (self.range >> np.uint64(bits)), np.uint64((1 << bits) - 1))
-
-    def code(self, start: np.ndarray, size: np.ndarray, bits: int) -> None:
-        r = self.range >> np.uint64(bits)
-        value = self.value - r * start
+    def __init__(self, flat: np.ndarray, n: np.ndarray):
+        self.flat = np.concatenate([flat, np.zeros(2, flat.dtype)]).astype(np.uint64)
+        at = np.cumsum(n) - n
+        self.range = np.full(len(n), 2**64 - 1, np.uint64)
+        self.value = self.flat[at] << FULL | self.flat[at + 1]
+        self.at = at + 2
+
+    def peek(self, m: int) -> np.ndarray:
+        """Where in 2**WHOLE the code of each of the first lanes lies."""
+        return np.minimum(self.value[:m] // (self.range[:m] >> WHOLE), np.uint64((1 << int(WHOLE)) - 1)).view(np.int64)
+
+    def code(self, start: np.ndarray, size: np.ndarray) -> None:
+        m = len(start)
+        r = self.range[:m] >> WHOLE
+        value = self.value[:m] - r * start
         r *= size
         short = np.nonzero(r < 1 << 32)[0]
         if len(short):
-            at = self.at[short]
-            value[short] = value[short] << FULL | self.flat.take(at)
+            at = self.at.take(short)
+            value[short] = value.take(short) << FULL | self.flat.take(at, mode="clip")
             self.at[short] = at + 1
-            r[short] = r[short] << FULL
-        self.value, self.range = value, r
-
-
-def coded(ids: np.ndarray, n: np.ndarray, coder) -> None:
-    """Codes (Writer) or fills (Reader) the ids of all lanes, ids[position, lane], n ascending downwards: lanes are sorted by length, longest first."""
-    reading, lanes = isinstance(coder, Reader), ids.shape[1]
-    alive = np.searchsorted(-n, -np.arange(int(n[0])), side="left")
-    step = np.arange(16)
-    # A step's row holds the lower bounds of its 16 symbols; a row moves towards the bounds that would make the seen symbol surest.
-    aim = (step[None, :] * LEAST + (step[None, :] > step[:, None]) * ((1 << STEP) - 16 * LEAST)).astype(np.int16)
-    rows = np.tile((step * (1 << STEP - 4)).astype(np.int16), (lanes * NODES, 1))
-    flat, whole = rows.reshape(-1), rows.view("V32").reshape(-1)
-    one, two = np.zeros(lanes * SLOTS, np.int32), np.zeros(lanes * SLOTS, np.int32)
-    states = SURE + 1
-    by_two = np.full(lanes * states, 1 << FLAG - 3, np.int32)
-    by_one = np.full(lanes * states * 2, 1 << FLAG - 3, np.int32)
-    second = np.full(lanes * states, 1 << FLAG - 3, np.int32)
-    weight = np.full(lanes, 128, np.int32)
-    every = np.arange(lanes)
+            r[short] = r.take(short) << FULL
+        self.value[:m], self.range[:m] = value, r
+
+
+class Orders:
+    """The model of a block, shared by its lanes: the ids last seen after the same two ids and after the same one, each with a confidence;
+    how often all ids occurred; and how often either prediction held in each pair of confidences, from which the three orders' weights follow."""
+
+    def __init__(self, alphabet: int):
+        self.alphabet, self.counts = alphabet, np.zeros(alphabet, np.int64)
+        self.one, self.two = np.zeros(1 << 16, np.int64), np.zeros(1 << SLOTS, np.int64)
+        held = np.arange(SURE + 1)
+        k2, k1, same = (x.ravel() for x in np.meshgrid(held, held, np.arange(2), indexing="ij"))
+        #: By context (confidences, whether both predict the same): how often order 2 held, order 1 alone did, neither did.
+        self.seen = np.stack([1 + 4 * k2, (1 + 2 * k1) * (1 - same), 4 + 0 * k2], 1).astype(np.int64) << 4
+        self.recount()
+        self.weigh()
+
+    def recount(self, ids: np.ndarray | None = None) -> None:
+        """Takes up the ids seen since the last call: each id's share of 2**ZERO, at least 1, the rest going to the most frequent."""
+        if ids is not None:
+            self.counts += np.bincount(ids, minlength=self.alphabet)
+        spare = (1 << ZERO) - self.alphabet
+        freq = 1 + self.counts * spare // max(1, int(self.counts.sum()))
+        freq[int(freq.argmax())] += (1 << ZERO) - int(freq.sum())
+        self.freq, self.cum = freq, np.cumsum(freq) - freq
+        self.symbol = np.repeat(np.arange(self.alphabet), freq)
+
+    def weigh(self) -> None:
+        """Weights of the orders in each context, of 2**SHARE together; order 0 keeps at least one."""
+        w = (self.seen[:, :2] << SHARE) // self.seen.sum(1)[:, None]
+        self.w2, self.w1 = np.ascontiguousarray(w[:, 0]), np.ascontiguousarray(w[:, 1])
+        self.w0 = (1 << SHARE) - self.w2 - self.w1
+
+    def learn(self, outcome: np.ndarray) -> None:
+        self.seen += np.bincount(outcome, minlength=self.seen.size).reshape(self.seen.shape) << 4
+        self.seen -= np.where(self.seen.sum(1) > 1 << 16, self.seen.T >> 3, 0).T
+        np.maximum(self.seen, 1, out=self.seen)
+        self.weigh()
+
+
+def coded(ids: np.ndarray, n: int, alphabet: int, coder) -> None:
+    """Codes (Writer) or fills (Reader) the n ids of a block, ids[step, lane]; lane i holds the i-th stretch of the block, the last may be shorter.
+
+    The probability of an id is the sum of the three orders' weights times what each gives it: all to its prediction for orders 2 and 1, the
+    share of the id for order 0. One interval of the mixture codes one id.
+    """
+    reading, (steps, lanes) = isinstance(coder, Reader), ids.shape
+    tail = n - (lanes - 1) * steps
+    model = Orders(alphabet)
     p1, p2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-    for t in range(int(n[0])):
-        m = alive[t]
-        lane = every[:m]
+    done, again = 0, 1
+    for t in range(steps):
+        m = lanes if t < tail else lanes - 1
+        if t == again:
+            model.recount(np.concatenate([ids[done:t, : lanes - 1].ravel(), ids[done : min(t, tail), lanes - 1]]))
+            done, again = t, min(2 * t, t + EVERY)
         p1, p2 = p1[:m], p2[:m]
-        i1 = lane * SLOTS + ((p1 * 40503 >> 5) & SLOTS - 1)
-        i2 = lane * SLOTS + (((p1 * 40503 + p2 * 60493) >> 7) & SLOTS - 1)
-        e1, e2 = one.take(i1), two.take(i2)
-        c1, k1, c2, k2 = e1 & 0xFFFF, e1 >> 16, e2 & 0xFFFF, e2 >> 16
-        a, b, s = lane * states + k2, (lane * states + k1) * 2 + (c1 == c2), lane * states + k1
-        qa, qb, qs, w = by_two.take(a), by_one.take(b), second.take(s), weight[:m]
-        q = qa * w + qb * (256 - w) >> 8
-        r = ((1 << FLAG) - q) * qs.astype(np.int64) >> FLAG
-        coder.load(lane)
+        slot = (p1 * 0x9E3779B1 + p2 * 0x85EBCA6B >> 12) & (1 << SLOTS) - 1
+        e2, e1 = model.two.take(slot), model.one.take(p1)
+        c2, k2, c1, k1 = e2 & 0xFFFF, e2 >> 16, e1 & 0xFFFF, e1 >> 16
+        same = c1 == c2
+        context = (k2 * (SURE + 1) + k1) * 2 + same
+        w2, w1, w0 = model.w2.take(context) << ZERO, model.w1.take(context) << ZERO, model.w0.take(context)
         if reading:
-            v = coder.peek(FLAG).astype(np.int64)
-            hit2 = v < q
-            hit1 = ~hit2 & (v < q + r)
+            v = coder.peek(m)
+            low2 = w0 * model.cum.take(c2) + (c1 < c2) * w1
+            low1 = w0 * model.cum.take(c1) + (c2 < c1) * w2
+            high2 = low2 + w0 * model.freq.take(c2) + w2 + same * w1
+            high1 = low1 + w0 * model.freq.take(c1) + w1 + same * w2
+            rest = v - (v >= high2) * w2 - (v >= high1) * w1
+            x = model.symbol.take(rest // w0, mode="clip")
+            x = np.where((v >= low2) & (v < high2), c2, np.where((v >= low1) & (v < high1), c1, x))
+            ids[t, :m] = x
         else:
             x = ids[t, :m].astype(np.int64)
-            hit2 = x == c2
-            hit1 = ~hit2 & (x == c1)
-        start = np.where(hit2, 0, np.where(hit1, q, q + r)).astype(np.uint64)
-        size = np.where(hit2, q, np.where(hit1, r, (1 << FLAG) - q - r)).astype(np.uint64)
-        coder.code(start, size, FLAG)
-        coder.save()
-        # Estimates stay within 1/64 of 0 and 1, so each outcome keeps a share.
-        goal = np.where(hit2, (1 << FLAG) - 1024, 1024).astype(np.int32)
-        better = (qa > qb) == hit2
-        weight[:m] = np.where(qa == qb, w, np.where(better, w + (248 - w >> FAST), w - (w - 8 >> FAST)))
-        by_two[a] = qa + (goal - qa >> SLOW)
-        by_one[b] = qb + (goal - qb >> SLOW)
-        second[s] = np.where(hit2, qs, qs + (np.where(hit1, (1 << FLAG) - 1024, 1024) - qs >> SLOW))
-        left = np.nonzero(~(hit1 | hit2))[0]
-        if reading:
-            x = np.where(hit2, c2, c1).astype(np.int64)
-            y = np.zeros(len(left), np.int64)
-        else:
-            y = x[left]
-        coder.load(left)
-        node, base = np.zeros(len(left), np.int64), left * NODES
-        for level, first in enumerate((0, 1, 17, 0)):
-            at = base + (first + node if level < 3 else 273 + (node * 40503 >> 4 & LAST - 1))
-            row = whole.take(at).view(np.int16).reshape(-1, 16)
-            if reading:
-                v = coder.peek(STEP).astype(np.int16)
-                # The bounds at or below v, counted by adding up the bytes of the comparison.
-                under = (row <= v[:, None]).view(np.uint64)
-                symbol = ((under[:, 0] + under[:, 1]) * BYTES >> np.uint64(56)).astype(np.int64) - 1
-                y = y << 4 | symbol
-                node = y
-            else:
-                node = y >> 12 - 4 * level
-                symbol = node & 15
-            place = at * 16 + symbol
-            start = flat.take(place).astype(np.int64)
-            end = np.where(symbol == 15, np.int64(1 << STEP), flat.take(place + 1, mode="clip").astype(np.int64))
-            coder.code(start.astype(np.uint64), (end - start).astype(np.uint64), STEP)
-            row += aim.take(symbol, axis=0) - row >> FAST
-            whole[at] = row.view("V32").reshape(-1)
-        coder.save()
-        if reading:
-            x[left] = y
-            ids[t, :m] = x
-        same1, same2 = x == c1, x == c2
-        one[i1] = np.where(same1, np.minimum(k1 + 1, SURE) << 16 | c1, np.where(k1 > 1, k1 >> 1 << 16 | c1, x))
-        two[i2] = np.where(same2, np.minimum(k2 + 1, SURE) << 16 | c2, np.where(k2 > 1, k2 >> 1 << 16 | c2, x))
+        hit2, hit1 = x == c2, x == c1
+        start = w0 * model.cum.take(x) + (c2 < x) * w2 + (c1 < x) * w1
+        size = w0 * model.freq.take(x) + hit2 * w2 + hit1 * w1
+        coder.code(start.view(np.uint64), size.view(np.uint64))
+        model.learn(context * 3 + np.where(hit2, 0, 2 - hit1))
+        # A prediction that held is surer; one that failed loses half its confidence, or its place.
+        model.two[slot] = np.where(hit2, e2 + ((k2 < SURE).astype(np.int64) << 16), np.where(k2 > 1, k2 >> 1 << 16 | c2, x))
+        model.one[p1] = np.where(hit1, e1 + ((k1 < SURE).astype(np.int64) << 16), np.where(k1 > 1, k1 >> 1 << 16 | c1, x))
         p1, p2 = x, p1
 
 
 def compress(ids: np.ndarray) -> bytes:
-    """The coded form of at most LANES * LENGTH ids."""
-    n = np.array([min(LENGTH, len(ids) - i) for i in range(0, len(ids), LENGTH)], np.int64)
-    if not len(n):
-        return MAGIC + struct.pack("<I", 0)
-    lanes = np.zeros((len(n) * LENGTH), np.uint16)
-    lanes[: len(ids)] = ids
-    lanes = lanes.reshape(len(n), LENGTH)
-    w = Writer(len(n), 2 * int(n[0]) + 8)
-    coded(np.ascontiguousarray(lanes.T), n, w)
+    """The coded form of one block of at most BLOCK ids."""
+    n = len(ids)
+    if not n:
+        return MAGIC + struct.pack("<IIII", 0, 0, 0, 0)
+    steps = -(-n // min(LANES, -(-n // STEPS)))
+    lanes, alphabet = -(-n // steps), int(ids.max()) + 1
+    laid = np.zeros(lanes * steps, np.uint16)
+    laid[:n] = ids
+    w = Writer(lanes, steps + 8)
+    coded(np.ascontiguousarray(laid.reshape(lanes, steps).T), n, alphabet, w)
     words = w.words()
-    head = b"".join(struct.pack("<III", k, len(x), zlib.crc32(lanes[i, :k].astype("<u2").tobytes())) for i, (k, x) in enumerate(zip(n, words)))
-    return MAGIC + struct.pack("<I", len(n)) + head + b"".join(x.astype("<u4").tobytes() for x in words)
+    head = struct.pack("<IIII", n, lanes, alphabet, zlib.crc32(ids.astype("<u2").tobytes()))
+    return MAGIC + head + np.array([len(x) for x in words], "<u4").tobytes() + np.concatenate(words).astype("<u4").tobytes()
 
 
 def decompress(data: bytes) -> np.ndarray:
-    """The ids of a coded row; raises ValueError if a block isn't what was written."""
-    if data[:4] != MAGIC:
+    """The ids of a coded block; raises ValueError if it isn't what was written."""
+    if data[:4] != MAGIC or len(data) < 20:
         raise ValueError("not a token file")
-    (blocks,) = struct.unpack_from("<I", data, 4)
-    if not blocks:
+    n, lanes, alphabet, check = struct.unpack_from("<IIII", data, 4)
+    if not n:
         return np.zeros(0, np.uint16)
-    head = np.frombuffer(data, "<u4", 3 * blocks, 8).reshape(-1, 3)
-    n, size = head[:, 0].astype(np.int64), head[:, 1].astype(np.int64)
-    words = np.split(np.frombuffer(data, "<u4", int(size.sum()), 8 + 12 * blocks), np.cumsum(size)[:-1])
-    ids = np.zeros((int(n[0]), blocks), np.uint16)
-    coded(ids, n, Reader(words))
-    out = [np.ascontiguousarray(ids[:k, i]) for i, k in enumerate(n)]
-    for i, x in enumerate(out):
-        if zlib.crc32(x.astype("<u2").tobytes()) != head[i, 2]:
-            raise ValueError(f"block {i} fails its checksum")
-    return np.concatenate(out)
+    steps = -(-n // max(1, lanes))
+    sizes = np.frombuffer(data, "<u4", min(lanes, (len(data) - 20) // 4), 20).astype(np.int64)
+    if not 0 < lanes <= LANES or not 0 < alphabet <= 1 << 16 or len(data) != 20 + 4 * (lanes + int(sizes.sum())) or len(sizes) != lanes or (sizes < 2).any() or n > BLOCK:
+        raise ValueError("a block's head fails its check")
+    ids = np.zeros((steps, lanes), np.uint16)
+    coded(ids, n, alphabet, Reader(np.frombuffer(data, "<u4", int(sizes.sum()), 20 + 4 * lanes), sizes))
+    out = np.ascontiguousarray(ids.T).reshape(-1)[:n]
+    if zlib.crc32(out.astype("<u2").tobytes()) != check:
+        raise ValueError("a block fails its checksum")
+    return out
 
 
 class Encoder:
-    """Encodes texts by the tokenizers library: each different piece of its split pattern once, while the worker keeps it."""
+    """Encodes texts by the tokenizers library: each different chunk once, while the worker remembers it (those of the last two generations stay)."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.library, self.memo, self.before = Tokenizer.from_file(path), {}, {}
+        self.library, self.memory = Tokenizer.from_file(path), Memory(CHUNKS)
+        vocabulary = self.library.get_vocab()
+        self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.spaced[[i for t, i in vocabulary.items() if t[0] == SPACE]] = True
 
     def ids_of(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u2").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def learn(self, fresh: list[str]) -> list[bytes]:
+        """Ids of chunks. Those that follow a space are encoded some hundred at once, and told apart by that space."""
+        inner = [x for x in fresh if x and x[0] != FIRST and " " not in x]
+        packed = b"".join(self.ids_of(["".join([" " + x for x in inner[i : i + 100]]) for i in range(0, len(inner), 100)]))
+        at = [*(2 * np.nonzero(self.spaced[np.frombuffer(packed, "<u2")])[0]).tolist(), len(packed)]
+        if len(at) != len(inner) + 1:
+            raise ValueError("a chunk has another number of spaces than one")
+        found = {x: packed[i:j] for x, i, j in zip(inner, at, at[1:])}
+        rest = [x for x in fresh if x not in found]
+        found.update(zip(rest, self.ids_of([x[1:] if x[:1] == FIRST else " " + x for x in rest])))
+        return [found[x] for x in fresh]
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of texts as little-endian 16-bit integers."""
-        split, odd = [], []
-        for t in texts:
-            if t and (UNSAFE.search(t) or "<|endoftext|>" in t):
-                odd.append(t)
-                split.append(None)
-            else:
-                split.append(PLAIN.findall(t) if t else [])
-        memo, before = self.memo, self.before
-        fresh = {p for ps in split if ps for p in ps if p not in memo}
-        if len(memo) + len(fresh) > PIECES:  # pieces of the last two generations stay
-            memo, before = {}, memo
-            self.memo, self.before = memo, before
-            fresh = {p for ps in split if ps for p in ps}
-        new = []
-        for p in fresh:
-            if (got := before.get(p)) is not None:
-                memo[p] = got
-            else:
-                new.append(p)
-        memo.update(zip(new, self.ids_of(new)))
-        whole, get = iter(self.ids_of(odd)), memo.__getitem__
-        return [next(whole) if ps is None else b"".join(map(get, ps)) for ps in split]
+        odd = [bool(t) and (UNSAFE.search(t) is not None or "<|endoftext|>" in t) for t in texts]
+        index, different, counts = chunked([t or "" for t, o in zip(texts, odd) if not o])
+        plain = iter(gathered(index, self.memory.all(different, self.learn), counts, 2))
+        whole = iter(self.ids_of([t for t, o in zip(texts, odd) if o]))
+        return [next(whole if o else plain) for o in odd]
 
 
 @lru_cache(2)
@@ -294,17 +280,16 @@ def packed(path: str | None, end_id: int):
 
         def flush():
             ids = np.frombuffer(b"".join(held), "<u2")
-            got = [[part], [row], [[d for d, _ in docs]], [[n for _, n in docs]], [b"".join(struct.pack("<I", len(c)) + c for c in (compress(ids[i : i + LANES * LENGTH]) for i in range(0, max(1, len(ids)), LANES * LENGTH)))]]
+            got = [[part], [row], [[d for d, _ in docs]], [[n for _, n in docs]], [b"".join(struct.pack("<I", len(c)) + c for c in (compress(ids[i : i + BLOCK]) for i in range(0, max(1, len(ids)), BLOCK)))]]
             return pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(got, (pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()))], names=["part", "row", "doc_ids", "lengths", "coded"])
 
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part_of = b.slice(at, 256)
+            for part_of in parts(b, 8_000_000, 8192):
                 for key, ids in zip(part_of.column(0).to_pylist(), library.encode(part_of.column(1).to_pylist())):
                     docs.append((key, len(ids) // 2 + 1))
                     held += [ids, end]
                     size += docs[-1][1]
-                    if size >= LANES * LENGTH:
+                    if size >= BLOCK:
                         yield flush()
                         row, docs, held, size = row + 1, [], [], 0
         if docs:
