@@ -71,6 +71,37 @@ def test_byte_bpe_appends_and_edits(tiktoken_encoding, texts):
     assert c.merges.edited(old, c.merges.prefixes(old), new) == c.merges.prefixes(new)
 
 
+WORDS = ["a", "The", "foo,", "bar\n", "\n\n", "x1", "don't", "DON'T", "'", "s", "re", "'rex", "É", "é", "e\u0301", "–", "“quoted”", "日本語", "😀👍🏽", "İst", "ΑΣ", "  ", "   ", "\t", "<|endoftext|>", "<|star", "_a", "...", "\x85", "\u3000", "한글", "\u0301", "'ll!!'s", "½x²", "zero\u200bwidth", "\xa0", " "]
+
+
+def awkward_text(r: random.Random, most: int = 7) -> str:
+    return ("" if r.random() < 0.5 else " ").join(r.choice(WORDS) for _ in range(r.randint(0, most)))
+
+
+def test_byte_bpe_awkward_texts_and_edits(tiktoken_encoding):
+    c, r = byte_bpe.codec(), random.Random(2)
+    rows = [awkward_text(r) for _ in range(1500)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in c.many(rows)] == [tiktoken_encoding.encode_ordinary(t) for t in rows]
+    for t in rows:
+        e = byte_bpe.Encoded(c, t)
+        for _ in range(3):
+            a = r.randint(0, len(e.text))
+            b, new = r.randint(a, min(len(e.text), a + 4)), awkward_text(r, 2)
+            want = e.text[:a] + new + e.text[b:]
+            e.edit(a, b, new)
+            assert (e.text, e.ids()) == (want, tiktoken_encoding.encode_ordinary(want))
+        e.append(awkward_text(r, 2))
+        assert e.ids() == tiktoken_encoding.encode_ordinary(e.text)
+
+
+def test_edits_encode_again_near_the_change_only(tiktoken_encoding):
+    e = byte_bpe.Encoded(byte_bpe.codec(), "some words – “more” words " * 4000)
+    assert len(e.starts) > 20_000
+    assert e.edit(5000, 5003, "zz") < 8
+    e.append("s t")
+    assert e.ids() == tiktoken_encoding.encode_ordinary(e.text)
+
+
 def test_byte_bpe_query(spark):
     rows = [*AWKWARD, None, "same", "same"]
     got = {r.doc_id: r for r in byte_bpe.round_trip(docs_of(spark, rows)).collect()}
@@ -106,6 +137,34 @@ def test_prefix_table(word_library, texts):
             assert c.cut(t, budget) == t[: max(i for i, n in enumerate(want) if n <= budget)]
 
 
+def test_prefix_tables_of_all_texts(word_library):
+    c, r = token_counts.counter(), random.Random(4)
+    n = lambda t: len(word_library.encode(t, add_special_tokens=False).ids)
+    rows = [awkward_text(r) for _ in range(1200)]
+    assert c.many(rows) == [n(t) for t in rows]
+    for t in rows:
+        want = [n(t[:i]) for i in range(len(t) + 1)]
+        assert c.prefixes(t) == want
+        some = r.sample(range(len(t) + 1), min(4, len(t) + 1))
+        assert c.at(t, some) == [want[i] for i in some]
+        for budget in (0, 2, 5):
+            assert c.cut(t, budget) == t[: max(i for i, k in enumerate(want) if k <= budget)]
+
+
+def test_truncation(spark, word_library):
+    r = random.Random(6)
+    rows = [None, *AWKWARD[:-1], "“curly” words 日本語テスト " * 500, *[awkward_text(r) for _ in range(60)]]
+    n = lambda t: len(word_library.encode(t, add_special_tokens=False).ids)
+    got = {x.doc_id: x for x in token_counts.truncate(docs_of(spark, rows), budget=6).collect()}
+    counts = {x.doc_id: x.counts for x in token_counts.prefix_counts(docs_of(spark, rows), every=10).collect()}
+    assert got[0][1:] == (None, 0, False) and counts[0] is None
+    for i, t in enumerate(rows[1:], 1):
+        assert t.startswith(got[i].text) and got[i].n_tokens == n(got[i].text) <= 6 and got[i].cut == (len(got[i].text) < len(t))
+        assert got[i].text == t or n(t) > 6
+        assert counts[i] == [n(t[:k]) for k in [*range(10, len(t), 10), len(t)]] if len(t) < 500 else counts[i][-1] == n(t)
+    assert token_counts.truncate(docs_of(spark, []), budget=6).count() == 0
+
+
 # 4: token files
 
 
@@ -122,6 +181,23 @@ def test_range_coder_round_trip():
         token_file.decompress(bytes(broken))
 
 
+def test_token_file_chunks_match_library(texts):
+    from tokenizers import Tokenizer
+
+    library, e, r = Tokenizer.from_file(P.path("byte_bpe_50k.json")), token_file.Encoder(P.path("byte_bpe_50k.json")), random.Random(5)
+    rows = [awkward_text(r) for _ in range(3000)] + list(texts.values())[:60]
+    want = [np.array(library.encode(t or "", add_special_tokens=False).ids, "<u2").tobytes() for t in rows]
+    assert e.encode(rows) == want == e.encode(rows)
+
+
+def test_token_file_ties_and_very_long_texts(spark):
+    rows = [(5, "b"), (5, "a"), (5, "a"), (None, "n"), (5, None), (7, "long text, " * 400_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("coded", F.lit("clash"))
+    got = token_file.read_tokens(token_file.write_tokens(docs, partitions=4)).orderBy("start").collect()
+    assert [(r.doc_id, r.start) for r in got] == [(None, 0), (5, 2), (5, 3), (5, 5), (5, 7), (7, 9)]
+    assert got[-1].n_tokens > 1_000_000
+
+
 def test_token_file_query(spark, texts):
     from tokenizers import Tokenizer
 
