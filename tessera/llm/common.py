@@ -96,6 +96,38 @@ def per_text(schema: str, make: Callable[[], Callable[[int, str | None], tuple]]
     return run
 
 
+def crc_mod(n: int):
+    """crc32 of the doc_id as text, modulo n."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+def first_by_hash(rows: DataFrame, by: str, most: int) -> dict:
+    """{doc_id: value of ``by``} of the ``most`` rows of ``rows(doc_id, by)`` of each value whose doc_id hashes lowest; of a doc_id with several values
+    the largest. Counts by the hash's leading zeros, combined before their shuffle, tell how many zeros suffice; only rows with as many, some
+    2 * ``most`` of a value, leave the scan, however many rows one value has."""
+    h = F.xxhash64("doc_id")
+    zeros = F.lit(64) - F.length(F.bin(h))
+    rows = rows.where(F.col("doc_id").isNotNull() & F.col(by).isNotNull()).select("doc_id", by)
+    seen: dict = {}
+    for r in rows.groupBy(by, zeros.alias("zeros")).count().collect():
+        seen.setdefault(r[by], {})[r.zeros] = r["count"]
+    if not seen:
+        return {}
+    least = {}
+    for k, counts in seen.items():
+        n = 0
+        for z in range(64, -1, -1):
+            n += counts.get(z, 0)
+            if n >= most:
+                break
+        least[k] = z
+    enough = F.create_map(*(F.lit(x) for pair in least.items() for x in pair))[F.col(by)]
+    found: dict = {k: [] for k in least}
+    for r in rows.where(zeros >= enough).select("doc_id", by, h.alias("h")).distinct().collect():
+        found[r[by]].append((r.h % 2**64, r.doc_id))
+    return {i: k for k in sorted(found) for _, i in sorted(found[k])[:most]}
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(a, b)`` (long): (node, component), component the smallest node reachable; nodes without an edge get no row.
 

@@ -5,8 +5,10 @@ neighbouring words, so that code-switched text gets one language per word, by fo
 document's language is the one with the highest mean marginal probability over its words, which is also its score.
 
 A null text and one without a letter get ``und`` and score 0. A table without labelled rows teaches no language: all get
-``und``. A null doc_id is neither learnt from nor held out. Repeated rows give repeated results; extra columns are ignored. The model is fitted on the driver from at most
-``per_language`` labelled documents of each language, the first by hash of doc_id; prediction is one pass in the scan's own tasks.
+``und``. A null doc_id is neither learnt from nor held out. Repeated rows give repeated results; extra columns are ignored.
+The model is fitted on the driver from a bounded sample: of each language at most ``per_language`` labelled documents, the first by hash of
+doc_id, and of each of those at most ``per_document`` spans of 24 words, evenly spaced over the whole text. Prediction is one pass in the scan's
+own tasks over whole texts.
 """
 
 from __future__ import annotations
@@ -18,13 +20,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts, spread
+from .common import crc_mod, first_by_hash, parts, spread
 
 #: Hashed features have 2**BITS buckets; lexicon words of each language; words of a training sequence; words of a segment in prediction.
 BITS, LEXICON, LENGTH, SEGMENT = 15, 400, 24, 128
+#: Letters of the longest word learnt from.
+LONGEST = 100
 WORD = re.compile(r"[^\W\d_]+")
 WORDS_KEPT = 200_000
 UNKNOWN = "und"
@@ -216,19 +220,30 @@ def fit(rows: list[tuple[str, str]], epochs: int = 4, seed: int = 5) -> Tagger:
     return tagger
 
 
-def training_rows(docs: DataFrame, may_learn, per_language: int) -> list[tuple[str, str]]:
-    """(text, lang) of at most ``per_language`` documents of each language. The ids are chosen first, from the narrow columns; each task
-    keeps as many of a language at most before the shuffle."""
-    w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = docs.where(may_learn).where("lang is not null and doc_id is not null").select("doc_id", "lang").withColumn("k", F.row_number().over(w)).where(F.col("k") <= per_language)
-    ids = sorted({r.doc_id for r in chosen.collect()})
-    rows = docs.where(F.col("doc_id").isin(ids)).where(may_learn).where("lang is not null").select("doc_id", "text", "lang").collect() if ids else []
-    return [(r.text, r.lang) for r in sorted(rows, key=lambda r: (r.doc_id, r.lang, r.text or "")) if r.text]
+def spans_of(text: str | None, most: int) -> list[str]:
+    """At most ``most`` spans of LENGTH words, evenly spaced over the whole text; words of over LONGEST letters are left out."""
+    words = [w for w in WORD.findall(text.lower()) if len(w) <= LONGEST] if text else []
+    starts = range(0, len(words), LENGTH)
+    if len(starts) > most:
+        starts = [starts[i * len(starts) // most] for i in range(most)]
+    return [" ".join(words[i : i + LENGTH]) for i in starts]
 
 
-def crc_mod(n: int):
-    """crc32 of the doc_id as text, modulo n."""
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+def training_rows(docs: DataFrame, may_learn, per_language: int, per_document: int) -> list[tuple[str, str]]:
+    """(span, lang) of at most ``per_language`` documents of each language, at most ``per_document`` spans of each. Ids are chosen from the narrow
+    columns; spans are taken in the tasks, so no whole text comes to the driver."""
+    learnt = docs.where(may_learn)
+    ids = sorted(first_by_hash(learnt.select("doc_id", "lang"), "lang", per_language))
+    if not ids:
+        return []
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [(i, lang, s) for i, lang, t in zip(*(c.to_pylist() for c in b.columns)) for s in spans_of(t, per_document)]
+            yield pa.RecordBatch.from_pylist([dict(zip(("doc_id", "lang", "span"), r)) for r in got], schema=pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("span", pa.string())]))
+
+    found = learnt.where(F.col("doc_id").isin(ids) & F.col("lang").isNotNull()).select(F.col("doc_id").cast("long"), "lang", "text").mapInArrow(rows, "doc_id long, lang string, span string").collect()
+    return [(r.span, r.lang) for r in sorted(found, key=lambda r: (r.doc_id, r.lang, r.span)) if r.span]
 
 
 def identify(docs: DataFrame, tagger: Tagger) -> DataFrame:
@@ -245,7 +260,7 @@ def identify(docs: DataFrame, tagger: Tagger) -> DataFrame:
     return spread(docs.select("doc_id", "text")).mapInArrow(rows, "doc_id long, lang_pred string, score double")
 
 
-def language_id(docs: DataFrame, per_language: int = 300) -> DataFrame:
+def language_id(docs: DataFrame, per_language: int = 300, per_document: int = 24) -> DataFrame:
     """doc_id, held_out, lang_pred, score: learns where crc32(doc_id) mod 5 is not 0, predicts every row."""
-    tagger = fit(training_rows(docs, crc_mod(5) != 0, per_language))
+    tagger = fit(training_rows(docs, crc_mod(5) != 0, per_language, per_document))
     return identify(docs, tagger).select("doc_id", F.coalesce(crc_mod(5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
