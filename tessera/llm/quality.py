@@ -2,8 +2,9 @@
 
 Learned filters of six bytes slide over the whole text (stride two bytes); their responses are max-pooled over overlapping
 chunks of 128 bytes, a hidden layer reads each chunk, and the maximum and mean of the hidden units over all chunks give one
-probability. The network is fitted on the driver from at most ``per_class`` labelled documents of each class, the
-first by hash of doc_id, and shipped to the tasks; scoring is one pass in the scan's own tasks over whole texts.
+probability. The network is fitted on the driver from a bounded sample, at most ``per_class`` labelled documents of each class, the
+first by hash of doc_id, and of each at most ``per_document`` bytes, in windows spread over the whole text; it is shipped to the tasks, and scoring
+is one pass in the scan's own tasks over whole texts.
 
 A null text is an empty one; empty texts get the network's score of no bytes. Where labels hold fewer than two classes, all score 0.5.
 Labels repeated for a document count once, the larger one. A null doc_id is not held out. Repeated rows give repeated results; extra columns are ignored.
@@ -16,11 +17,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts, spread
-from .language_id import crc_mod
+from .common import crc_mod, cut, first_by_hash, parts, spread
 
 #: Filters, hidden units, bytes of a filter; positions (of two bytes) pooled together, two of which make a chunk; positions handled at once.
 FILTERS, HIDDEN, WIDTH, HOP, BLOCK = 24, 16, 6, 32, 1 << 17
@@ -159,16 +159,31 @@ def fit(rows: list[tuple[str | None, int]], prior: float = 0.5, epochs: int = 14
     return net
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, may_learn, per_class: int) -> tuple[list[tuple[str | None, int]], float]:
-    """(text, label) of at most ``per_class`` documents of each class, and the share of label 1 among all labels that may be learnt."""
+def windows_of(text: str | None, most: int) -> str:
+    """The text, or, of one of over ``most`` bytes, 16 windows evenly spaced over the whole of it, ``most`` bytes together."""
+    raw = text.encode("utf-8", "surrogatepass") if text else b""
+    if len(raw) <= most:
+        return text or ""
+    size = most // 16
+    return b"".join(raw[k * (len(raw) - size) // 15 :][:size] for k in range(16)).decode("utf-8", "ignore")
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, may_learn, per_class: int, per_document: int) -> tuple[list[tuple[str | None, int]], float]:
+    """(text, label) of at most ``per_class`` documents of each class, at most ``per_document`` bytes of each, and the share of label 1 among all
+    labels that may be learnt. Long texts are cut to their windows in the tasks."""
     own = labels.where(may_learn).where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    w = Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id")
+    own = cut(own)
     n, ones = own.agg(F.count("*"), F.sum("quality")).first()
-    chosen = {r.doc_id: r.quality for r in own.withColumn("k", F.row_number().over(w)).where(F.col("k") <= per_class).select("doc_id", "quality").collect()}
+    chosen = first_by_hash(own, "quality", per_class)
     if not chosen:
         return [], 0.5
-    rows = docs.where(F.col("doc_id").isin(sorted(chosen))).select("doc_id", "text").collect()
-    return [(r.text, chosen[r.doc_id]) for r in sorted(rows, key=lambda r: (r.doc_id, r.text or ""))], (ones or 0) / max(n, 1)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([windows_of(t, per_document) for t in b.column(1).to_pylist()], pa.string())], names=["doc_id", "text"])
+
+    found = docs.where(F.col("doc_id").isin(sorted(chosen))).select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, "doc_id long, text string").collect()
+    return [(r.text, chosen[r.doc_id]) for r in sorted(found, key=lambda r: (r.doc_id, r.text))], (ones or 0) / max(n, 1)
 
 
 def scored(docs: DataFrame, net: Network) -> DataFrame:
@@ -184,21 +199,21 @@ def scored(docs: DataFrame, net: Network) -> DataFrame:
     return spread(docs.select("doc_id", "text")).mapInArrow(rows, "doc_id long, score double")
 
 
-def trained(docs: DataFrame, labels: DataFrame, per_class: int = 700) -> Network:
+def trained(docs: DataFrame, labels: DataFrame, per_class: int = 700, per_document: int = 1 << 16) -> Network:
     """The network learnt where crc32(doc_id) mod 3 is not 1."""
-    return fit(*training_rows(docs, labels, crc_mod(3) != 1, per_class))
+    return fit(*training_rows(docs, labels, crc_mod(3) != 1, per_class, per_document))
 
 
-def quality(docs: DataFrame, labels: DataFrame, per_class: int = 700) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, per_class: int = 700, per_document: int = 1 << 16) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of ``docs(doc_id, text)``."""
-    return scored(docs, trained(docs, labels, per_class)).select("doc_id", F.coalesce(crc_mod(3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return scored(docs, trained(docs, labels, per_class, per_document)).select("doc_id", F.coalesce(crc_mod(3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def good(docs: DataFrame, labels: DataFrame, per_class: int = 700) -> DataFrame:
+def good(docs: DataFrame, labels: DataFrame, per_class: int = 700, per_document: int = 1 << 16) -> DataFrame:
     """The rows of ``docs`` whose score is 0.5 or more, with all their columns; one pass, the score beside the row."""
     from pyspark.sql.types import StructType
 
-    shared = docs.sparkSession.sparkContext.broadcast(trained(docs, labels, per_class))
+    shared = docs.sparkSession.sparkContext.broadcast(trained(docs, labels, per_class, per_document))
     at = docs.columns.index("text")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
