@@ -1,9 +1,11 @@
 """Operator 6: secret scans by grammar inference.
 
 Labelled credentials are put into a prefix tree; states that are statistically compatible (Hoeffding bound on their end and
-symbol frequencies, recursively) are merged into a probabilistic automaton. Every candidate, a run of 16 or more
-credential characters, is scored by its likelihood under the automaton against that of ordinary identifiers; those well
-above are added as spans of kind ``format``. Three fixed base kinds (assign, access, hex) are always kept.
+symbol frequencies, recursively) are merged into a probabilistic automaton. Ordinary identifiers are learnt into a second one in the same way.
+Candidates are all stretches of 16 or more credential characters that start at a border of a run (its start, or behind a character that is neither
+letter nor digit) and end at one. All are scored: by the likelihood under the first automaton against that under the second; no rule refuses
+any. Of the stretches of one start the likeliest counts; those well above the ordinary are added as spans of kind ``format``. They may reach beyond
+a base span or between two, so that of a prefixed key nothing stays. Three fixed base kinds (assign, access, hex) are always kept.
 
 Null and empty texts have no spans. Spans are in code points, end exclusive, ordered by start and then kind (assign, access, hex,
 format). Repeated rows give repeated results; extra columns are ignored. One pass in the scan's own tasks over whole texts.
@@ -32,9 +34,9 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
 #: Publicly documented credential formats (prefix, alphabet, lengths), from which labelled examples are drawn.
 ALNUM, LOWER_NUM, UPPER_NUM, HEXA, URL_SAFE, BASE64 = string.ascii_letters + string.digits, string.ascii_lowercase + string.digits, string.ascii_uppercase + string.digits, "0123456789abcdef", string.ascii_letters + string.digits + "_-", string.ascii_letters + string.digits + "+/"
 FORMATS = (
-    ("ghp_", ALNUM, (36,)), ("gho_", ALNUM, (36,)), ("ghs_", ALNUM, (36,)), ("glpat-", URL_SAFE, (20,)), ("npm_", ALNUM, (36,)), ("sk_live_", ALNUM, (24, 32)), ("rk_live_", ALNUM, (24,)),
+    ("ghp_", ALNUM, (36,)), ("gho_", ALNUM, (36,)), ("ghs_", ALNUM, (36,)), ("glpat-", URL_SAFE, (20,)), ("npm_", ALNUM, (36,)), ("sk_live_", ALNUM, (24, 32)), ("rk_live_", ALNUM, (24,)), ("sk_live_", HEXA, (24, 32)),
     ("sk-", ALNUM, (48,)), ("AIza", URL_SAFE, (35,)), ("AKIA", UPPER_NUM, (16,)), ("ASIA", UPPER_NUM, (16,)), ("xoxb-", "0123456789-", (12,)), ("xoxp-", "0123456789-", (12,)), ("eyJ", URL_SAFE, (60, 90)),
-    ("SG.", URL_SAFE, (66,)), ("", HEXA, (32, 40, 64)), ("", BASE64, (40, 44)), ("", ALNUM, (32, 40)), ("dop_v1_", HEXA, (64,)), ("pypi-", URL_SAFE, (80,)),
+    ("SG.", URL_SAFE, (66,)), ("", BASE64, (40, 44)), ("", ALNUM, (32, 40)), ("dop_v1_", HEXA, (64,)), ("pypi-", URL_SAFE, (80,)),
 )
 #: Symbols kept literally at the start of a candidate; later ones count by class.
 LITERAL = 4
@@ -45,28 +47,47 @@ def symbols(text: str) -> list[str]:
     return [c if i < LITERAL and not c.isdigit() else "9" if c.isdigit() else "h" if "a" <= c <= "f" else "l" if c.islower() else "U" if c.isupper() else c for i, c in enumerate(text)]
 
 
-def labelled(seed: int = 7, each: int = 60) -> list[tuple[str, int]]:
+def credential(r: random.Random, fmt: tuple) -> str:
+    """One credential of a format."""
+    prefix, alphabet, lengths = fmt
+    tail = "".join(r.choices(alphabet, k=r.choice(lengths)))
+    return prefix + tail + ("-" + "".join(r.choices(ALNUM, k=24)) if prefix.startswith("xox") else "")
+
+
+def ordinary(r: random.Random) -> str:
+    """One ordinary long run: words, names, paths, dates, numbers, UUIDs, addresses, content ids, digests in file names, rulers."""
+    parts = ["con", "ter", "ing", "the", "and", "er", "ation", "pro", "data", "file", "ment", "ver", "ly", "est", "user", "io", "sch", "ble", "st", "th", "an", "re", "schaft", "heit", "keit", "ung", "zu", "von", "und", "que", "mente", "ado", "ich", "ber", "ou", "ea", "oux", "li", "ny", "gra"]
+    word = lambda: "".join(r.choices(parts, k=r.randint(2, 4)))
+    draw = lambda alphabet, n: "".join(r.choices(alphabet, k=n))
+    base58, date = "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz", f"{r.randint(1990, 2030)}{r.choice(['', '-', '.'])}{r.randint(1, 12):02}{r.choice(['', '-', '.'])}{r.randint(1, 28):02}"
+    end = r.choice([".jpg", ".png", ".html", ".tar.gz", ".txt", ".py", ""])
+    return (
+        lambda: "".join(word() for _ in range(r.randint(2, 9))),
+        lambda: r.choice([str.lower, str.title])("".join(word() for _ in range(r.randint(2, 4)))) + r.choice(["", ".", "-", "="]),
+        lambda: r.choice("-_./").join(word() for _ in range(r.randint(3, 9))) + end,
+        lambda: "".join(word().title() for _ in range(r.randint(2, 7))),
+        lambda: f"{date}{r.choice('.T-_')}{r.randint(0, 10**9)}{end}",
+        lambda: r.choice("=-._/+") * r.randint(16, 60),
+        lambda: f"{word()}_{word()}-{r.randint(0, 9999)}.{word()}/{word()}{end}",
+        lambda: "-".join(draw(HEXA, n) for n in (8, 4, 4, 4, 12)),
+        lambda: "0x" + draw(r.choice([HEXA, HEXA.upper()]), r.choice((14, 16, 40))),
+        lambda: "Qm" + draw(base58, 44),
+        lambda: "Qm" + draw(base58, 44) + r.choice(["", "/", "."]) + word(),
+        lambda: "bafy" + draw("abcdefghijklmnopqrstuvwxyz234567", 55),
+        lambda: "".join(draw(string.ascii_uppercase, 1) + draw(string.ascii_lowercase, r.randint(1, 5)) + draw(string.digits, r.randint(1, 4)) for _ in range(r.randint(3, 8))),
+        lambda: f"{r.choice(['IMG', 'DSC', 'VID', 'PXL', 'Screenshot'])}{r.choice(['', '_', '-'])}{date}{r.choice(['', '_', 'x'])}{r.randint(0, 10**8)}{r.choice(['', 'HDR', 'HDRa9', '_edited'])}{end}",
+        lambda: f"{word()}/{word()}/{draw(HEXA, r.choice((32, 40, 64)))}{end}",
+        lambda: draw(string.digits, r.randint(16, 24)),
+        lambda: f"{word().upper()}_{word().upper()}_{word().upper()}{r.choice(['', '_1', '_V2'])}",
+        lambda: f"{word()}{r.randint(1, 999)}.{word()}.{word()}/{word()}/{r.randint(1, 99)}/{word()}{end}",
+        lambda: f"{word().title()}-{word()}-{r.randint(1, 99)}.{r.randint(0, 9)}.{r.randint(0, 99)}{end}",
+    )[r.randrange(19)]()
+
+
+def labelled(seed: int = 7, each: int = 60, formats: tuple = FORMATS) -> list[tuple[str, int]]:
     """Labelled examples: credentials (1) drawn from the documented formats, and ordinary long runs (0)."""
-    r, out = random.Random(seed), []
-    draw = lambda alphabet, n: "".join(r.choice(alphabet) for _ in range(n))
-    for prefix, alphabet, lengths in FORMATS:
-        for _ in range(each):
-            tail = draw(alphabet, r.choice(lengths))
-            out.append((prefix + tail + (f"-{draw(ALNUM, 24)}" if prefix.startswith("xox") else ""), 1))
-    parts = ["con", "ter", "ing", "the", "and", "er", "ation", "pro", "data", "file", "ment", "ver", "ly", "est", "user", "ré", "ó", "ü", "io", "sch"]
-    word = lambda: "".join(p for p in r.choices(parts, k=r.randint(2, 4)) if p.isascii())
-    for _ in range(each * 12):
-        kind = r.randrange(6)
-        n = r.randint(3, 8)
-        out.append((
-            "".join(word() for _ in range(r.randint(2, 4))) if kind == 0
-            else r.choice("-_./").join(word() for _ in range(n)) if kind == 1
-            else "".join(word().title() for _ in range(n)) if kind == 2
-            else f"{r.randint(1990, 2030)}-{r.randint(1, 12):02}-{r.randint(1, 28):02}.{r.randint(0, 10**9)}" if kind == 3
-            else r.choice("=-._/") * r.randint(16, 60) if kind == 4
-            else f"{word()}_{word()}-{r.randint(0, 9999)}.{word()}/{word()}", 0,
-        ))
-    return out
+    r = random.Random(seed)
+    return [(credential(r, f), 1) for f in formats for _ in range(each)] + [(ordinary(r), 0) for _ in range(each * 50)]
 
 
 class Automaton:
@@ -151,34 +172,72 @@ class Automaton:
 
 
 class Model:
-    """Scores candidates: mean log-likelihood ratio a symbol, format automaton against an order-1 model of ordinary runs."""
-
-    miss = math.log(1e-4)
-
-    def __init__(self, examples: list[tuple[str, int]], threshold: float = 0.5):
-        self.logs = Automaton([symbols(t) for t, y in examples if y]).logs()
-        pairs: dict[str, Counter] = defaultdict(Counter)
-        for t, y in examples:
-            if not y:
-                s = ["^", *symbols("    " + t)[4:]]
-                for a, b in zip(s, s[1:]):
-                    pairs[a][b] += 1
-        self.plain = {a: {b: math.log(n / (sum(c.values()) + 1)) for b, n in c.items()} for a, c in pairs.items()}
+    """Scores candidates: log-likelihood ratio of the format automaton against that of ordinary runs, both smoothed by their symbols' frequencies."""
+
+    #: Share of the frequencies in a step that an automaton knows; how far a ratio may fall below its best before the rest is another candidate's;
+    #: symbols of a candidate, and its log-likelihood ratio, at least.
+    SMOOTH, DROP, LEAST, SURE = 0.1, 8.0, 16, 10.0
+
+    def __init__(self, examples: list[tuple[str, int]], threshold: float = 0.3):
         self.threshold = threshold
+        self.good, self.bad = (self.tables([t for t, y in examples if y == kind]) for kind in (1, 0))
+
+    def tables(self, texts: list[str]) -> tuple[dict, dict, dict, float]:
+        """Steps by state and symbol, end costs by state, fallback costs by symbol, and that of an unknown one."""
+        words = [symbols(t) for t in texts]
+        automaton = Automaton(words)
+        seen = Counter(s for w in words for s in w)
+        total = sum(seen.values()) + 64
+        share = {s: (n + 1) / total for s, n in seen.items()}
+        steps, ends = {}, {}
+        for a, arcs in automaton.arcs.items():
+            n = automaton.total(a) or 1
+            steps[a] = {s: (to, math.log((1 - self.SMOOTH) * m / n + self.SMOOTH * share[s])) for s, (to, m) in arcs.items()}
+            ends[a] = math.log(max(automaton.ends[a] / n, 1e-3))
+        return steps, ends, {s: math.log(self.SMOOTH * p) for s, p in share.items()}, math.log(self.SMOOTH / total)
+
+    def best(self, run: str, start: int) -> tuple[float, int]:
+        """(total ratio, end) of the likeliest candidate from ``start``; (0, start) if none is likelier than ordinary."""
+        (s1, e1, f1, u1), (s2, e2, f2, u2) = self.good, self.bad
+        a = b = 0
+        ratio, top, found, peak = 0.0, 0.0, start, 0.0
+        n = len(run)
+        for i, s in enumerate(symbols(run[start:]), start):
+            x = s1.get(a)
+            x = x.get(s) if x else None
+            y = s2.get(b)
+            y = y.get(s) if y else None
+            # An automaton without the step stays where it is and pays for the symbol alone.
+            a, p = x if x else (a, f1.get(s, u1))
+            b, q = y if y else (b, f2.get(s, u2))
+            ratio += p - q
+            if ratio > peak:
+                peak = ratio
+            elif ratio < peak - self.DROP:
+                break
+            if i + 1 - start >= self.LEAST and (i + 1 == n or not run[i + 1].isalnum()):
+                # Where a run goes on behind a border, neither automaton has ended for sure: ends count at the run's end alone.
+                whole = ratio + (e1[a] - e2[b] if i + 1 == n else 0.0)
+                if whole >= max(self.SURE, self.threshold * (i + 1 - start)) and whole > top:
+                    top, found = whole, i + 1
+        return top, found
+
+    def found(self, run: str) -> list[tuple[int, int]]:
+        """The credentials in a run of credential characters: the first likely start, its likeliest end, and so on behind it."""
+        out, at, n = [], 0, len(run)
+        while at <= n - self.LEAST:
+            if at == 0 or not run[at - 1].isalnum():
+                _, end = self.best(run, at)
+                if end > at:
+                    out.append((at, end))
+                    at = end
+                    continue
+            at += 1
+        return out
 
     def score(self, text: str) -> float:
-        """Above 0: likelier a credential. A run without a digit or without a letter, or with under 7 different characters, is none."""
-        if len(set(text)) < 7 or not any(c.isdigit() for c in text) or not any(c.isalpha() for c in text):
-            return -1.0
-        at, log, literal = 0, 0.0, symbols(text)
-        for s in literal:
-            to, p = self.logs.get(at, {}).get(s, (at, self.miss))
-            at, log = to, log + p
-        before = "^"
-        for s in symbols("    " + text)[4:]:
-            log -= self.plain.get(before, {}).get(s, self.miss)
-            before = s
-        return log / len(literal)
+        """The best ratio of a candidate in the text, 0 if none is likelier a credential."""
+        return max((self.best(text, a)[0] for a, _ in self.found(text)), default=0.0)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -193,15 +252,15 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def spans(text: str | None, model: Model) -> tuple[list, list]:
-    """The base spans, and all spans: those and the runs that the automaton scores as credentials and no base span overlaps."""
+    """The base spans, and all spans: those and the stretches that the automata score as credentials, unless one base span holds them."""
     if not text:
         return [], []
-    base = base_spans(text)
-    more = []
+    base, more = base_spans(text), []
     for m in CANDIDATE.finditer(text):
-        a, b = m.span()
-        if not m[0].isalpha() and model.score(m[0]) >= model.threshold and all(e <= a or s >= b for s, _, e in base):
-            more.append((a, 3, b))
+        for a, b in model.found(m[0]):
+            a, b = a + m.start(), b + m.start()
+            if not any(s <= a and b <= e for s, _, e in base):
+                more.append((a, 3, b))
     return base, sorted(base + more) if more else base
 
 
