@@ -23,7 +23,7 @@ import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 EVENTS = "conv_id long, message long, seq long, kind string, role string, text string"
@@ -129,8 +129,10 @@ def arrow(ddl: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(ddl))
 
 
-def ordered(events: DataFrame) -> DataFrame:
-    return events.repartition("conv_id").sortWithinPartitions("conv_id", "message", "seq", "kind", "role", "text").select("conv_id", "message", "kind", "role", "text")
+def ordered(events: DataFrame, dealt: bool = False) -> DataFrame:
+    """The log by conversation, message and sequence; ``dealt``: it already lies by conversation."""
+    by = events if dealt else events.repartition("conv_id")
+    return by.sortWithinPartitions("conv_id", "message", "seq", "kind", "role", "text").select("conv_id", "message", "kind", "role", "text")
 
 
 def folded(events: DataFrame) -> DataFrame:
@@ -140,17 +142,37 @@ def folded(events: DataFrame) -> DataFrame:
     return ordered(events).mapInArrow(lambda batches: batched(fold(columns(batches)), schema), ddl)
 
 
-def chat_format(events: DataFrame) -> DataFrame:
+def chat_format(events: DataFrame, dealt: bool = False) -> DataFrame:
     """conv_id, piece, formatted, mask: the rendered conversations of a log, sorted within partitions."""
     schema = arrow(PIECES)
-    return ordered(events).mapInArrow(lambda batches: batched(pieces(fold(columns(batches))), schema), PIECES)
+    return ordered(events, dealt).mapInArrow(lambda batches: batched(pieces(fold(columns(batches))), schema), PIECES)
 
 
 def messages_as_events(rows: DataFrame) -> DataFrame:
-    """A table of finished turns (conv_id, turn, role, text) as a log."""
+    """A table of finished turns (conv_id, turn, role, text) as a log of opening events."""
     return rows.select("conv_id", F.col("turn").cast("long").alias("message"), F.col("turn").cast("long").alias("seq"), F.lit("message").alias("kind"), "role", "text")
 
 
+def streamed_log(rows: DataFrame) -> DataFrame:
+    """The log that leads to a table of finished turns (conv_id, turn, role, text), laid out by conversation: by a hash of its place a turn is
+    written at once, streamed in deltas, a draft that is edited, or an answer that is broken off, generated anew and streamed. Turns that share their
+    place are written at once, so their events don't mix."""
+    place = Window.partitionBy("conv_id", "turn")
+    one = rows.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", F.coalesce("text", F.lit("")).alias("text")).repartition("conv_id").withColumn("tied", F.count("*").over(place) > 1)
+    n, way = F.char_length("text"), F.when(F.col("tied"), 0).otherwise(F.pmod(F.xxhash64("conv_id", "turn"), F.lit(4)))
+    event = lambda seq, kind, text: F.struct(F.lit(seq).cast("long").alias("seq"), F.lit(kind).alias("kind"), text.alias("text"))
+    third = F.floor(n / 3).cast("int")
+    thirds = [F.left("text", third), F.substring(F.col("text"), third + 1, third), F.substring(F.col("text"), 2 * third + 1, n)]
+    deltas = lambda at: [event(at + k, "delta", x) for k, x in enumerate(thirds)]
+    log = (
+        F.when(way == 1, F.array(event(0, "message", F.lit("")), *deltas(1)))
+        .when(way == 2, F.array(event(0, "message", F.concat("text", F.lit(" (draft)"))), event(1, "edit", F.col("text"))))
+        .when(way == 3, F.array(event(0, "message", F.lit("")), event(1, "delta", thirds[1]), event(2, "regenerate", F.lit(None).cast("string")), *deltas(3)))
+        .otherwise(F.array(event(0, "message", F.col("text"))))
+    )
+    return one.select("conv_id", F.col("turn").alias("message"), "role", F.explode(log).alias("e")).select("conv_id", "message", "e.seq", "e.kind", "role", "e.text")
+
+
 def read_back(rows: Iterable[tuple]) -> Iterator[tuple]:
     """Digests of rendered conversations, from their pieces in order."""
     conv, started, n, chars, total, turns, loss = None, False, 0, 0, 0, hashlib.sha256(), hashlib.sha256()

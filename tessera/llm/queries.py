@@ -41,7 +41,7 @@ def op7_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = spark.createDataFrame([(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
-    return chat.digests(chat.chat_format(chat.messages_as_events(rows)))
+    return chat.digests(chat.chat_format(chat.streamed_log(rows), dealt=True))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
