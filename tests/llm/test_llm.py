@@ -491,6 +491,16 @@ def test_chat_events(spark):
     assert chat.digests(chat.chat_format(log.where("conv_id > 99"))).count() == 0
 
 
+def test_chat_streamed_log_folds_to_its_turns(spark):
+    rows = [(c, k, "assistant" if k % 2 else "user", None if (c + k) % 11 == 0 else f"text {c} {k} é🎉" * (k % 4)) for c in range(40) for k in range(6)]
+    rows += [(99, 0, "user", "tied b"), (99, 0, "user", "tied a"), (99, 0, "assistant", "tied"), (None, 3, None, None)]
+    log = chat.streamed_log(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    kinds = {r.kind: r["count"] for r in log.groupBy("kind").count().collect()}
+    assert min(kinds.get(k, 0) for k in ("message", "delta", "edit", "regenerate")) > 10
+    got = sorted(map(tuple, chat.folded(log).collect()), key=str)
+    assert got == sorted(((c, k, role or "", text or "") for c, k, role, text in rows), key=str)
+
+
 def test_chat_query(spark, data):
     from tessera.llm.queries import QUERIES
 
@@ -568,6 +578,37 @@ def test_decontamination(spark):
 # the pipeline
 
 
+def test_decontamination_against_all_diagonals(spark):
+    """Every overlap on any diagonal, planted with substitutions, long, repeated and in frequent words, against a comparison of all pairs."""
+    r = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(400)]
+    draw = lambda n: [r.choice(vocabulary) for _ in range(n)]
+    items = [draw(n) for n in (6, 9, 12, 15, 20, 30, 60, 200, 1500)] + [["same"] * 40, ["a", "b"] * 20]
+    docs = [[*draw(r.randint(0, 200)), *(r.choice(vocabulary) if r.random() < share else w for w in item), *draw(r.randint(0, 200))] for item in items for share in (0, 0.05, 0.1, 0.2) for _ in range(6)]
+    docs += [draw(300) for _ in range(40)] + [["same"] * 6000, ["a", "b"] * 3000, items[8] + draw(50) + items[8], []]
+    mine = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    got = {(x.doc_id, x.item_id): x.n_match for x in decontaminate.contaminated(mine, bench).collect()}
+    code = {w: i for i, w in enumerate(dict.fromkeys(w for x in docs + items for w in x))}
+    number = lambda ws: np.array([code[w] for w in ws], np.uint64)
+    want = {}
+    for i, d in enumerate(docs):
+        for k, x in enumerate(items):
+            a, b = number(d), number(x)
+            best = max((s for at in range(-len(b) + 1, len(a)) if (s := decontaminate.stretch(a, b, at, 10))), default=None)
+            if best:
+                want[i, k] = best[0]
+    assert set(got) <= set(want) and all(got[p] == want[p] for p in got)
+    assert len(got) > 0.98 * len(want)
+
+
+def test_long_copies_count_in_full(spark):
+    words = [f"w{i}" for i in range(10_000)]
+    docs = spark.createDataFrame([(1, " ".join(["x"] * 50 + words + ["y"] * 50))], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, " ".join(words))], "item_id long, text string")
+    assert [tuple(r) for r in decontaminate.contaminated(docs, bench).collect()] == [(1, 7, 10_000, 50, 10_000)]
+
+
 def test_pipeline_stages(spark, data):
     import corpus_pipeline
 
