@@ -31,8 +31,10 @@ from .common import components, cut, spread, written
 
 #: Registers, bands and registers of a band; base and rate of the sketch.
 M, BANDS, ROWS, BASE, RATE = 256, 42, 6, 1.02, 20.0
-#: Members of a block; bits of the member filter; words whose hash a worker keeps; standard errors that an estimate may fall short.
-BLOCK, BITS, WORDS_KEPT, SLACK = 120, 24, 300_000, 5.0
+#: Members of a block; bits of the smallest and the largest member filter; words whose hash a worker keeps; standard errors that an estimate may fall short.
+BLOCK, BITS, MOST_BITS, WORDS_KEPT, SLACK = 120, 24, 29, 300_000, 5.0
+#: Elements of a set that are sketched at once.
+SLICE = 1 << 16
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -74,6 +76,8 @@ def sketch(h: np.ndarray) -> np.ndarray:
     Each element is a Poisson process whose points fall on random registers; a register holds the first point of any element on it,
     on a logarithmic scale. Points are drawn until each element has passed the largest register, so no later one can matter.
     """
+    if len(h) > SLICE:  # sketches of parts merge by maxima, so a text of any length needs the memory of one part
+        return np.maximum.reduce([sketch(h[at : at + SLICE]) for at in range(0, len(h), SLICE)])
     n = max(2, int(np.ceil(M * (np.log(M) + 5) / len(h))) + 2)
     while True:
         r = mixed(h[:, None] + GOLD * np.arange(1, n + 1, dtype=np.uint64))
@@ -141,22 +145,24 @@ def described(k: int):
     return run
 
 
-def slot(ids: np.ndarray) -> np.ndarray:
-    return (mixed(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - BITS)).astype(np.int64)
+def slot(ids: np.ndarray, bits: int) -> np.ndarray:
+    return (mixed(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def member_filter(members: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size, 2 MB, with the bits of all member ids set: built by aggregation in parts of 4 KB."""
+def member_filter(members: DataFrame) -> tuple[np.ndarray, int]:
+    """A bitmap with the bits of all member ids set, eight a member, but 2 MB at least and 64 MB at most: built by aggregation in parts of 4 KB.
+    Beyond the most, more documents pass that are no members; the result is the same."""
+    bits = min(MOST_BITS, max(BITS, int(members.count() * 8).bit_length()))
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(slot(b.column(0).to_numpy(zero_copy_only=False)))], names=["s"])
+            yield pa.RecordBatch.from_arrays([pa.array(slot(b.column(0).to_numpy(zero_copy_only=False), bits))], names=["s"])
 
     rows = members.select("node").mapInArrow(slots, "s long").groupBy((F.col("s") / 32768).cast("long").alias("part")).agg(F.bitmap_construct_agg(F.col("s") % 32768).alias("bits")).collect()
-    out = np.zeros(1 << BITS >> 3, np.uint8)
+    out = np.zeros(1 << bits >> 3, np.uint8)
     for r in rows:
         out[r.part * 4096 : (r.part + 1) * 4096] = np.frombuffer(r.bits, np.uint8)
-    return out
+    return out, bits
 
 
 def member_sets(docs: DataFrame, members: DataFrame, k: int) -> DataFrame:
@@ -164,10 +170,11 @@ def member_sets(docs: DataFrame, members: DataFrame, k: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(member_filter(members))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, bits = Hashes(), np.unpackbits(shared.value, bitorder="little").view(bool)
+        known, (packed, bits) = Hashes(), shared.value
         for b in batches:
             ids = b.column(0).fill_null(0).to_numpy(zero_copy_only=False)
-            b = b.filter(pa.array(bits[slot(ids)] & b.column(0).is_valid().to_numpy(zero_copy_only=False)))
+            at = slot(ids, bits)
+            b = b.filter(pa.array((packed[at >> 3] >> (at & 7) & 1).astype(bool) & b.column(0).is_valid().to_numpy(zero_copy_only=False)))
             for at in range(0, b.num_rows, 512):
                 sets = [(i, h) for i, t in zip(b.column(0).slice(at, 512).to_pylist(), b.column(1).slice(at, 512).to_pylist()) if len(h := shingles(t, k, known))]
                 if sets:

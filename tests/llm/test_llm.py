@@ -466,6 +466,28 @@ def test_vectors_match_brute_force(spark):
     assert vector_dedup.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_vectors_of_several_lengths_copies_and_repeated_ids(spark):
+    r = np.random.default_rng(8)
+    rows = [(i, [1.0, 2.0]) for i in range(40)] + [(100, [1.0, 2.1])] + [(200 + i, v.tolist()) for i, v in enumerate(r.standard_normal((50, 3)))]
+    rows += [(300, [1.0, 0.0, 0.0, 0.0]), (300, [0.0, 1.0, 0.0, 0.0]), (301, [1.0, 0.01, 0.0, 0.0]), (302, [0.01, 1.0, 0.0, 0.0]), (303, [0.0, 0.0, 1.0, 0.0]), (303, [0.0, 0.0, 1.0, 0.01]), (304, [0.0, 0.0, 1.0, 0.0])]
+    got = vector_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    unit = [(i, np.array(v) / np.linalg.norm(v)) for i, v in rows]
+    links, label = Counter(), {i: i for i, _ in rows}
+    for i, x in unit:
+        for k, y in unit:
+            if i != k and len(x) == len(y) and x @ y >= 0.95:
+                links[i] += 1
+    for _ in rows:
+        for i, x in unit:
+            for k, y in unit:
+                if len(x) == len(y) and x @ y >= 0.95:
+                    label[i] = label[k] = min(label[i], label[k])
+    assert len(got) == len(rows)
+    for v in got:
+        assert (v.vec_id, v.n_links, v.component_id) == (v.vec_id, links[v.vec_id], label[v.vec_id])
+    assert links[0] == 40 and links[300] == 2
+
+
 # 8: chats
 
 
