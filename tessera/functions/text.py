@@ -11,7 +11,17 @@ from . import sentences
 #: Legal endings of company names, stripped up to three times from the end.
 LEGAL_ENDINGS = r"s\.?p\.?a\.?|s\.?r\.?l\.?|s\.?a\.?s\.?|s\.?n\.?c\.?|ltd\.?|llc\.?|inc\.?|gmbh\.?|ag\.?|b\.?v\.?|n\.?v\.?|plc\.?|corp\.?|corporation|company|group|gruppo|holding|holdings|partecipazioni"
 #: Words that carry no meaning in titles of this field.
-STRUCTURAL_WORDS = "sgr capital partners group investimenti investment private venture fondo fund equity the of in to an a for and with at by from on as is are was were be been has had have will that this it its or so".split()
+STRUCTURAL_WORDS = [
+    "sgr", "capital", "partners", "group", "investimenti", "investment", "private", "venture", "fondo", "fund", "equity", "the", "of", "in", "to", "an", "a", "for", "and", "with", "at", "by", "from", "on", "as", "is", "are", "was", "were",
+    "be", "been", "has", "had", "have", "will", "that", "this", "it", "its", "or", "so",
+]
+#: Words of fund types, Italian verbs of deals and function words, which every title of a fund has.
+TITLE_WORDS = [
+    "sgr", "capital", "partners", "group", "investimenti", "investment", "private", "venture", "fondo", "fund", "equity",
+    "rileva", "rilevano", "acquisisce", "acquisizione", "investe", "investimento", "maggioranza", "controllo", "entra", "quota", "nuovo", "nuova", "nuovi",
+    "la", "il", "lo", "di", "del", "della", "dello", "dei", "degli", "delle", "da", "per", "con", "un", "una", "uno", "in", "nel", "nella", "al", "alla", "allo", "ai", "e",
+    "the", "of", "in", "for", "and", "to", "a", "an", "its", "with", "from", "new", "announces", "announcement",
+]
 #: Italian words and their English counterparts.
 CROSS_LANGUAGE = {
     "investe": "invests", "investimento": "investment", "investimenti": "investments", "rileva": "acquires", "acquisisce": "acquires", "acquisizione": "acquisition", "cede": "sells", "cessione": "sale", "vendita": "sale",
@@ -28,8 +38,9 @@ def squash(c: Column) -> Column:
 
 
 def norm_company(c: Column) -> Column:
-    """Company name for matching: lower case, 'logo' and legal endings stripped from the end, then alphanumerics alone."""
-    c = F.regexp_replace(F.trim(F.lower(c)), r"\s*logo\s*$", "")
+    """Company name for matching: lower case, what is in parentheses, 'logo' and legal endings stripped, then alphanumerics alone."""
+    c = F.regexp_replace(F.trim(F.lower(c)), r"\s*\(.*\)", "")
+    c = F.regexp_replace(c, r"\s*logo\s*$", "")
     for _ in range(3):
         c = F.trim(F.regexp_replace(c, rf"(?:\s+|,\s*)(?:{LEGAL_ENDINGS})\s*$", ""))
     return squash(F.regexp_replace(c, r"\s+technologies\s*$", ""))
@@ -69,9 +80,9 @@ def words(c: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(F.split(squash(c), " "), lambda w: w != "")))
 
 
-def content_words(c: Column) -> Column:
+def content_words(c: Column, without: list[str] = STRUCTURAL_WORDS) -> Column:
     """Words without the structural ones."""
-    return F.array_except(words(c), F.array(*map(F.lit, STRUCTURAL_WORDS)))
+    return F.array_except(words(c), F.array(*map(F.lit, without)))
 
 
 def to_english(ws: Column) -> Column:
@@ -140,5 +151,17 @@ def once_per_sentence(c: Column, share: float = 0.6) -> Column:
 
 
 def contexts(c: Column, phrase: str, width: int = 60) -> Column:
-    """Occurrences of a phrase with up to ``width`` characters on both sides."""
-    return F.regexp_extract_all(c, F.lit(f"(?is).{{0,{width}}}\\b{phrase}\\b.{{0,{width}}}"), 0)
+    """Occurrences of a phrase, in any case, with up to ``width`` characters on both sides; contexts may overlap. A null text has none."""
+    import re
+
+    found = re.compile(rf"\b(?:{phrase})\b", re.IGNORECASE)
+
+    @F.arrow_udf("array<string>")
+    def around(texts: pa.Array) -> pa.Array:
+        out = []
+        for t in texts:
+            t = t.as_py() or ""
+            out.append([t[max(0, m.start() - width) : m.end() + width] for m in found.finditer(t)])
+        return pa.array(out, pa.list_(pa.string()))
+
+    return around(c)

@@ -65,18 +65,18 @@ def key_components(df: DataFrame, id_: str, keys: Sequence[str]) -> DataFrame:
     low = tied.groupBy("k").agg(F.min("a").alias("b"))
     edges = tied.join(low, "k").select("a", "b").distinct()
     labels = df.select(F.col(id_).alias("a")).distinct().withColumn("c", F.col("a"))
-    edges = _cut(edges)
+    edges = cut(edges)
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b")
     while True:
         step = both.join(labels.withColumnsRenamed({"a": "b", "c": "d"}), "b").groupBy("a").agg(F.min("d").alias("d"))
-        new = _cut(labels.join(step, "a", "left").select("a", F.least("c", F.coalesce("d", "c")).alias("n"), F.col("c").alias("old")))
+        new = cut(labels.join(step, "a", "left").select("a", F.least("c", F.coalesce("d", "c")).alias("n"), F.col("c").alias("old")))
         if new.where("n <> old").isEmpty():
             return new.select(F.col("a").alias(id_), F.col("n").alias("component"))
         # A label's own label is as good, so paths halve.
         labels = new.select("a", F.col("n").alias("m")).join(new.select(F.col("a").alias("m"), F.col("n").alias("c")), "m").select("a", "c")
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
     """Checkpoint in the shared folder; the session's setting, or one beside the warehouse where it is unset."""
     spark = df.sparkSession
     sc = spark.sparkContext
@@ -108,34 +108,46 @@ def greedy_merge(df: DataFrame, id_: str, keys: Sequence[str], order: Sequence[C
     return df.join(kept, id_)
 
 
-def greedy_similar(df: DataFrame, scope: Sequence[str], id_: str, words: str, all_words: str, at: str, order: Sequence[Column], near: Sequence[tuple[float, float]] = ((3, 0.4), (7, 0.5)), unknown: float = 0.6) -> DataFrame:
+def greedy_similar(
+    df: DataFrame, scope: Sequence[str], id_: str, words: str, all_words: str, at: str, order: Sequence[Column], near: Sequence[tuple[float, float]] = ((3, 0.4), (7, 0.5)), unknown: float = 0.6,
+    native: str | None = None, whole_days: bool = False,
+) -> DataFrame:
     """Rows kept by greedy similarity within a scope. A row with fewer than three words passes and suppresses nothing; others go if a kept
-    one shares enough words within enough days. Kept rows are looked up by word, so only those with a common word are compared."""
+    one shares enough words within enough days. Kept rows are looked up by word, so only those with a common word are compared.
+
+    With ``native``, ``words`` are the native ones mapped to one language: the larger of both overlaps counts, over the smaller native set.
+    ``whole_days`` rounds the difference, kept row's time taken from the row's, down to days before its sign is dropped."""
 
     def fold(rows: Iterable[tuple]) -> Iterator[tuple]:
-        kept, by_word = [], {}
-        for i, ws, every, t in rows:
-            ws = set(ws or ())
-            if len(every or ()) < 3 or not ws:
+        kept, by_word = [], ({}, {})
+        for i, ws, every, t, own in rows:
+            sets = (set(ws or ()), set(own or ()) if native else set())
+            base = sets[1] if native else sets[0]
+            if len(every or ()) < 3 or not base:
                 yield (i,)
                 continue
             common: dict = {}
-            for w in ws:
-                for k in by_word.get(w, ()):
-                    common[k] = common.get(k, 0) + 1
+            for side, index in zip(sets, by_word):
+                counts: dict = {}
+                for w in side:
+                    for k in index.get(w, ()):
+                        counts[k] = counts.get(k, 0) + 1
+                for k, n in counts.items():
+                    common[k] = max(common.get(k, 0), n)
             gone = False
             for k, n in common.items():
                 size, other = kept[k]
-                ratio = n / min(len(ws), size)
-                days = abs((t - other).total_seconds()) / 86400 if t is not None and other is not None else None
+                ratio = n / min(len(base), size)
+                days = None if t is None or other is None else abs((t - other).days) if whole_days else abs((t - other).total_seconds()) / 86400
                 if (days is None and ratio >= unknown) or (days is not None and any(days <= limit and ratio >= r for limit, r in near)):
                     gone = True
                     break
             if not gone:
-                for w in ws:
-                    by_word.setdefault(w, []).append(len(kept))
-                kept.append((len(ws), t))
+                for side, index in zip(sets, by_word):
+                    for w in side:
+                        index.setdefault(w, []).append(len(kept))
+                kept.append((len(base), t))
                 yield (i,)
 
-    kept = fold_scopes(df, scope, order, [id_, words, all_words, at], f"{id_} long", fold)
+    kept = fold_scopes(df.withColumn("_own", F.col(native) if native else F.lit(None).cast("array<string>")), scope, order, [id_, words, all_words, at, "_own"], f"{id_} long", fold)
     return df.join(kept, id_, "left_semi")

@@ -10,25 +10,27 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 
 
-def mentions(docs: DataFrame, phrases: DataFrame, doc_id: str, text: str, phrase_id: str, phrase: str, longest: int) -> DataFrame:
-    """(doc_id, phrase_id) where the normalised text holds the normalised phrase of up to ``longest`` words at word borders.
+def mentions(docs: DataFrame, phrases: DataFrame, doc_id: str, text: str, phrase_id: str, phrase: str, longest: int = 4) -> DataFrame:
+    """(doc_id, phrase_id) where the normalised text holds the normalised phrase, of any number of words, at word borders.
 
-    Word n-grams of the texts, distinct within each, join the phrases by equality. Only lengths that some phrase has are built (at most
-    ``longest`` numbers are gathered). A scan of fewer partitions than cores is dealt to all of them first.
+    Word n-grams of the texts, distinct within each, join the phrases' first ``longest`` words by equality; candidates for longer phrases are
+    then looked up in their text. Only lengths that some phrase has are built (at most ``longest`` numbers are gathered).
     """
-    keyed = phrases.select(phrase_id, T.squash(F.col(phrase)).alias("_g")).where("_g <> ''")
-    lengths = sorted(r.n for r in keyed.select(F.size(F.split("_g", " ")).alias("n")).distinct().collect() if r.n <= longest)
-    cores = docs.sparkSession.sparkContext.defaultParallelism
-    docs = docs.select(doc_id, text)
-    docs = docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
-    words = docs.select(doc_id, F.filter(F.split(T.squash(F.col(text)), " "), lambda w: w != "").alias("_w"))
+    keyed = phrases.select(phrase_id, T.squash(F.col(phrase)).alias("_p")).where("_p <> ''").withColumn("_s", F.split("_p", " "))
+    keyed = keyed.select(phrase_id, F.array_join(F.slice("_s", 1, longest), " ").alias("_g"), F.when(F.size("_s") > longest, F.col("_p")).alias("_p"))
+    lengths = sorted(r.n for r in keyed.select(F.size(F.split("_g", " ")).alias("n")).distinct().collect())
+    docs = docs.select(doc_id, T.squash(F.col(text)).alias("_t"))
+    words = docs.select(doc_id, F.filter(F.split("_t", " "), lambda w: w != "").alias("_w"))
 
     def of(n: int):
         starts = F.sequence(F.lit(1), F.size("_w") - n + 1)
         return F.when(F.size("_w") >= n, F.transform(starts, lambda i: F.array_join(F.slice(F.col("_w"), i, n), " "))).otherwise(F.array().cast("array<string>"))
 
     grams = F.flatten(F.array(*(of(n) for n in lengths or [1])))
-    return words.select(doc_id, F.explode(F.array_distinct(grams)).alias("_g")).join(keyed, "_g").select(doc_id, phrase_id).distinct()
+    met = words.select(doc_id, F.explode(F.array_distinct(grams)).alias("_g")).join(keyed, "_g")
+    # Those that the first words decide need no second look.
+    whole = met.where("_p is not null").join(docs, doc_id).where(F.contains(F.concat(F.lit(" "), "_t", F.lit(" ")), F.concat(F.lit(" "), "_p", F.lit(" "))))
+    return met.where("_p is null").select(doc_id, phrase_id).unionByName(whole.select(doc_id, phrase_id)).distinct()
 
 
 def jaccard_pairs(df: DataFrame, scope: Sequence[str], id_: str, words: str, least: float) -> DataFrame:

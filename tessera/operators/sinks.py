@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.dedup import cut
 from tessera.sources.files import exists
 
 
@@ -21,7 +22,7 @@ def append_new(df: DataFrame, path: str, keys: Sequence[str]) -> int:
     fresh = df.dropDuplicates(list(keys))
     if exists(spark, path):
         fresh = fresh.join(spark.read.parquet(path).select(*keys), list(keys), "left_anti")
-    fresh = fresh.checkpoint() if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else fresh.persist()
+    fresh = cut(fresh)
     n = fresh.count()
     fresh.write.mode("append").parquet(path)
     return n

@@ -68,13 +68,16 @@ def j7(spark, d):
     return e.signals.join(e.items, ["fund_id", "company_id"], "left_semi").select("signal_id")
 
 
-@plan("j8_mention_join", """, w AS (SELECT DISTINCT doc_id, unnest(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ')) AS w FROM docs), q AS (SELECT item_id, string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ')[1:3] AS ph FROM benchmark)
-SELECT doc_id, item_id FROM docs d JOIN benchmark b ON contains(' ' || trim(regexp_replace(lower(d.text), '[^a-z0-9]+', ' ', 'g')) || ' ', ' ' || array_to_string((string_split(trim(regexp_replace(lower(b.text), '[^a-z0-9]+', ' ', 'g')), ' '))[1:4], ' ') || ' ')""")
+@plan("j8_mention_join", """, t AS (SELECT doc_id, ' ' || trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) || ' ' AS t FROM docs),
+q AS (SELECT item_id, ' ' || trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) || ' ' AS p FROM benchmark UNION ALL SELECT 1000000 + item_id, ' ' || array_to_string((string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' '))[1:3], ' ') || ' ' FROM benchmark)
+SELECT doc_id, item_id FROM t JOIN q ON contains(t, p)""")
 def j8(spark, d):
-    """Texts that mention a phrase of up to four words, at word borders: an equi-join on word n-grams, not a scan of all phrases."""
+    """Texts that mention a phrase, at word borders: an equi-join on word n-grams, not a scan of all phrases. Phrases are whole items and their
+    first three words."""
     e = E(spark, d)
-    phrases = e.table("benchmark").select("item_id", F.array_join(F.slice(F.split(T.squash(F.col("text")), " "), 1, 4), " ").alias("phrase"))
-    return M.mentions(e.docs.select("doc_id", "text"), phrases, "doc_id", "text", "item_id", "phrase", longest=4)
+    items = e.table("benchmark").select("item_id", T.squash(F.col("text")).alias("phrase"))
+    heads = items.select((F.col("item_id") + 1_000_000).alias("item_id"), F.array_join(F.slice(F.split("phrase", " "), 1, 3), " ").alias("phrase"))
+    return M.mentions(e.docs.select("doc_id", "text"), items.unionByName(heads), "doc_id", "text", "item_id", "phrase")
 
 
 @plan("j10_fuzzy_pairs", """, p AS (SELECT company_id, brand, string_split(name, ' ') AS w FROM companies)

@@ -59,15 +59,35 @@ def d6(spark, d):
 
 @plan("d6_semantic_survivors")
 def d6_greedy(spark, d):
-    """Greedy near-duplicate suppression within a source, best quality first (D7 with another order): fewer than three words pass and suppress nothing."""
-    x = E(spark, d).docs.select("doc_id", "source", T.to_english(T.content_words(F.col("title"))).alias("words"), T.words(F.col("title")).alias("all"), F.lit(None).cast("timestamp").alias("at"), F.col("n_chars").alias("quality"))
-    return X.greedy_similar(x, ["source"], "doc_id", "words", "all", "at", [F.desc("quality"), F.col("doc_id")]).select("doc_id")
+    """Greedy near-duplicate suppression within a source, best quality first: titles without the words of their source and of deals, the larger of the
+    native and the mapped overlap over the smaller native set, whole days; fewer than three words pass and suppress nothing."""
+    x = dated(E(spark, d).docs).select("doc_id", "source", "at", F.array_except(T.content_words(F.col("title"), T.TITLE_WORDS), T.words(F.col("source"))).alias("native"), T.words(F.col("title")).alias("all"), F.col("n_chars").alias("quality"))
+    x = x.withColumn("words", T.to_english(F.col("native")))
+    return X.greedy_similar(x, ["source"], "doc_id", "words", "all", "at", [F.desc("quality"), F.col("doc_id")], native="native", whole_days=True).select("doc_id")
 
 
-@plan("d8_news_upsert", """SELECT fund_id, type, arg_max(signal_id, struct_pack(a := published_at IS NOT NULL, b := score, c := observed_at, d := signal_id)) AS signal_id FROM signals GROUP BY fund_id, type""")
+def dated(docs):
+    """Documents with a time, a function of the doc_id; some have none."""
+    return docs.withColumn("at", F.when(F.col("doc_id") % 5 != 0, F.timestamp_seconds(F.lit(1_700_000_000) + F.pmod(F.xxhash64("doc_id"), F.lit(60)) * 43_200)))
+
+
+@plan("d7_semantic_feed")
+def d7(spark, d):
+    """The feed's form of the same: rows in the order they come, mapped words alone, fractions of days, the feed's own structural words."""
+    x = dated(E(spark, d).docs).select("doc_id", "source", "at", T.to_english(T.content_words(F.col("title"))).alias("words"), T.words(F.col("title")).alias("all"))
+    return X.greedy_similar(x, ["source"], "doc_id", "words", "all", "at", [F.col("doc_id")]).select("doc_id")
+
+
+@plan("d8_news_upsert", """, v AS (SELECT doc_id, source, lang, CASE WHEN doc_id % 4 = 0 THEN '' ELSE coalesce(trim(title), '') END AS what, doc_id % 3 AS quality, CASE WHEN doc_id % 5 = 0 THEN -1 ELSE doc_id % 2 END AS observed, CASE WHEN doc_id % 7 = 0 THEN -1 ELSE doc_id % 2 END AS created FROM docs)
+SELECT source, lang, arg_max(doc_id, struct_pack(a := what <> '', b := quality, c := observed, d := created, e := length(what), f := -doc_id)) AS doc_id FROM v GROUP BY source, lang""")
 def d8(spark, d):
-    """Best version of a key by an ordered preference."""
-    return E(spark, d).signals.groupBy("fund_id", "type").agg(F.max(F.struct(F.col("published_at").isNotNull().alias("a"), "score", "observed_at", "signal_id"))["signal_id"].alias("signal_id"))
+    """Best version of a key by an ordered preference: a text, then quality, then the newer observation and creation (none is older than any),
+    then the longer text; of equals the first (T2)."""
+    i = F.col("doc_id")
+    what = F.when(i % 4 == 0, "").otherwise(F.coalesce(F.trim("title"), F.lit("")))
+    v = E(spark, d).docs.select("doc_id", "source", "lang", what.alias("what"), (i % 3).alias("quality"), F.when(i % 5 == 0, -1).otherwise(i % 2).alias("observed"), F.when(i % 7 == 0, -1).otherwise(i % 2).alias("created"))
+    best = F.max(F.struct((F.col("what") != "").alias("a"), "quality", "observed", "created", F.char_length("what").alias("e"), (-i).alias("f")))
+    return v.groupBy("source", "lang").agg((-best["f"]).alias("doc_id"))
 
 
 @plan("d9_first_per_key", f"SELECT min(doc_id) AS doc_id FROM docs GROUP BY {KEY}")
@@ -200,20 +220,18 @@ def u1(spark, d):
     return e.items.select("fund_id", "company_id", "status").unionByName(e.deals.select("fund_id", "company_id", F.round("amount", 4).alias("amount")), allowMissingColumns=True)
 
 
-@plan("u2_distinct_names", "SELECT fund_id, list(DISTINCT company_id ORDER BY company_id) AS names FROM (SELECT fund_id, company_id FROM items WHERE company_id < 50 UNION SELECT fund_id, company_id FROM signals WHERE company_id < 50) GROUP BY fund_id")
+@plan("u2_distinct_names", "SELECT fund_id, list(DISTINCT company_id ORDER BY company_id) AS names FROM (SELECT fund_id, company_id FROM items UNION SELECT fund_id, company_id FROM signals) GROUP BY fund_id")
 def u2(spark, d):
-    """Companies under 50 alone, as in its SQL; ``u2_distinct_names_whole`` has all."""
+    """All names of a fund from both tables. The pairs are made distinct first, so that a fund's rows are spread."""
     e = E(spark, d)
-    both = e.items.where("company_id < 50").select("fund_id", "company_id").unionByName(e.signals.where("company_id < 50").select("fund_id", "company_id"))
-    return both.groupBy("fund_id").agg(F.array_sort(F.collect_set("company_id")).alias("names"))
+    both = e.items.select("fund_id", "company_id").unionByName(e.signals.select("fund_id", "company_id")).distinct()
+    return both.groupBy("fund_id").agg(F.array_sort(F.collect_list("company_id")).alias("names"))
 
 
 @plan("u2_distinct_names_whole", "SELECT fund_id, list(DISTINCT company_id ORDER BY company_id) AS names FROM (SELECT fund_id, company_id FROM items UNION SELECT fund_id, company_id FROM signals) GROUP BY fund_id")
 def u2_whole(spark, d):
-    """``u2_distinct_names`` over all companies. The pairs are made distinct first, so that a fund's rows are spread."""
-    e = E(spark, d)
-    both = e.items.select("fund_id", "company_id").unionByName(e.signals.select("fund_id", "company_id")).distinct()
-    return both.groupBy("fund_id").agg(F.array_sort(F.collect_list("company_id")).alias("names"))
+    """The same, under the name of a time when ``u2_distinct_names`` had fewer companies."""
+    return u2(spark, d)
 
 
 @plan("u6_intersection", "SELECT company_id FROM items INTERSECT SELECT company_id FROM signals")

@@ -24,10 +24,10 @@ def stripped(c: str) -> str:
     return f"trim(regexp_replace({c}, '(?:\\s+|,\\s*)(?:{ENDINGS})\\s*$', ''))"
 
 
-RAW = "name || CASE company_id % 6 WHEN 0 THEN ' S.p.A.' WHEN 1 THEN ', Holding S.r.l.' WHEN 2 THEN ' Technologies' WHEN 3 THEN ' logo' WHEN 4 THEN '-Group' ELSE ' Gruppo Holdings Ltd' END"
+RAW = "name || CASE company_id % 6 WHEN 0 THEN ' (via Beta) S.p.A.' WHEN 1 THEN ', Holding S.r.l.' WHEN 2 THEN ' Technologies' WHEN 3 THEN ' logo' WHEN 4 THEN '-Group' ELSE ' Gruppo Holdings Ltd' END"
 
 
-NO_LOGO = f"regexp_replace(trim(lower({RAW})), '\\s*logo\\s*$', '')"
+NO_LOGO = f"regexp_replace(regexp_replace(trim(lower({RAW})), '\\s*\\(.*\\)', ''), '\\s*logo\\s*$', '')"
 NO_ENDING = f"regexp_replace({stripped(stripped(stripped(NO_LOGO)))}, '\\s+technologies\\s*$', '')"
 
 
@@ -35,7 +35,7 @@ NO_ENDING = f"regexp_replace({stripped(stripped(stripped(NO_LOGO)))}, '\\s+techn
 def f1(spark, d):
     """Company names for matching."""
     k = F.col("company_id") % 6
-    raw = F.concat("name", F.when(k == 0, " S.p.A.").when(k == 1, ", Holding S.r.l.").when(k == 2, " Technologies").when(k == 3, " logo").when(k == 4, "-Group").otherwise(" Gruppo Holdings Ltd"))
+    raw = F.concat("name", F.when(k == 0, " (via Beta) S.p.A.").when(k == 1, ", Holding S.r.l.").when(k == 2, " Technologies").when(k == 3, " logo").when(k == 4, "-Group").otherwise(" Gruppo Holdings Ltd"))
     return E(spark, d).companies.select("company_id", T.norm_company(raw).alias("norm"))
 
 
@@ -100,22 +100,19 @@ def f23(spark, d):
     return c.join(o, "company_id").select("company_id", F.round(T.similarity(F.col("name"), F.col("other")), 4).alias("sim"))
 
 
-@plan("f24_line_diff", "SELECT a.doc_id, len(list_filter(string_split(b.text, chr(10)), lambda l: NOT list_contains(string_split(a.text, chr(10)), l))) AS added, len(list_filter(string_split(a.text, chr(10)), lambda l: NOT list_contains(string_split(b.text, chr(10)), l))) AS removed FROM docs a JOIN docs b ON b.doc_id = a.doc_id + 1 WHERE a.n_chars < 500 AND b.n_chars < 500")
+@plan("f24_line_diff", "SELECT a.doc_id, len(list_filter(string_split(b.text, chr(10)), lambda l: NOT list_contains(string_split(a.text, chr(10)), l))) AS added, len(list_filter(string_split(a.text, chr(10)), lambda l: NOT list_contains(string_split(b.text, chr(10)), l))) AS removed FROM docs a JOIN docs b ON b.doc_id = a.doc_id + 1")
 def f24(spark, d):
-    """Lines added and removed between versions of under 500 characters, as in its SQL; ``f24_line_diff_whole`` has versions of any
-    length. The sequence form with ratio and opcodes is ``operators.sequences``."""
-    x = E(spark, d).docs.where("n_chars < 500").select("doc_id", F.split("text", "\n").alias("a"))
+    """Lines added and removed between versions of any length, by a set of each version's lines; null where a version has no text. The sequence
+    form with ratio and opcodes is ``operators.sequences``."""
+    x = E(spark, d).docs.select("doc_id", F.col("text").alias("a"))
     y = x.select((F.col("doc_id") - 1).alias("doc_id"), F.col("a").alias("b"))
-    less = lambda p, q: F.size(F.filter(p, lambda line: ~F.array_contains(q, line))).cast(LONG)
-    return x.join(y, "doc_id").select("doc_id", less(F.col("b"), F.col("a")).alias("added"), less(F.col("a"), F.col("b")).alias("removed"))
+    return x.join(y, "doc_id").select("doc_id", line_diff(F.col("a"), F.col("b")).alias("n")).select("doc_id", "n.added", "n.removed")
 
 
 @plan("f24_line_diff_whole")
 def f24_whole(spark, d):
-    """``f24_line_diff`` for versions of any length, by a set of each version's lines; null where a version has no text."""
-    x = E(spark, d).docs.select("doc_id", F.col("text").alias("a"))
-    y = x.select((F.col("doc_id") - 1).alias("doc_id"), F.col("a").alias("b"))
-    return x.join(y, "doc_id").select("doc_id", line_diff(F.col("a"), F.col("b")).alias("n")).select("doc_id", "n.added", "n.removed")
+    """The same, under the name of a time when ``f24_line_diff`` had short versions alone."""
+    return f24(spark, d)
 
 
 @plan("f26_extraction", r"SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9._]+@[A-Za-z0-9.]+\.[a-z]+')) AS mails, len(regexp_extract_all(text, '@([A-Za-z0-9_.]+)')) AS mentions, len(regexp_extract_all(text, '#([A-Za-z0-9_]+)')) AS tags FROM docs")
@@ -223,7 +220,7 @@ def c13(spark, d):
 @plan("c16_speculative_context")
 def c16(spark, d):
     """Mentions within a context that makes them speculative are suppressed."""
-    found = T.contexts(F.col("text"), "the", 30)
+    found = T.contexts(F.col("text"), "the|die|el|le", 60)
     firm = F.filter(found, lambda c: ~F.rlike(c, F.lit(r"(?i)\b(would|could|may|rumou?r)\b")))
     return E(spark, d).docs.select("doc_id", F.size(found).cast(LONG).alias("mentions"), F.size(firm).cast(LONG).alias("firm"))
 

@@ -38,17 +38,21 @@ def baseline(df: DataFrame, key: str, order: Sequence[str], value: str) -> DataF
     return fold_scopes(df, [key], [F.col(c) for c in order], [order[-1], value], f"{order[-1]} long, baseline double, alert boolean", fold)
 
 
-def breaker_step(state: tuple[str, int, float], failed: bool, now: float, limit: int = 5, cooldown: float = 300) -> tuple[str, int, float]:
-    """One step of a circuit breaker: (state, failures, opened at)."""
-    name, failures, opened = state
+def breaker_step(state: tuple[str, int, float], failed: bool, now: float, limit: int = 5, cooldown: float = 300, successes: int = 2) -> tuple[str, int, float]:
+    """One step of a circuit breaker: (state, count, opened at). The count is of consecutive failures while closed, of consecutive successes
+    while half open; ``successes`` of them close it, one failure opens it again."""
+    name, n, opened = state
     if name == "open" and now - opened >= cooldown:
-        name = "half_open"
+        name, n = "half_open", 0
     if name == "open":
-        return name, failures, opened
+        return name, n, opened
+    if name == "half_open":
+        if failed:
+            return "open", 0, now
+        return ("closed", 0, opened) if n + 1 >= successes else ("half_open", n + 1, opened)
     if not failed:
         return "closed", 0, opened
-    failures += 1
-    return ("open", failures, now) if name == "half_open" or failures >= limit else (name, failures, opened)
+    return ("open", 0, now) if n + 1 >= limit else ("closed", n + 1, opened)
 
 
 def breaker(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
