@@ -43,3 +43,15 @@ def nearest_stop(stop: Column, value: Column) -> Column:
     """Index (from 0) of the stop nearest to a value, the first of equals."""
     gaps = F.transform(stop, lambda x: F.abs(x - value))
     return F.array_position(gaps, F.array_min(gaps)) - 1
+
+
+def parse_stake(c: Column) -> Column:
+    """A share in percent; null if none is given."""
+    t = F.trim(c)
+    return F.when(~F.lower(t).isin("n.a.", "-", ""), F.trim(F.regexp_replace(c, "[%<>]", "")).try_cast("double"))
+
+
+def co_investors(c: Column) -> Column:
+    """Names between commas or semicolons; null if there is none."""
+    found = F.filter(F.transform(F.split(c, "[,;]"), lambda x: F.trim(x)), lambda x: ~x.isin("", "-"))
+    return F.when(~F.trim(c).isin("", "-") & (F.size(found) > 0), found)

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 
+#: Letters of the stretches through which texts meet that may hold each other.
+PIECE = 12
+
 
 def mentions(docs: DataFrame, phrases: DataFrame, doc_id: str, text: str, phrase_id: str, phrase: str, longest: int = 4) -> DataFrame:
     """(doc_id, phrase_id) where the normalised text holds the normalised phrase, of any number of words, at word borders.
@@ -41,3 +44,69 @@ def jaccard_pairs(df: DataFrame, scope: Sequence[str], id_: str, words: str, lea
     size_ok = F.least("na", "nb") >= least * F.greatest("na", "nb")
     n = a.join(b, [*scope, "_x"]).where((F.col("a") < F.col("b")) & size_ok).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("_c"))
     return n.where(F.col("_c") >= least * (F.col("na") + F.col("nb") - F.col("_c"))).select("a", "b")
+
+
+def heads(df: DataFrame, id_: str, words: str, least: float, frequency: DataFrame) -> DataFrame:
+    """(id, word): the rarest words of each row through which it meets all rows whose word sets have a Jaccard similarity of ``least`` or more."""
+    each = df.select(id_, F.explode(F.array_distinct(words)).alias("_x")).join(frequency, "_x")
+    ranked = each.groupBy(id_).agg(F.array_sort(F.collect_list(F.struct("_f", "_x"))).alias("_r"))
+    keep = F.size("_r") - F.ceil(least * F.size("_r") - 1e-9).cast("int") + 1
+    return ranked.select(id_, F.explode(F.transform(F.slice("_r", F.lit(1), keep), lambda s: s["_x"])).alias("_x"))
+
+
+def word_candidates(left: DataFrame, right: DataFrame, left_id: str, right_id: str, name: str, least: float) -> DataFrame:
+    """(left_id, right_id): all pairs whose names' words have a Jaccard similarity of ``least`` or more, and some others. Both sides meet through their
+    rarest words, so frequent words bring no candidates."""
+    x, y = (df.select(i, F.filter(F.split(name, " "), lambda w: w != "").alias("_w")).where(F.size("_w") > 0) for df, i in ((left, left_id), (right, right_id)))
+    f = x.select(F.explode("_w").alias("_x")).unionByName(y.select(F.explode("_w").alias("_x"))).groupBy("_x").agg(F.count("*").alias("_f"))
+    return heads(x, left_id, "_w", least, f).join(heads(y, right_id, "_w", least, f), "_x").select(left_id, right_id).distinct()
+
+
+def best_similar(left: DataFrame, right: DataFrame, left_id: str, right_id: str, name: str, least: float) -> DataFrame:
+    """left_id, right_id, match, score: each left row's most similar right name by ``text.similarity``, ``least`` (over 0.4) or more, of equals the
+    smallest right id; left rows without one have no row. Null and empty names match nothing.
+
+    Candidates are equal names, names that hold each other (the longer's stretches that are long enough meet the shorter by equality), and names
+    that share enough words for the score; no pair of the score is left out.
+    """
+    x, y = left.select(left_id, name).where(F.col(name) != ""), right.select(right_id, name).where(F.col(name) != "")
+    share = least / 0.95
+
+    def stretches(df: DataFrame, id_: str) -> DataFrame:
+        n = F.char_length(name)
+        short = F.greatest(F.ceil(n * share - 1e-9).cast("int"), F.lit(1))
+        cut = F.flatten(F.transform(F.sequence(short, n), lambda m: F.transform(F.sequence(F.lit(1), n - m + 1), lambda i: F.substring(F.col(name), i, m))))
+        return df.select(id_, F.explode(F.array_distinct(F.when(short <= n, cut).otherwise(F.array(F.col(name))))).alias("_k"))
+
+    held = [stretches(x, left_id).join(y.select(right_id, F.col(name).alias("_k")), "_k"), stretches(y, right_id).join(x.select(left_id, F.col(name).alias("_k")), "_k")]
+    pairs = word_candidates(x, y, left_id, right_id, name, max((least - 0.4) / 0.6, 0.01))
+    for p in held:
+        pairs = pairs.unionByName(p.select(left_id, right_id))
+    both = pairs.distinct().join(x.withColumnRenamed(name, "_a"), left_id).join(y.withColumnRenamed(name, "_b"), right_id)
+    scored = both.withColumn("_s", T.similarity(F.col("_a"), F.col("_b"))).where(F.col("_s") >= least - 1e-9)
+    best = F.min(F.struct((-F.round("_s", 12)).alias("k"), right_id, "_b"))
+    return scored.groupBy(left_id).agg(best.alias("_best")).select(left_id, f"_best.{right_id}", F.col("_best._b").alias("match"), (-F.col("_best.k")).alias("score"))
+
+
+def best_words(left: DataFrame, right: DataFrame, left_id: str, right_id: str, name: str, least: float) -> DataFrame:
+    """left_id, right_id: the first right row, by id, whose words have a Jaccard similarity of ``least`` or more; two single words don't count."""
+    pairs = word_candidates(left, right, left_id, right_id, name, least)
+    ws = lambda c: F.array_distinct(F.filter(F.split(c, " "), lambda w: w != ""))
+    both = pairs.join(left.select(left_id, ws(F.col(name)).alias("_a")), left_id).join(right.select(right_id, ws(F.col(name)).alias("_b")), right_id)
+    ok = both.where((F.size(F.array_intersect("_a", "_b")) >= least * F.size(F.array_union("_a", "_b")) - 1e-9) & (F.greatest(F.size("_a"), F.size("_b")) > 1))
+    return ok.groupBy(left_id).agg(F.min(right_id).alias(right_id))
+
+
+def substring_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, a: str, b: str) -> DataFrame:
+    """(left_id, right_id) where one text holds the other, in either direction. The shorter begins with a stretch that the longer holds: stretches
+    as long as the shortest text of either side (one number is gathered, ``PIECE`` at most) meet by equality, then the pairs are looked at."""
+    x, y = left.select(left_id, F.col(a).alias("_a")).where(F.col(a) != ""), right.select(right_id, F.col(b).alias("_b")).where(F.col(b) != "")
+    n = x.agg(F.min(F.char_length("_a"))).unionAll(y.agg(F.min(F.char_length("_b")))).agg(F.min("min(char_length(_a))")).first()[0]
+    if n is None:
+        return x.join(y, F.lit(False)).select(left_id, right_id)
+    n = min(n, PIECE)
+    grams = lambda df, id_, c: df.select(id_, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length(c) - n + 1), lambda i: F.substring(F.col(c), i, F.lit(n))))).alias("_g"))
+    head = lambda df, id_, c: df.select(id_, F.left(F.col(c), F.lit(n)).alias("_g"))
+    met = grams(x, left_id, "_a").join(head(y, right_id, "_b"), "_g").select(left_id, right_id).unionByName(head(x, left_id, "_a").join(grams(y, right_id, "_b"), "_g").select(left_id, right_id)).distinct()
+    both = met.join(x, left_id).join(y, right_id)
+    return both.where(F.contains("_a", "_b") | F.contains("_b", "_a")).select(left_id, right_id)
