@@ -103,7 +103,7 @@ def off(d: np.ndarray, turn: np.ndarray) -> np.ndarray:
     return (np.einsum("ij,jk->ik", d, turn) ** 2).sum(1)
 
 
-def matched(dim: int, kind: str, cosine: float):
+def matched(dim: int, kind: str, cosine: float, axes: int):
     """Compares one pair of parts of a cell: home with home, home with guests. Rows (node, links, partner): a count, or a joining link."""
 
     def run(t: pa.Table) -> pa.Table:
@@ -115,13 +115,19 @@ def matched(dim: int, kind: str, cosine: float):
         lo, hi = t["i"][0].as_py(), t["j"][0].as_py()
         left, right = np.nonzero(part == lo)[0], np.nonzero(part == hi)[0]
         z = (x @ turn[:, blocks[k]]).astype("f4")
-        half = (z * z).sum(1) / 2
+        half = (z * z).sum(1, keepdims=True) / 2
+        # One product gives half the squared distance, negated; both sides lie in the order of a coordinate that the grid doesn't use.
+        a_side, b_side = np.hstack([z, -half, np.ones_like(half)]), np.hstack([z, np.ones_like(half), -half])
+        line, reach = z[:, min(axes, z.shape[1] - 1)], np.float32(math.sqrt(budget) + 1e-4)
+        left, right = left[np.argsort(line[left], kind="stable")], right[np.argsort(line[right], kind="stable")]
+        along, b_side = line[right], b_side[right]
         count, label, joins = np.zeros(len(ids), np.int64), np.arange(len(ids)), []
-        for at in range(0, len(left), 512):
-            own = left[at : at + 512]
-            p, q = np.nonzero(z[own] @ z[right].T >= half[own, None] + half[right] - np.float32(budget / 2 + 1e-5))
+        for at in range(0, len(left), 256):
+            own = left[at : at + 256]
+            first, last = np.searchsorted(along, [line[own[0]] - reach, line[own[-1]] + reach])
+            p, q = np.nonzero(a_side[own] @ b_side[first:last].T >= np.float32(-budget / 2 - 1e-5))
             for start in range(0, len(p), CANDIDATES):
-                a, b = own[p[start : start + CANDIDATES]], right[q[start : start + CANDIDATES]]
+                a, b = own[p[start : start + CANDIDATES]], right[first + q[start : start + CANDIDATES]]
                 if lo == hi:
                     a, b = a[a < b], b[a < b]
                 # The pair is this block's if no earlier block holds it.
@@ -173,7 +179,7 @@ def compared(nodes: DataFrame, dim: int, n: int, kind: str, cosine: float) -> Da
 
     def both(t: pa.Table) -> pa.Table:
         """Of a small cell: home with home, then home with guests."""
-        one = matched(dim, kind, cosine)
+        one = matched(dim, kind, cosine, axes)
         if t["i"][0].as_py() >= 0:
             return one(t)
         found, part = [], t["part"].to_numpy()
