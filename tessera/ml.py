@@ -34,3 +34,24 @@ def predicted(model: PipelineModel, rows: DataFrame) -> DataFrame:
 
 def f1(rows: DataFrame) -> float:
     return MulticlassClassificationEvaluator(labelCol="label", predictionCol="prediction", metricName="f1").evaluate(rows)
+
+
+def stratified(rows: DataFrame, id_: str, label: str, train: float = 0.8, validation: float = 0.1) -> DataFrame:
+    """Adds ``part``: train, validation or test, in these shares of each class. Rows are cut at quantiles of a hash of their id within the class,
+    one number each from a combining aggregation, so no task holds a class."""
+    h = F.xxhash64(F.lit(5), id_)
+    cuts = rows.groupBy(label).agg(F.percentile_approx(h, [train, train + validation], 10_000).alias("_cut"))
+    cut = F.broadcast(cuts)  # a row for each class
+    part = F.when(h <= F.col("_cut")[0], "train").when(h <= F.col("_cut")[1], "validation").otherwise("test")
+    return rows.join(cut, label).withColumn("part", part).drop("_cut")
+
+
+def class_report(rows: DataFrame, by: list[str]) -> DataFrame:
+    """by, label, n, precision, recall, f1 of rows(label, prediction), from one count of each pair; null where a class was never predicted."""
+    pairs = rows.groupBy(*by, F.col("label").cast("long").alias("label"), F.col("prediction").cast("long").alias("guess")).count()
+    of = lambda c, name: pairs.groupBy(*by, F.col(c).alias("label")).agg(F.sum("count").alias(name))
+    hit = pairs.where("label = guess").select(*by, "label", F.col("count").alias("_hit"))
+    x = of("label", "n").join(of("guess", "_said"), [*by, "label"], "left").join(hit, [*by, "label"], "left").na.fill(0, ["_hit"])
+    precision, recall = F.col("_hit") / F.col("_said"), F.col("_hit") / F.col("n")
+    f1 = 2.0 * F.col("_hit") / (F.col("n") + F.coalesce("_said", F.lit(0)))
+    return x.select(*by, "label", "n", F.round(precision, 4).alias("precision"), F.round(recall, 4).alias("recall"), F.round(f1, 4).alias("f1"))

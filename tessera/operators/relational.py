@@ -151,3 +151,9 @@ def pairs_by_word(df: DataFrame, scope: Sequence[str], id_: str, words: str, at:
         ok = ok | F.coalesce((days <= d) & (ratio >= r), F.lit(False))
     found = both.where(ok).select(*scope, F.least("ai", "bi").alias("a"), F.greatest("ai", "bi").alias("b"), common.cast("long").alias("common"), F.round(ratio, 4).alias("ratio"), days.cast("long").alias("days"))
     return found.dropDuplicates([*scope, "a", "b"])
+
+
+def stale(rows: DataFrame, cache: DataFrame, fingerprint: str, context: Column) -> DataFrame:
+    """Rows that an earlier run's ``cache(fingerprint, context)`` doesn't answer: it lacks their fingerprint, or was written under another context."""
+    valid = cache.where(F.col("context") == context).select(fingerprint).distinct()
+    return rows.join(valid, fingerprint, "left_anti")

@@ -66,3 +66,32 @@ def breaker(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
 
     x = df.withColumn("_at", F.unix_micros(F.col(order[0]).cast("timestamp")) / 1e6)
     return fold_scopes(x, [key], [F.col(c) for c in order], [order[-1], "_at", "failed"], f"{order[-1]} long, state string", fold)
+
+
+def alert_level(old: tuple[int, float], count: int, confidence: float, warning: float = 0.3, error: float = 0.5, less_sure: float = 0.2) -> list[str]:
+    """The alerts of an extraction against its baseline (count, confidence): nothing where there was something is critical and ends the check."""
+    n, sure = old
+    if count == 0 and n > 0:
+        return ["critical"]
+    out = []
+    if n > 0 and (drop := (n - count) / n) > warning:
+        out.append("error" if drop > error else "warning")
+    if sure > 0 and sure - confidence > less_sure:
+        out.append("less_sure")
+    return out
+
+
+def quality_alerts(df: DataFrame, key: str, order: Sequence[str], count: str, confidence: str, accept: float = 0.9) -> DataFrame:
+    """signal_id, alerts after each row of a key in order. The first row is the baseline; later ones replace it if they have ``accept`` of its count."""
+
+    def fold(rows: Iterable[tuple]) -> Iterator[tuple]:
+        old = None
+        for i, n, sure in rows:
+            if n is None or sure is None:
+                yield i, []
+                continue
+            yield i, [] if old is None else alert_level(old, n, sure)
+            if old is None or n >= accept * old[0]:
+                old = (n, sure)
+
+    return fold_scopes(df, [key], [F.col(c) for c in order], [order[-1], count, confidence], f"{order[-1]} long, alerts array<string>", fold)

@@ -113,6 +113,63 @@ def test_contexts_overlap(spark):
     assert got[0].c == ["the a t", " a the b t", " b the"][:0] + ["the a t", "e a the b t", "e b the"] and got[1].c == []
 
 
+def test_garbage_reasons(spark):
+    from tessera.functions import noise
+
+    cases = {
+        "Skip to the main content of this page": "furniture", "Too short": "short", None: "short", "Chi siamo, la nostra storia e i valori": "scaffold", "About us: the firm invests in companies": None, "Our portfolio | Alfa | Beta | Gamma": "scaffold", "Portafoglio | Alfa | Beta | Gamma": "list",
+        "Portafoglio | Alfa per 30 milioni": None, "An interview with the founder of the firm": "low_value", "An interview with the new CEO of the firm": None, "Realizzate fondo q2 Fine Sounds S.p.A.": "section", "Alfa acquires Beta for €30 million in cash": None,
+    }
+    df = spark.createDataFrame(list(cases.items()), "t string, want string").select("want", noise.garbage_reason(F.col("t")).alias("got"))
+    assert all(r.want == r.got for r in df.collect())
+
+
+def test_portfolio_entries(spark):
+    from tessera.functions import names
+
+    cases = {
+        "Acme S.p.A.": None, "Logo Acme": "logo", "Acme: the story of a family firm": "subtitle", "Investing in the future of health": "article", "A leading maker of pumps": "description", "Acme is one of the best": "description", "INDUSTRY:": "label",
+        "Newsroom": "editorial", "healthcare": "sector", "OurPortfolioCompanies": "glued", "Read more": "navigation", "photo.jpg": "navigation", "Alfa Capital": "fund", "AlfaCapital": "fund", "Alfa Fund 3": "fund", "Gruppo Alfa": "fund", "ab": "empty", "x" * 61: "long", None: "empty",
+    }
+    df = spark.createDataFrame(list(cases.items()), "n string, want string").select("n", "want", names.entry_reason(F.col("n"), F.lit("alfa-capital")).alias("got"))
+    assert [(r.n, r.got) for r in df.collect() if r.want != r.got] == []
+    raw = {"Acme logo": "Acme", "Acme | Invested by Alfa": "Acme", "Acme | Beta SGR S.p.A.": "Acme", "| Acme |": "Acme", "Acme | more": "Acme", "Acme.": "Acme", "Acme__": "Acme"}
+    df = spark.createDataFrame(list(raw.items()), "n string, want string").select("want", names.clean_portfolio_name(F.col("n")).alias("got"))
+    assert all(r.want == r.got for r in df.collect())
+
+
+def test_fuzzy_matching_against_all_pairs(spark, data):
+    from tessera.functions import text as T
+    from tessera.operators import matching
+
+    rnd = __import__("random").Random(3)
+    words = ["acme", "beta", "gamma", "delta", "omega", "alfa", "zeta", "eta"]
+    name = lambda: " ".join(rnd.choice(words) + rnd.choice(["", "", "s"]) for _ in range(rnd.randint(1, 5)))
+    left = spark.createDataFrame([(i, name()) for i in range(120)] + [(900, None), (901, "")], "l long, n string")
+    right = spark.createDataFrame([(i, name()) for i in range(120)] + [(900, None), (901, "")], "r long, n string")
+    for least in (0.85, 0.9):
+        score = T.similarity(F.col("a.n"), F.col("b.n"))
+        every = left.alias("a").join(right.alias("b"), F.lit(True)).select("l", "r", score.alias("s")).where(F.col("s") >= least - 1e-9).groupBy("l").agg(F.min(F.struct((-F.round("s", 12)).alias("k"), "r"))["r"].alias("r"))
+        got = matching.best_similar(left, right, "l", "r", "n", least).select("l", "r")
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, every.collect())) and got.count() > 20
+
+
+def test_alert_levels():
+    assert folds.alert_level((10, 0.9), 0, 0.9) == ["critical"] and folds.alert_level((10, 0.9), 4, 0.9) == ["error"] and folds.alert_level((10, 0.9), 6, 0.5) == ["warning", "less_sure"] and folds.alert_level((10, 0.9), 7, 0.8) == []
+
+
+def test_stratified_parts_and_report(spark):
+    from tessera import ml
+
+    rows = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(3000)], "id long, label int")
+    parts = ml.stratified(rows, "id", "label")
+    n = {(r.label, r.part): r["count"] for r in parts.groupBy("label", "part").count().collect()}
+    assert abs(n[1, "train"] - 240) < 3 and abs(n[1, "test"] - 30) < 3 and abs(n[0, "validation"] - 270) < 10
+    guess = spark.createDataFrame([("a", 1, 1)] * 3 + [("a", 1, 0)] + [("a", 0, 1)] * 2 + [("a", 0, 0)] * 4 + [("b", 2, 1)], "part string, label int, prediction int")
+    got = {(r.part, r.label): (r.n, r.precision, r.recall, r.f1) for r in ml.class_report(guess, ["part"]).collect()}
+    assert got == {("a", 1): (4, 0.6, 0.75, 0.6667), ("a", 0): (6, 0.8, 0.6667, 0.7273), ("b", 2): (1, None, 0.0, 0.0)}
+
+
 def test_folds():
     state, seen = ("closed", 0, 0.0), []
     for failed, at in [(True, i) for i in range(5)] + [(True, 10), (True, 400), (False, 800), (True, 801), (False, 1200), (False, 1201), (True, 1202)]:
