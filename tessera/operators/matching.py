@@ -110,3 +110,36 @@ def substring_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: s
     met = grams(x, left_id, "_a").join(head(y, right_id, "_b"), "_g").select(left_id, right_id).unionByName(head(x, left_id, "_a").join(grams(y, right_id, "_b"), "_g").select(left_id, right_id)).distinct()
     both = met.join(x, left_id).join(y, right_id)
     return both.where(F.contains("_a", "_b") | F.contains("_b", "_a")).select(left_id, right_id)
+
+
+#: Words of fund names that tell no fund from another, and words before "SGR" that name none.
+NOT_DISTINCT = ["sgr", "sicaf", "sim", "spa", "srl", "capital", "partners", "group", "fondo", "italiano", "italiana", "italiane", "italiani", "fondi", "investimento", "investimenti"]
+BEFORE_SGR = ["capital", "alternative", "investimenti", "equity", "asset", "real", "venture", "private", "infra", "infrastructure", "la", "il", "lo"]
+
+
+def misattributed(rows: DataFrame, known: DataFrame, id_: str, slug: str, title: str, text: str, name: str) -> DataFrame:
+    """id, reason of rows whose title names another fund than theirs: it begins with a known name (``start``), has one in its first parentheses
+    (``parenthesis``), or names an SGR (``sgr``); not if a distinctive word of their own fund occurs too. Rows without slug or title have no row.
+
+    Beginnings and parentheses meet the known names by equality of their words, so no row is compared with all names.
+    """
+    x = rows.select(id_, F.lower(F.trim(slug)).alias("_s"), F.lower(F.trim(title)).alias("_t"), F.lower(F.coalesce(text, F.lit(""))).alias("_x")).where("_s <> '' and _t <> ''")
+    fund = F.replace("_s", F.lit("-"), F.lit(" "))
+    x = x.withColumns({"_f": fund, "_first": F.substring_index(fund, " ", 1), "_both": F.concat_ws(" ", "_t", "_x")})
+    own = F.filter(F.split("_f", " "), lambda w: (F.char_length(w) >= 4) & ~w.isin(NOT_DISTINCT))
+    said = lambda c: F.exists(own, lambda w: F.contains(c, w))
+    k = known.select(F.lower(F.trim(name)).alias("_k")).where("_k <> ''").distinct()
+    plain_known = F.replace(F.replace("_k", F.lit("-"), F.lit(" ")), F.lit("&"), F.lit(""))
+    other = ~F.contains("_f", plain_known) & ~F.contains(plain_known, F.col("_first"))
+    longest = k.agg(F.max(F.size(F.split("_k", " ")))).first()[0] or 1
+    ws = F.split("_t", " ")
+    starts = F.transform(F.sequence(F.lit(1), F.least(F.size(ws), F.lit(longest))), lambda n: F.regexp_replace(F.array_join(F.slice(ws, 1, n), " "), ":.*$", ""))
+    begun = F.startswith("_t", F.concat("_k", F.lit(" "))) | F.startswith("_t", F.concat("_k", F.lit(":")))
+    start = x.withColumn("_k", F.explode(F.array_distinct(starts))).join(k, "_k").where(begun & other & ~said(F.col("_t"))).select(id_, F.lit("start").alias("reason"), F.lit(0).alias("_r"))
+    inside = x.withColumn("_p", F.regexp_extract("_t", r"^[^()]{0,120}\(([^)]+)\)", 1)).where("_p <> ''")
+    met = mentions(inside, k, id_, "_p", "_k", "_k").join(inside, id_).where(other & ~said(F.col("_both"))).select(id_, F.lit("parenthesis").alias("reason"), F.lit(1).alias("_r"))
+    phrases = F.regexp_extract_all("_both", F.lit(r"\b((?:[a-z]{2,}\s+){0,3}[a-z]{2,})\s+sgr\b"), 1)
+    real = lambda p: F.filter(F.split(p, r"\s+"), lambda w: ~w.isin(BEFORE_SGR))
+    foreign = F.exists(phrases, lambda p: (F.size(real(p)) > 0) & ~F.exists(real(p), lambda w: F.contains(F.col("_f"), w) | F.contains(w, F.col("_first"))))
+    sgr = x.where(foreign & ~said(F.col("_both"))).select(id_, F.lit("sgr").alias("reason"), F.lit(2).alias("_r"))
+    return start.unionByName(met).unionByName(sgr).groupBy(id_).agg(F.min(F.struct("_r", "reason"))["reason"].alias("reason"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import noise as N
+from tessera.operators import matching as M
 
 from .entities import Entities as E
 from .queries_f import isin, q
@@ -124,3 +125,53 @@ def t11(spark, d):
     s = E(spark, d).signals.select("url_id", "observed_at", "signal_id", F.when(F.col("signal_id") % 17 == 0, 0).otherwise(F.floor("score")).cast(LONG).alias("n"), ((F.col("signal_id") % 10) / 10.0).alias("confidence"))
     return quality_alerts(s, "url_id", ["observed_at", "signal_id"], "n", "confidence")
 
+
+
+HEADLINE = "CASE doc_id % 6 WHEN 0 THEN o.name || ' buys a stake' WHEN 1 THEN 'Company (led by ' || o.name || ') grows' WHEN 2 THEN 'the ' || o.name || ' sgr enters' WHEN 3 THEN o.name || ': deal with ' || w.name WHEN 4 THEN 'capital sgr and more' ELSE 'news of ' || o.name END"
+OWN_WORDS = f"list_filter(string_split(f, ' '), lambda w: length(w) >= 4 AND w NOT IN {isin(M.NOT_DISTINCT)})"
+
+
+@plan("p22_misattributed_texts", rf""", n AS (SELECT n_nationkey AS k, lower(n_name) AS name FROM nation), d AS (SELECT doc_id, w.name || ' capital' AS f, split_part(w.name, ' ', 1) AS first, {HEADLINE} AS t, lower(coalesce(title, '')) AS x FROM docs JOIN n w ON w.k = doc_id % 25 JOIN n o ON o.k = (doc_id * 7 + 3) % 25),
+b AS (SELECT *, t || ' ' || x AS bo, {OWN_WORDS} AS own, regexp_extract(t, '^[^()]{{0,120}}\(([^)]+)\)', 1) AS p, regexp_extract_all(t || ' ' || x, '((?:[a-z]{{2,}}\s+){{0,3}}[a-z]{{2,}})\s+sgr', 1) AS s FROM d),
+c AS (SELECT *, len(list_filter(own, lambda w: contains(t, w))) > 0 AS said, len(list_filter(own, lambda w: contains(bo, w))) > 0 AS said2 FROM b),
+r AS (SELECT doc_id, 0 AS r FROM c JOIN n ON starts_with(t, name || ' ') OR starts_with(t, name || ':') WHERE NOT contains(f, name) AND NOT contains(name, first) AND NOT said
+UNION ALL SELECT doc_id, 1 FROM c JOIN n ON contains(' ' || p || ' ', ' ' || name || ' ') WHERE NOT contains(f, name) AND NOT contains(name, first) AND NOT said2
+UNION ALL SELECT doc_id, 2 FROM c WHERE NOT said2 AND len(list_filter(s, lambda p: len(list_filter(string_split_regex(p, '\s+'), lambda w: w NOT IN {isin(M.BEFORE_SGR)})) > 0 AND len(list_filter(string_split_regex(p, '\s+'), lambda w: w NOT IN {isin(M.BEFORE_SGR)} AND (contains(f, w) OR contains(w, first)))) = 0)) > 0)
+SELECT doc_id, CASE min(r) WHEN 0 THEN 'start' WHEN 1 THEN 'parenthesis' ELSE 'sgr' END AS reason FROM r GROUP BY doc_id""")
+def p22(spark, d):
+    """Headlines that name another fund than the one they are filed under, and not that one too."""
+    e = E(spark, d)
+    n = e.table("nation").select(F.col("n_nationkey").cast(LONG).alias("k"), F.lower("n_name").alias("name"))
+    i = F.col("doc_id")
+    x = e.docs.withColumns({"w": i % 25, "o": (i * 7 + 3) % 25}).join(n.select(F.col("k").alias("w"), F.col("name").alias("own")), "w").join(n.select(F.col("k").alias("o"), F.col("name").alias("other")), "o")
+    o = F.col("other")
+    head = (
+        F.when(i % 6 == 0, F.concat(o, F.lit(" buys a stake"))).when(i % 6 == 1, F.concat(F.lit("Company (led by "), o, F.lit(") grows"))).when(i % 6 == 2, F.concat(F.lit("the "), o, F.lit(" sgr enters")))
+        .when(i % 6 == 3, F.concat(o, F.lit(": deal with "), "own")).when(i % 6 == 4, "capital sgr and more").otherwise(F.concat(F.lit("news of "), o))
+    )
+    rows = x.select("doc_id", F.replace(F.concat("own", F.lit(" capital")), F.lit(" "), F.lit("-")).alias("slug"), head.alias("head"), "title")
+    return M.misattributed(rows, n, "doc_id", "slug", "head", "title", "name")
+
+
+#: Short words that stay in lower case inside a title, and forms that stay in capitals.
+SMALL_WORDS = ["a", "al", "and", "con", "da", "dal", "de", "dei", "del", "della", "di", "e", "for", "il", "in", "la", "nel", "of", "on", "per", "the", "to", "un", "una"]
+CAPITALS = ["AI", "AUM", "CEO", "CFO", "ESG", "EU", "IPO", "IT", "LBO", "M&A", "PE", "SGR", "SPA", "UK", "US", "VC"]
+
+
+def calm(text):
+    """A text in capitals (seven tenths of its letters, four words at least) as a title: words begin upper case, small words inside stay lower, known
+    abbreviations and words with digits stay as they are. Other texts stay."""
+    ws = F.split(text, " ")
+    letters = F.regexp_replace(text, "[^A-Za-zÀ-ÿ]", "")
+    upper = F.regexp_replace(letters, "[^A-ZÀ-ÖØ-Þ]", "")
+    loud = (F.size(ws) >= 4) & (F.char_length(letters) > 0) & (F.char_length(upper) >= 0.7 * F.char_length(letters))
+    word = lambda w, k: F.when(w.isin(CAPITALS) | F.rlike(w, F.lit("[0-9]")), w).when((k > 0) & F.lower(w).isin(SMALL_WORDS), F.lower(w)).otherwise(F.concat(F.upper(F.left(w, F.lit(1))), F.lower(F.substring(w, 2, 1 << 30))))
+    return F.when(loud, F.array_join(F.transform(ws, word), " ")).otherwise(text)
+
+
+@plan("f10_capitals_to_title", f"""SELECT doc_id, CASE WHEN len(w) >= 4 AND length(l) > 0 AND length(regexp_replace(l, '[^A-ZÀ-ÖØ-Þ]', '', 'g')) >= 0.7 * length(l) THEN array_to_string(list_transform(w, lambda x, i: CASE WHEN x IN {isin(CAPITALS)} OR regexp_matches(x, '[0-9]') THEN x WHEN i > 1 AND lower(x) IN {isin(SMALL_WORDS)} THEN lower(x) ELSE upper(left(x, 1)) || lower(substr(x, 2)) END), ' ') ELSE t END AS title
+FROM (SELECT doc_id, t, string_split(t, ' ') AS w, regexp_replace(t, '[^A-Za-zÀ-ÿ]', '', 'g') AS l FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN upper(replace(title, 'ß', 'ss')) || ' OF THE IPO 2024Q1' ELSE title END AS t FROM docs))""")
+def f10(spark, d):
+    """Shouted titles in title case."""
+    t = F.when(F.col("doc_id") % 3 == 0, F.concat(F.upper(F.replace("title", F.lit("ß"), F.lit("ss"))), F.lit(" OF THE IPO 2024Q1"))).otherwise(F.col("title"))
+    return E(spark, d).docs.select("doc_id", calm(t).alias("title"))
