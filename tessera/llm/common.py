@@ -40,12 +40,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes a frame as Parquet into the shared folder and reads it again."""
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Writes a frame as Parquet into the shared folder and reads it again; the frame and where it lies."""
     spark = df.sparkSession
     where = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(where)
-    return spark.read.schema(df.schema).parquet(where)
+    return spark.read.schema(df.schema).parquet(where), where
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Writes a frame as Parquet into the shared folder and reads it again."""
+    return stored(df, name)[0]
+
+
+def removed(spark: SparkSession, where: str) -> None:
+    """Deletes a stored frame that nothing needs any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def spread(df: DataFrame) -> DataFrame:
