@@ -175,3 +175,81 @@ def f10(spark, d):
     """Shouted titles in title case."""
     t = F.when(F.col("doc_id") % 3 == 0, F.concat(F.upper(F.replace("title", F.lit("ß"), F.lit("ss"))), F.lit(" OF THE IPO 2024Q1"))).otherwise(F.col("title"))
     return E(spark, d).docs.select("doc_id", calm(t).alias("title"))
+
+
+@plan("t9_progress", """, a AS (SELECT signal_id, fund_id, company_id FROM signals WHERE score >= 60), p AS (SELECT signal_id FROM signals WHERE signal_id % 2 = 0 UNION ALL SELECT -1 - signal_id FROM signals WHERE signal_id % 50 = 0)
+SELECT signal_id, CASE WHEN signal_id NOT IN (SELECT signal_id FROM p) THEN 'new' ELSE 'repair' END AS why FROM a WHERE signal_id NOT IN (SELECT signal_id FROM p) OR NOT EXISTS (SELECT 1 FROM items i WHERE i.fund_id = a.fund_id AND i.company_id = a.company_id)""")
+def t9(spark, d):
+    """Work that is left: actionable rows not processed, and processed ones whose result is missing; ids in the progress that no row has are dropped."""
+    e = E(spark, d)
+    s = e.signals.select("signal_id", "fund_id", "company_id", "score")
+    progress = s.where("signal_id % 2 = 0").select("signal_id").unionByName(s.where("signal_id % 50 = 0").select((-1 - F.col("signal_id")).alias("signal_id")))
+    done = progress.join(s.select("signal_id"), "signal_id", "left_semi").select("signal_id", F.lit(True).alias("done"))
+    results = e.items.select("fund_id", "company_id").distinct().withColumn("has", F.lit(True))
+    x = s.where("score >= 60").join(done, "signal_id", "left").join(results, ["fund_id", "company_id"], "left")
+    return x.where("done is null or has is null").select("signal_id", F.when(F.col("done").isNull(), "new").otherwise("repair").alias("why"))
+
+
+#: Schools by patterns, the first that holds gives the name.
+SCHOOLS = [
+    ("bocconi|sda bocconi", "Bocconi"), ("politecnico di milano", "PoliMi"), ("politecnico di torino", "PoliTo"), ("sapienza|la sapienza", "Sapienza"), ("luiss", "LUISS"), ("cattolica del sacro cuore|cattolica", "Cattolica"), ("ca.? ?foscari", "Ca' Foscari"),
+    ("bicocca", "Milano-Bicocca"), ("studi di milano", "Univ. Milano"), ("alma mater|(?:univ|studi).+bologna", "Univ. Bologna"), ("studi di padova|padova", "Univ. Padova"), ("studi di torino", "Univ. Torino"), ("napoli federico|federico ii", "Federico II"),
+    ("studi di firenze|firenze", "Univ. Firenze"), ("studi di pavia|pavia", "Univ. Pavia"), ("studi di bergamo", "Univ. Bergamo"), ("tor vergata", "Tor Vergata"), ("liuc", "LIUC"), ("london business school", "LBS"), ("london school of economics|lse", "LSE"),
+    ("oxford", "Oxford"), ("cambridge", "Cambridge"), ("imperial college", "Imperial"), ("king'?s college", "King's College"), (r"university college london|\bucl\b", "UCL"), ("exeter", "Exeter"), ("harvard", "Harvard"), ("wharton", "Wharton"),
+    ("stanford", "Stanford"), (r"mit\b|massachusetts institute|mit sloan", "MIT"), ("columbia", "Columbia"), ("duke", "Duke"), ("chicago", "Univ. Chicago"), (r"\bucla\b", "UCLA"), ("insead", "INSEAD"), ("hec paris", "HEC Paris"), ("escp", "ESCP"),
+    ("edhec", "EDHEC"), ("emlyon", "emlyon"), ("essec", "ESSEC"), ("esade", "ESADE"), ("rotterdam|erasmus", "Erasmus"), ("maastricht", "Maastricht"), ("mannheim", "Mannheim"), ("amsterdam", "Amsterdam"), ("solvay", "Solvay"),
+    ("college of europe", "College of Europe"), ("concordia", "Concordia"),
+]
+STUDI, OF = r"(?i)(?:universit[àa]|university)\s+degli\s+studi\s+di\s+(.+)", r"(?i)^(?:universit[àa]|university)\s+(?:of|di|d[ae]ll[ao']?)\s+(.+)"
+UNIVERSITY, SUFFIX = r"(?i)\s*universit[àa]y?\s*", r"(?i)\s+(business school|school of management|graduate school of business)\s*$"
+
+
+def school(c):
+    """A school's short name: by the table, else by the place of its university, else shortened to twenty letters."""
+    place = lambda p: F.trim(F.regexp_replace(F.regexp_extract(c, p, 1), r"[,(\-–].*$", ""))
+    short = lambda x: F.when(F.char_length(x) > 20, F.concat(F.left(x, F.lit(17)), F.lit("..."))).otherwise(x)
+    out = F.when(c.isNull(), None)
+    for pattern, name in SCHOOLS:
+        out = out.when(F.rlike(c, F.lit("(?i)" + pattern)), name)
+    out = out.when(F.rlike(c, F.lit(STUDI)), F.concat(F.lit("Univ. "), place(STUDI))).when(F.rlike(c, F.lit(OF)), F.concat(F.lit("Univ. "), place(OF)))
+    bare = F.trim(F.regexp_replace(c, UNIVERSITY, " "))
+    return out.when((bare != F.trim(c)) & (bare != ""), short(bare)).otherwise(short(F.trim(F.regexp_replace(c, SUFFIX, ""))))
+
+
+SCHOOL_NAMES = [
+    "SDA Bocconi", "Politecnico di Milano", "Università degli Studi di Trento, Italy", "University of Leeds (UK)", "Università di Trieste - Economia", "Aalto University School", "Some Very Long School of Arts and Trades", "Warwick Business School",
+    "UCL London", "MIT Sloan", "Università degli Studi di Milano", "Milano-Bicocca", "Ca Foscari", "Academy",
+]
+
+
+@plan("f43_school_names", f"""SELECT c_custkey, CASE {' '.join(f"WHEN regexp_matches(s, {q('(?i)' + p)}) THEN {q(n)}" for p, n in SCHOOLS)} WHEN regexp_matches(s, {q(STUDI)}) THEN 'Univ. ' || trim(regexp_replace(regexp_extract(s, {q(STUDI)}, 1), '[,(\-–].*$', '')) WHEN regexp_matches(s, {q(OF)}) THEN 'Univ. ' || trim(regexp_replace(regexp_extract(s, {q(OF)}, 1), '[,(\-–].*$', ''))
+WHEN trim(regexp_replace(s, {q(UNIVERSITY)}, ' ')) NOT IN (trim(s), '') THEN CASE WHEN length(trim(regexp_replace(s, {q(UNIVERSITY)}, ' '))) > 20 THEN left(trim(regexp_replace(s, {q(UNIVERSITY)}, ' ')), 17) || '...' ELSE trim(regexp_replace(s, {q(UNIVERSITY)}, ' ')) END
+ELSE CASE WHEN length(trim(regexp_replace(s, {q(SUFFIX)}, ''))) > 20 THEN left(trim(regexp_replace(s, {q(SUFFIX)}, '')), 17) || '...' ELSE trim(regexp_replace(s, {q(SUFFIX)}, '')) END END AS school
+FROM (SELECT c_custkey, ([{', '.join(map(q, SCHOOL_NAMES))}])[c_custkey % {len(SCHOOL_NAMES)} + 1] AS s FROM customer)""")
+def f43(spark, d):
+    """Names of schools made short and alike."""
+    s = F.element_at(F.array(*map(F.lit, SCHOOL_NAMES)), (F.col("c_custkey") % len(SCHOOL_NAMES) + 1).cast("int"))
+    return E(spark, d).table("customer").select("c_custkey", school(s).alias("school"))
+
+
+#: Letters of the shortest company name looked for in texts, and names that are common words or brands.
+SHORTEST = 6
+COMMON_NAMES = [
+    "unica", "europa", "vital", "persona", "vision", "tessi", "quali", "compre", "april", "concept", "merit", "field", "token", "impact", "builder", "squad", "anima", "festa", "novem", "sahar", "modifi", "esperi", "ensio", "ontinue", "supera",
+    "entando", "trime", "scuter", "falcon", "agate", "talan", "magis", "diamanti", "metallo", "sofico", "pioneer", "camfin", "renaissance", "valentino", "moncler", "missoni", "pittarosso", "paul & shark", "fincantieri", "citterio",
+    "startupitalia", "bending spoons", "vittoria", "germani", "futura",
+]
+
+
+@plan("j9_company_mentions", f""", c AS (SELECT company_id, trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')) AS n FROM companies WHERE length(trim(name)) >= {SHORTEST} AND lower(trim(name)) NOT IN {isin(COMMON_NAMES)}), t AS (SELECT doc_id, ' ' || trim(regexp_replace(lower(coalesce(title, '') || ' (' || x.name || ') and the ' || y.name || '.'), '[^a-z0-9]+', ' ', 'g')) || ' ' AS t FROM docs LEFT JOIN companies x ON x.company_id = doc_id % 150 LEFT JOIN companies y ON y.company_id = doc_id * 3 % 170)
+SELECT doc_id, c.company_id FROM t JOIN c ON contains(t, ' ' || n || ' ')""")
+def j9(spark, d):
+    """Companies named in texts, at word borders; short names and common words don't count."""
+    e = E(spark, d)
+    names = e.companies.select("company_id", "name")
+    known = names.where((F.char_length(F.trim("name")) >= SHORTEST) & ~F.lower(F.trim("name")).isin(COMMON_NAMES))
+    i = F.col("doc_id")
+    x = e.docs.select("doc_id", "title", (i % 150).alias("a"), (i * 3 % 170).alias("b"))
+    x = x.join(names.select(F.col("company_id").alias("a"), F.col("name").alias("na")), "a", "left").join(names.select(F.col("company_id").alias("b"), F.col("name").alias("nb")), "b", "left")
+    text = F.concat(F.coalesce("title", F.lit("")), F.lit(" ("), "na", F.lit(") and the "), "nb", F.lit("."))
+    return M.mentions(x.select("doc_id", text.alias("text")), known, "doc_id", "text", "company_id", "name")

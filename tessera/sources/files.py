@@ -48,6 +48,14 @@ def feed_items(spark: SparkSession, path: str, row: str = "item") -> DataFrame:
     return df.select("title", "link", F.col("pubDate").alias("published"), "description")
 
 
+def atom_entries(spark: SparkSession, path: str) -> DataFrame:
+    """Entries of Atom files: title, link (the first one's address), published (raw text; the update where it is missing), description."""
+    text = "struct<_VALUE: string, _type: string>"
+    schema = f"title {text}, link array<struct<_href: string, _rel: string>>, published string, updated string, summary {text}, content {text}"
+    df = spark.read.format("xml").option("rowTag", "entry").schema(schema).load(path)
+    return df.select(F.col("title._VALUE").alias("title"), F.try_element_at("link", F.lit(1))["_href"].alias("link"), F.coalesce("published", "updated").alias("published"), F.coalesce("summary._VALUE", "content._VALUE").alias("description"))
+
+
 def markdown_tables(spark: SparkSession, path: str) -> DataFrame:
     """Rows of pipe tables in text files: file, cells; rules between header and body are skipped."""
     lines = spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), F.trim("value").alias("line"))

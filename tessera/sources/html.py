@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Sequence
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,3 +45,35 @@ def items(html: Column) -> Column:
     """Names on cards, logos and list entries: figure captions, image alternatives and list items, in that order, distinct and not blank."""
     found = F.flatten(F.array(*(F.regexp_extract_all(html, F.lit(p), 1) for p in (r"(?is)<figcaption[^>]*>\s*([^<]+?)\s*</figcaption>", r'(?is)<img[^>]*\balt="([^"]+)"', r"(?is)<li[^>]*>\s*(?:<a[^>]*>)?\s*([^<]+?)\s*<"))))
     return F.array_distinct(F.filter(F.transform(found, lambda x: F.trim(x)), lambda x: x != ""))
+
+
+def array_under(data: object, keys: Sequence[str]) -> list | None:
+    """The first list that isn't empty under a key that holds one of ``keys``: an object's own keys first, then the objects in it, in order."""
+    todo = [data]
+    while todo:
+        x = todo.pop(0)
+        if not isinstance(x, dict):
+            continue
+        for k, v in x.items():
+            if isinstance(v, list) and v and any(key in k.lower() for key in keys):
+                return v
+        todo[:0] = [v for v in x.values() if isinstance(v, dict)]
+    return None
+
+
+def found_array(state: Column, keys: Sequence[str]) -> Column:
+    """The elements, as JSON texts, of the list that ``array_under`` finds in a JSON text; null if there is none or the text is malformed."""
+    keys = list(keys)
+
+    @F.arrow_udf("array<string>")
+    def search(texts: pa.Array) -> pa.Array:
+        out = []
+        for t in texts:
+            try:
+                got = array_under(json.loads(t.as_py() or "null"), keys)
+            except ValueError:
+                got = None
+            out.append(None if got is None else [json.dumps(x, ensure_ascii=False, separators=(",", ":")) for x in got])
+        return pa.array(out, pa.list_(pa.string()))
+
+    return search(state)

@@ -55,3 +55,24 @@ def upsert(spark: SparkSession, path: str, keys: Sequence[str], order: Sequence[
         every.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k").write.mode("overwrite").parquet(f"{path}/v={number}")
 
     return write
+
+
+def upsert_touched(path: str, keys: Sequence[str], order: Sequence[str], buckets: int = 64):
+    """A foreachBatch function that keeps the best row of each key in a table split by a hash of the key: a batch rewrites only the buckets that
+    it touches, and leaves no versions behind. A batch that is replayed changes nothing."""
+    from tessera.operators.dedup import cut
+    from tessera.sources.files import exists
+
+    def write(batch: DataFrame, number: int) -> None:
+        rows = cut(batch.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")))
+        touched = [r.bucket for r in rows.select("bucket").distinct().collect()]
+        if not touched:
+            return
+        if exists(rows.sparkSession, path):
+            rows = rows.unionByName(rows.sparkSession.read.parquet(path).where(F.col("bucket").isin(touched)))
+        best = F.max(F.struct(*order, F.struct(*(c for c in rows.columns if c not in order)).alias("_rest")))
+        kept = rows.groupBy(*keys).agg(best.alias("_b")).select("_b.*").select(*order, "_rest.*")
+        # Read to the end before its own buckets are replaced.
+        cut(kept).repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+    return write

@@ -197,6 +197,31 @@ def test_streams_match_batch(spark, data, tmp_path):
     assert sorted(r.event_id for r in spark.read.parquet(f"{tmp_path}/table/v=2").collect()) == sorted(r.event_id for r in newest.collect())
 
 
+def test_upsert_rewrites_touched_buckets_only(spark, tmp_path):
+    write, path = streams.upsert_touched(f"{tmp_path}/t", ["k"], ["at"], buckets=8), f"{tmp_path}/t"
+    rows = lambda x: spark.createDataFrame(x, "k long, at long, v string")
+    write(rows([(i, 1, "a") for i in range(100)] + [(5, 0, "old")]), 0)
+    before = {f: f for f in spark.read.parquet(path).inputFiles()}
+    write(rows([(5, 2, "b"), (7, 0, "late")]), 1)
+    write(rows([(5, 2, "b"), (7, 0, "late")]), 1)
+    got = {r.k: (r["at"], r.v) for r in spark.read.parquet(path).collect()}
+    assert len(got) == 100 and got[5] == (2, "b") and got[7] == (1, "a")
+    assert sum(f in before for f in spark.read.parquet(path).inputFiles()) >= 6
+    write(rows([]), 2)
+    assert spark.read.parquet(path).count() == 100
+
+
+def test_atom_and_found_arrays(spark, tmp_path):
+    from tessera.sources import files, html
+
+    (tmp_path / "a.xml").write_text('<feed xmlns="http://www.w3.org/2005/Atom"><entry><title type="text">One</title><link href="http://x/1" rel="alternate"/><updated>2024-01-02</updated><summary>s</summary></entry><entry><title>Two</title><published>2024-01-03</published></entry></feed>')
+    got = sorted(map(tuple, files.atom_entries(spark, f"{tmp_path}/a.xml").collect()), key=str)
+    assert got == [("One", "http://x/1", "2024-01-02", "s"), ("Two", None, "2024-01-03", None)]
+    state = '{"props": {"empty": {"companies": []}, "page": {"teamMembers": [{"n": 1}], "x": {"companyList": [{"n": "è"}, 2]}}}}'
+    df = spark.createDataFrame([(state,), ("{bad",), (None,), ("[1]",)], "s string").select(html.found_array(F.col("s"), ["compan"]).alias("a"))
+    assert [r.a for r in df.collect()] == [['{"n":"è"}', "2"], None, None, None]
+
+
 def test_change_stream(spark, data, tmp_path):
     events = spark.read.parquet(f"{data}/events.parquet").where("user_id < 20")
     events.coalesce(1).write.parquet(f"{tmp_path}/in")
