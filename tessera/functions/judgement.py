@@ -84,3 +84,41 @@ def fund_category(asset_classes: Column, focuses: Column) -> Column:
         .when(holds(f, "real estate", "real-estate"), "real_estate").when(holds(f, "early stage", "early-stage"), "vc").when(holds(f, "buy out", "buyout", "buy-out"), "pe").when(holds(f, "expansion"), "growth")
         .when(holds(a, "private equity"), "pe").otherwise("unknown")
     )
+
+
+#: Words by which a text is about the country, with the weight of each kind, its growth by a further mention, and its cap.
+COUNTRY = ["Italy", "Italia", "Italian", "Italiano", "Italiana"]
+CITIES = [
+    "Milano", "Milan", "Roma", "Rome", "Torino", "Turin", "Napoli", "Naples", "Bologna", "Firenze", "Florence", "Genova", "Genoa", "Venezia", "Venice", "Palermo", "Padova", "Padua", "Verona", "Trieste", "Bari", "Catania", "Bergamo", "Brescia",
+    "Modena", "Parma", "Reggio Emilia", "Monza", "Vicenza", "Treviso", "Udine", "Ancona", "Pescara", "Lecce", "Salerno", "Taranto", "Perugia", "Cagliari", "Sassari", "Bolzano", "Trento",
+]
+REGIONS = [
+    "Lombardia", "Lombardy", "Veneto", "Emilia-Romagna", "Emilia Romagna", "Piemonte", "Piedmont", "Toscana", "Tuscany", "Lazio", "Campania", "Puglia", "Sicilia", "Sicily", "Sardegna", "Sardinia", "Liguria", "Marche", "Friuli-Venezia Giulia",
+    "Friuli Venezia Giulia", "Abruzzo", "Calabria", "Umbria", "Basilicata", "Molise", "Trentino-Alto Adige", "Trentino Alto Adige", "Valle d'Aosta",
+]
+LEGAL_ENDINGS = [r"S\.?p\.?A\.?", r"S\.?r\.?l\.?", r"S\.?a\.?s\.?", r"S\.?n\.?c\.?", r"S\.?c\.?a\.?r\.?l\.?", "SGR"]
+BUSINESS = ["Borsa Italiana", "Piazza Affari", "CONSOB", "Banca d'Italia", "Cassa Depositi", "CDP", "AIFI", "Assonime", "Confindustria", "made in Italy", "Italian market", "mercato italiano"]
+MENTIONS = [("country", COUNTRY, 0.4, 0.1, 0.6), ("cities", CITIES, 0.25, 0.1, 0.4), ("regions", REGIONS, 0.2, 0.05, 0.3), ("legal_form", LEGAL_ENDINGS, 0.3, 0.15, 0.5)]
+THRESHOLDS = {"NEWS": 0.25, "TEAM": 0.3, "CAREERS": 0.3}
+
+
+def word_of(words: list[str]) -> str:
+    return r"(?i)\b(" + "|".join(words) + r")\b"
+
+
+def relevance(text: Column, page: Column, present: Column) -> Column:
+    """score, reasons, relevant, places: weighted mentions of each kind, each capped, and a bonus for a fund known to be present; relevant from the
+    page's threshold on. Reasons are the kinds that counted, in order; places are named alike and sorted. A null or empty text scores 0."""
+    t = F.coalesce(text, F.lit(""))
+    found = {kind: F.regexp_extract_all(t, F.lit(word_of(words)), 1) for kind, words, *_ in MENTIONS}
+    terms = F.array_distinct(F.regexp_extract_all(t, F.lit("(?i)(" + "|".join(BUSINESS) + ")"), 1))
+    parts = [(kind, F.size(found[kind]) > 0, F.least(weight * (1 + more * (F.size(found[kind]) - 1)), F.lit(cap))) for kind, _, weight, more, cap in MENTIONS]
+    parts += [("business", F.size(terms) > 0, F.least(0.25 * F.size(terms), F.lit(0.3))), ("present", F.coalesce(present, F.lit(False)) & (t != ""), F.lit(0.15))]
+    score = F.lit(0.0)
+    for _, holds, worth in parts:
+        score = score + F.when(holds, worth).otherwise(0.0)
+    score = F.round(F.least(score, F.lit(1.0)), 3)
+    least = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in THRESHOLDS.items() for x in kv)), page), F.lit(0.35))
+    reasons = F.array_compact(F.array(*(F.when(holds, kind) for kind, holds, _ in parts)))
+    places = F.array_sort(F.array_distinct(F.transform(F.concat(found["cities"], found["regions"]), lambda x: F.initcap(x))))
+    return F.struct(score.alias("score"), reasons.alias("reasons"), ((score >= least) & (t != "")).alias("relevant"), places.alias("places"))

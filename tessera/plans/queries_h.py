@@ -91,3 +91,27 @@ def c14(spark, d):
     """Category of a fund by its asset classes and focuses."""
     i = F.col("fund_id")
     return E(spark, d).funds.select("fund_id", G.fund_category(pick(CLASSES, i), pick(FOCUSES, i)).alias("category"))
+
+
+TEXTS = [
+    "", "The Italian market: a fund from Milano and Bergamo buys", "Offices in Milan, milan and Rome; Italy, Italia and Italian firms in Italy", "Alfa S.p.A. and Beta S.r.l. of Lombardia", "CDP and cdp and Confindustria on Piazza Affari",
+    "London and Paris", "Toscana, Lazio, Umbria, Puglia, Marche", "A podcast from Reggio Emilia", "Alfa SGR",
+]
+PAGES = ["NEWS", "TEAM", "PORTFOLIO", "OTHER", None]
+
+
+def part_sql(kind, words, weight, more, cap) -> str:
+    return f"CASE WHEN len({kind}) > 0 THEN least(CAST({weight} AS DOUBLE) * (1 + CAST({more} AS DOUBLE) * (len({kind}) - 1)), CAST({cap} AS DOUBLE)) ELSE 0 END"
+
+
+@plan("c9_relevance_of_texts", f""", t AS (SELECT doc_id, {picked(TEXTS, 'doc_id')} || CASE WHEN doc_id % 9 = 0 THEN '' ELSE ' ' || coalesce(title, '') END AS t, {picked(PAGES, 'doc_id')} AS page, doc_id % 4 = 0 AS present FROM docs),
+m AS (SELECT doc_id, t, page, present, {', '.join(f"regexp_extract_all(t, {q(G.word_of(words))}, 1) AS {kind}" for kind, words, *_ in G.MENTIONS)}, list_distinct(regexp_extract_all(t, {q('(?i)(' + '|'.join(G.BUSINESS) + ')')}, 1)) AS business FROM (SELECT doc_id, regexp_replace(t, '[à-öø-ɏÀ-ÖØ-Þ]', 'a', 'g') AS t, page, present FROM t)),
+s AS (SELECT *, round(least(1.0, {' + '.join(part_sql(*x) for x in G.MENTIONS)} + CASE WHEN len(business) > 0 THEN least(CAST(0.25 AS DOUBLE) * len(business), CAST(0.3 AS DOUBLE)) ELSE 0 END + CASE WHEN present AND t <> '' THEN CAST(0.15 AS DOUBLE) ELSE 0 END), 3) AS score FROM m)
+SELECT doc_id, score, list_filter([{', '.join(f"CASE WHEN len({kind}) > 0 THEN {q(kind)} END" for kind, *_ in [*G.MENTIONS, ('business',)])}, CASE WHEN present AND t <> '' THEN 'present' END], lambda x: x IS NOT NULL) AS reasons, score >= CASE page {' '.join(f"WHEN {q(k)} THEN {v}" for k, v in G.THRESHOLDS.items())} ELSE 0.35 END AND t <> '' AS relevant,
+list_sort(list_distinct(list_transform(list_concat(cities, regions), lambda x: array_to_string(list_transform(string_split(lower(x), ' '), lambda w: upper(left(w, 1)) || substr(w, 2)), ' ')))) AS places FROM s""")
+def c9(spark, d):
+    """How much a text is about the country: mentions of each kind, the page's threshold, and the places named."""
+    i = F.col("doc_id")
+    text = F.concat(pick(TEXTS, i), F.when(i % 9 == 0, "").otherwise(F.concat(F.lit(" "), F.coalesce("title", F.lit("")))))
+    plain = F.regexp_replace(text, "[à-öø-ɏÀ-ÖØ-Þ]", "a")
+    return E(spark, d).docs.select("doc_id", G.relevance(plain, pick(PAGES, i), i % 4 == 0).alias("r")).select("doc_id", "r.*")
