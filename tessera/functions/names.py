@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -102,3 +104,46 @@ def entry_reason(name: Column, fund_slug: Column, headings: Sequence[str] = HEAD
     for why, holds in rules[1:]:
         out = out.when(holds, why)
     return out
+
+
+#: Words that end names of companies and funds.
+COMPANY_WORDS = [
+    "capital", "partners", "partner", "ventures", "venture", "equity", "group", "holdings", "holding", "management", "advisors", "advisor", "dynamics", "investments", "investment", "fund", "sgr", "spa", "srl", "ag", "sa", "inc", "ltd",
+]
+#: Words in lower case that begin no name.
+SMALL = ["a", "an", "and", "at", "by", "for", "from", "in", "il", "la", "le", "of", "on", "the", "to", "with"]
+PHRASE = r"\b(?:[A-Z][A-Za-zÀ-ÖØ-öø-ÿ'’.\-]+|[A-Z]{2,6})(?:\s+(?:[A-Z][A-Za-zÀ-ÖØ-öø-ÿ'’.\-]+|[A-Z]{2,6})){1,5}\b"
+
+
+def company_phrases(text: Column) -> Column:
+    """Capitalised phrases of two words or more that hold a word of company names, each once in any case, in order; none begins with a small word."""
+    strip = lambda x: F.regexp_replace(F.regexp_replace(x, r"^[ ,.;:()\[\]{}]+|[ ,.;:()\[\]{}]+$", ""), r"\s{2,}", " ")
+    ws = lambda x: F.transform(F.split(x, " "), lambda w: F.lower(F.regexp_replace(w, r"^[ ,.;:()\[\]{}]+|[ ,.;:()\[\]{}]+$", "")))
+    found = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PHRASE), 0), strip)
+    named = F.filter(found, lambda x: (F.char_length(x) >= 4) & (F.size(F.split(x, " ")) >= 2) & ~F.element_at(ws(x), 1).isin(SMALL) & F.arrays_overlap(ws(x), F.array(*map(F.lit, COMPANY_WORDS))))
+    return F.filter(named, lambda x, i: F.array_position(F.transform(named, lambda y: F.lower(y)), F.lower(x)) == i + 1)
+
+
+def recapitalised(text: str | None, names: Sequence[str | None] | None) -> str | None:
+    """A text with known names written as they are, longer names first; tokens in capitals stay, and nothing capitalised is made small."""
+    if not text or not names:
+        return text
+    order = sorted({n.strip().lower(): n.strip() for n in reversed(names) if n and len(n.strip()) > 1}.values(), key=lambda n: (-len(n), names.index(n) if n in names else 0))
+    for name in order:
+        def put(m: re.Match, name: str = name) -> str:
+            old = m[0]
+            keep = (len(old) > 1 and old.isupper() and not name.isupper()) or (old != old.lower() and name == name.lower())
+            return old if keep else name
+
+        text = re.sub(rf"(?<!\w){re.escape(name)}(?!\w)", put, text, flags=re.IGNORECASE)
+    return text
+
+
+def capitalise_names(text: Column, names: Column) -> Column:
+    """``recapitalised`` as a column, in Arrow batches."""
+
+    @F.arrow_udf("string")
+    def put(texts: pa.Array, lists: pa.Array) -> pa.Array:
+        return pa.array((recapitalised(t.as_py(), n.as_py()) for t, n in zip(texts, lists)), pa.string())
+
+    return put(text, names)

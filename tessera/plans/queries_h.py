@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import judgement as G
+from tessera.functions import names as N
 
 from .entities import Entities as E
 from .queries_f import isin, q
@@ -115,3 +116,34 @@ def c9(spark, d):
     text = F.concat(pick(TEXTS, i), F.when(i % 9 == 0, "").otherwise(F.concat(F.lit(" "), F.coalesce("title", F.lit("")))))
     plain = F.regexp_replace(text, "[à-öø-ɏÀ-ÖØ-Þ]", "a")
     return E(spark, d).docs.select("doc_id", G.relevance(plain, pick(PAGES, i), i % 4 == 0).alias("r")).select("doc_id", "r.*")
+
+
+PHRASES = ["the deal of Alfa Capital Partners with Beta S.p.A. and alfa capital partners.", "The Group of Four", "KKR Group, and Gamma Delta Holding; KKR GROUP", "no names here", None, "Alfa Beta and Omega Ventures Management, London"]
+
+
+@plan("f11_company_phrases", f"""SELECT doc_id, list_filter(n, lambda x, i: list_position(list_transform(n, lambda y: lower(y)), lower(x)) = i) AS phrases FROM (SELECT doc_id, list_filter(list_transform(regexp_extract_all(coalesce({picked(PHRASES, 'doc_id')}, ''), {q(N.PHRASE)}), lambda x: regexp_replace(regexp_replace(x, '^[ ,.;:()\\[\\]{{}}]+|[ ,.;:()\\[\\]{{}}]+$', '', 'g'), '\\s{{2,}}', ' ', 'g')),
+lambda x: length(x) >= 4 AND len(string_split(x, ' ')) >= 2 AND lower(split_part(x, ' ', 1)) NOT IN {isin(N.SMALL)} AND list_has_any(list_transform(string_split(x, ' '), lambda w: lower(regexp_replace(w, '^[ ,.;:()\\[\\]{{}}]+|[ ,.;:()\\[\\]{{}}]+$', '', 'g'))), {listed(N.COMPANY_WORDS)})) AS n FROM docs)""")
+def f11(spark, d):
+    """Phrases that look like names of companies."""
+    return E(spark, d).docs.select("doc_id", N.company_phrases(pick(PHRASES, F.col("doc_id"))).alias("phrases"))
+
+
+@plan("f11_names_in_text")
+def f11_names(spark, d):
+    """Texts in lower case with the names of the table's companies written as they are."""
+    names = F.array(F.lit("Alfa Capital"), F.lit("Alfa Capital Partners"), F.lit("KKR"), F.lit("beta"))
+    return E(spark, d).docs.select("doc_id", N.capitalise_names(F.lower(pick(PHRASES, F.col("doc_id"))), names).alias("text"))
+
+
+@plan("a23_hires_by_period", """, f AS (SELECT o_custkey AS c_custkey, min(CAST(o_orderdate AS DATE)) AS joined, count(*) AS n FROM orders GROUP BY 1), z AS (SELECT max(joined) AS as_of FROM f)
+SELECT c_nationkey, count(*) AS people, count(*) FILTER (n >= 20) AS senior, count(*) FILTER (n < 20 AND n >= 10) AS mid, count(*) FILTER (n < 10) AS junior, count(*) FILTER (joined > as_of - INTERVAL 6 MONTH) AS hires_6, count(*) FILTER (joined > as_of - INTERVAL 12 MONTH) AS hires_12,
+count(*) FILTER (joined > as_of - INTERVAL 24 MONTH) AS hires_24, count(*) FILTER (joined > as_of - INTERVAL 36 MONTH) AS hires_36, count(*) FILTER (joined > as_of - INTERVAL 48 MONTH) AS hires_48, count(*) FILTER (c_mktsegment IN ('BUILDING', 'MACHINERY')) AS industry, round(100.0 * count(*) FILTER (c_custkey % 3 = 0) / count(*), 1) AS share_a FROM customer JOIN f USING (c_custkey), z GROUP BY c_nationkey""")
+def a23(spark, d):
+    """People of a group: ranks by experience, hires within 6 to 48 months before the latest one, backgrounds, shares; one pass."""
+    e = E(spark, d)
+    first = e.table("orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.min(F.col("o_orderdate").cast("date")).alias("joined"), F.count("*").alias("n"))
+    as_of = first.agg(F.max("joined").alias("as_of"))
+    x = e.table("customer").join(first, "c_custkey").join(F.broadcast(as_of))
+    hires = [F.count_if(F.col("joined") > F.add_months("as_of", -m)).alias(f"hires_{m}") for m in (6, 12, 24, 36, 48)]
+    n = F.col("n")
+    return x.groupBy("c_nationkey").agg(F.count("*").alias("people"), F.count_if(n >= 20).alias("senior"), F.count_if((n < 20) & (n >= 10)).alias("mid"), F.count_if(n < 10).alias("junior"), *hires, F.count_if(F.col("c_mktsegment").isin("BUILDING", "MACHINERY")).alias("industry"), F.round(100.0 * F.count_if(F.col("c_custkey") % 3 == 0) / F.count("*"), 1).alias("share_a"))

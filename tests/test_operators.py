@@ -154,6 +154,13 @@ def test_fuzzy_matching_against_all_pairs(spark, data):
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, every.collect())) and got.count() > 20
 
 
+def test_names_in_text():
+    from tessera.functions.names import recapitalised
+
+    assert recapitalised("alfa capital partners and alfa capital of BURGER KING, kkr", ["Alfa Capital", "Alfa Capital Partners", "Burger King", "KKR"]) == "Alfa Capital Partners and Alfa Capital of BURGER KING, KKR"
+    assert recapitalised("Beta and alfaX", ["beta", "Alfa"]) == "Beta and alfaX" and recapitalised(None, ["x"]) is None and recapitalised("x", None) == "x"
+
+
 def test_alert_levels():
     assert folds.alert_level((10, 0.9), 0, 0.9) == ["critical"] and folds.alert_level((10, 0.9), 4, 0.9) == ["error"] and folds.alert_level((10, 0.9), 6, 0.5) == ["warning", "less_sure"] and folds.alert_level((10, 0.9), 7, 0.8) == []
 
