@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import IDF, HashingTF, NGram, RegexTokenizer, VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.ml.feature import IDF, CountVectorizer, HashingTF, NGram, RegexTokenizer, SQLTransformer, VectorAssembler
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -55,3 +55,44 @@ def class_report(rows: DataFrame, by: list[str]) -> DataFrame:
     precision, recall = F.col("_hit") / F.col("_said"), F.col("_hit") / F.col("n")
     f1 = 2.0 * F.col("_hit") / (F.col("n") + F.coalesce("_said", F.lit(0)))
     return x.select(*by, "label", "n", F.round(precision, 4).alias("precision"), F.round(recall, 4).alias("recall"), F.round(f1, 4).alias("f1"))
+
+
+#: Patterns of what a text has, by the name of the feature.
+HAS = {
+    "has_amount": r"(?i)(?:€|\$|£)\s*\d+|\b\d+(?:[.,]\d+)?\s*(?:m|mn|mln|million|m€|bn|billion)\b",
+    "has_date": r"(?i)\b\d{4}-\d{2}-\d{2}\b|\b\d{1,2}\s+(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)\w*\b",
+    "has_percent": r"(?i)\b\d+(?:[.,]\d+)?\s*%\b",
+    "has_deal_kw": r"(?i)\b(acquis|acquire|acquisition|invest|investment|deal|rileva|entra in|enters?)\b",
+    "has_exit_kw": r"(?i)\b(exit|divest|sale|sold|cessione|ced(e|e?))\b",
+    "has_fund_kw": r"(?i)\b(fund|fondo|fundraising|close|closing|lancia|lancio|nasce|launch)\b",
+    "has_people_kw": r"(?i)\b(appoint|appointed|joins?|joined|promot|nominat|nomina|team)\b",
+    "has_job_kw": r"(?i)\b(job|career|careers|lavora con noi|position|opening)\b",
+}
+PAGES = ["NEWS", "PORTFOLIO", "TEAM", "CAREERS"]
+
+
+def one_line(*texts: Column) -> Column:
+    """Texts joined, white space collapsed; null ones are empty."""
+    return F.trim(F.regexp_replace(F.concat_ws(" ", *(F.coalesce(t, F.lit("")) for t in texts)), r"\s+", " "))
+
+
+def extra_features(text: Column, page: Column, local: Column, relevance: Column) -> dict[str, Column]:
+    """The 18 numbers beside a text's words: lengths, what it has, its page, place and relevance."""
+    p, n = F.upper(F.coalesce(page, F.lit(""))), F.char_length(text)
+    count = F.when(text == "", 0).otherwise(F.size(F.split(text, " ")))
+    one = lambda c: F.when(c, 1.0).otherwise(0.0)
+    out = {"char_len": n.cast("double"), "token_len": count.cast("double"), "avg_token_len": F.coalesce(n / F.nullif(count, F.lit(0)), F.lit(0.0))}
+    out |= {name: one(F.rlike(text, F.lit(pattern))) for name, pattern in HAS.items()}
+    out |= {f"is_{x.lower()}": one(p == x) for x in PAGES} | {"is_other": one(~p.isin(PAGES))}
+    return out | {"italy_relevant": one(F.coalesce(local, F.lit(False))), "relevance_score": F.coalesce(relevance.cast("double"), F.lit(0.0))}
+
+
+def signal_vectors(rows: DataFrame, extras: list[str], most: int = 20_000, least: float = 2.0, share: float = 0.95) -> PipelineModel:
+    """Fits the vectors of rows(text, extras): TF-IDF of words and pairs, the ``most`` frequent ones that ``least`` texts and not more than ``share`` of
+    them have, and the numbers of ``extras``; column ``vector``."""
+    stages = [
+        RegexTokenizer(inputCol="text", outputCol="words", pattern=r"[a-z0-9à-öø-ÿ']{2,}", gaps=False), NGram(n=2, inputCol="words", outputCol="pairs"),
+        SQLTransformer(statement="SELECT *, concat(words, pairs) AS grams FROM __THIS__"), CountVectorizer(inputCol="grams", outputCol="tf", vocabSize=most, minDF=least, maxDF=share),
+        IDF(inputCol="tf", outputCol="tfidf"), VectorAssembler(inputCols=["tfidf", *extras], outputCol="vector"),
+    ]
+    return Pipeline(stages=stages).fit(rows)

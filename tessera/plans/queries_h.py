@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera import ml
 from tessera.functions import judgement as G
 from tessera.functions import names as N
 
@@ -147,3 +148,19 @@ def a23(spark, d):
     hires = [F.count_if(F.col("joined") > F.add_months("as_of", -m)).alias(f"hires_{m}") for m in (6, 12, 24, 36, 48)]
     n = F.col("n")
     return x.groupBy("c_nationkey").agg(F.count("*").alias("people"), F.count_if(n >= 20).alias("senior"), F.count_if((n < 20) & (n >= 10)).alias("mid"), F.count_if(n < 10).alias("junior"), *hires, F.count_if(F.col("c_mktsegment").isin("BUILDING", "MACHINERY")).alias("industry"), F.round(100.0 * F.count_if(F.col("c_custkey") % 3 == 0) / F.count("*"), 1).alias("share_a"))
+
+
+STARTS = ["Alfa acquires Beta for €30 million", "Exit: sale of Gamma on 2024-05-01, 12 mln", "Nasce il fondo delta", "The team: Rossi joins 3 March", "Careers: an opening", "A deal of 15 % and more", "", "Nothing  of  note"]
+SITES_OF = ["NEWS", "portfolio", "TEAM", "CAREERS", "HOME", None]
+
+
+@plan("x5_numeric_features", f"""SELECT doc_id, CAST(length(t) AS DOUBLE) AS char_len, CAST(CASE WHEN t = '' THEN 0 ELSE len(string_split(t, ' ')) END AS DOUBLE) AS token_len, coalesce(round(length(t) / CAST(nullif(CASE WHEN t = '' THEN 0 ELSE len(string_split(t, ' ')) END, 0) AS DOUBLE), 6), 0) AS avg_token_len, {', '.join(f"CAST(regexp_matches(t, {q(p)}) AS DOUBLE) AS {k}" for k, p in ml.HAS.items())},
+{', '.join(f"CAST(page = {q(x)} AS DOUBLE) AS is_{x.lower()}" for x in ml.PAGES)}, CAST(page NOT IN {isin(ml.PAGES)} AS DOUBLE) AS is_other, CAST(doc_id % 3 = 0 AS DOUBLE) AS italy_relevant, CASE WHEN doc_id % 5 = 0 THEN 0.0 ELSE (doc_id % 10) / CAST(10 AS DOUBLE) END AS relevance_score
+FROM (SELECT doc_id, trim(regexp_replace(coalesce({picked(STARTS, 'doc_id')}, '') || ' ' || coalesce(regexp_replace(title, '[^ -~]', 'a', 'g'), ''), '\\s+', ' ', 'g')) AS t, upper(coalesce({picked(SITES_OF, 'doc_id')}, '')) AS page FROM docs)""")
+def x5(spark, d):
+    """The 18 numbers of each text that go beside its words."""
+    i = F.col("doc_id")
+    x = E(spark, d).docs.select("doc_id", ml.one_line(pick(STARTS, i), F.regexp_replace("title", "[^ -~]", "a")).alias("t"))
+    score = F.when(i % 5 != 0, (i % 10) / 10.0)
+    cols = ml.extra_features(F.col("t"), pick(SITES_OF, i), i % 3 == 0, score)
+    return x.select("doc_id", *(F.round(c, 6).alias(k) if k == "avg_token_len" else c.alias(k) for k, c in cols.items()))

@@ -161,6 +161,22 @@ def test_names_in_text():
     assert recapitalised("Beta and alfaX", ["beta", "Alfa"]) == "Beta and alfaX" and recapitalised(None, ["x"]) is None and recapitalised("x", None) == "x"
 
 
+def test_signal_vectors(spark):
+    from tessera import ml
+
+    texts = ["alpha beta gamma", "alpha beta delta", "alpha omega", "alpha beta", "", None]
+    rows = spark.createDataFrame([(i, t, "NEWS") for i, t in enumerate(texts)], "id long, text string, page string")
+    rows = rows.withColumn("text", ml.one_line(F.col("text")))
+    cols = ml.extra_features(F.col("text"), F.col("page"), F.lit(None).cast("boolean"), F.lit(None).cast("double"))
+    rows = rows.select("id", "text", *(c.alias(k) for k, c in cols.items()))
+    assert len(cols) == 18
+    model = ml.signal_vectors(rows, list(cols), most=100, least=2.0, share=0.6)
+    words = model.stages[3].vocabulary
+    assert sorted(words) == ["alpha beta", "beta"]  # alpha is in two thirds of the texts, the others in one
+    got = {r.id: r.vector for r in model.transform(rows).select("id", "vector").collect()}
+    assert got[0].size == 20 and got[0].toArray()[2:5].tolist() == [16.0, 3.0, 16 / 3] and got[4].toArray()[:5].tolist() == [0] * 5
+
+
 def test_alert_levels():
     assert folds.alert_level((10, 0.9), 0, 0.9) == ["critical"] and folds.alert_level((10, 0.9), 4, 0.9) == ["error"] and folds.alert_level((10, 0.9), 6, 0.5) == ["warning", "less_sure"] and folds.alert_level((10, 0.9), 7, 0.8) == []
 
