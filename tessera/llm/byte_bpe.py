@@ -26,7 +26,7 @@ RANKS = "byte_bpe_50k.tiktoken"
 #: Fixed value: the split pattern, for texts of plain characters.
 PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 #: Chunks and pieces of a generation that a worker remembers; characters that a match of the pattern looks ahead.
-CHUNKS, PIECES, AHEAD = 400_000, 300_000, 3
+CHUNKS, PIECES, AHEAD = 100_000, 100_000, 3
 
 
 class Codec:
