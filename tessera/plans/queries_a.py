@@ -32,7 +32,7 @@ def s1(spark, d):
 
 @plan("s2_map_of_arrays_flatten", "SELECT fund_id, company_id, coalesce(confidence, 0.7) AS confidence FROM items WHERE coalesce(confidence, 0.7) >= 0.5")
 def s2(spark, d):
-    """The stored form, a map from fund to a list of items as JSON, flattened again, with the default confidence and its filter."""
+    """The stored form, a map from fund to a list of items as JSON, flattened again, with the default confidence and its filter."""
     per_fund = E(spark, d).items.groupBy("fund_id").agg(F.to_json(F.create_map(F.col("fund_id").cast("string"), F.collect_list(F.struct("company_id", "confidence")))).alias("doc"))
     flat = per_fund.select(F.explode(F.from_json("doc", "map<string, array<struct<company_id: long, confidence: double>>>")).alias("fund", "list")).select("fund", F.inline("list"))
     return flat.select(F.col("fund").cast(LONG).alias("fund_id"), "company_id", F.coalesce("confidence", F.lit(0.7)).alias("confidence")).where("confidence >= 0.5")
@@ -179,7 +179,7 @@ def p17(spark, d):
 
 @plan("p18_garbage_rules", r"""SELECT doc_id, CASE WHEN length(title) < 10 THEN 'short' WHEN regexp_matches(title, '(###|%%%|&&&|\*\*\*)') THEN 'symbols' WHEN regexp_matches(title, '^[^a-z]*$') THEN 'no_lower' WHEN contains(title, ' | ') THEN 'navigation' ELSE 'keep' END AS decision FROM docs""")
 def p18(spark, d):
-    """Garbage rules in order, cheap ones first, as one decision column."""
+    """Garbage rules in order, cheap ones first, as one decision column."""
     t = F.col("title")
     return E(spark, d).docs.select("doc_id", F.when(F.char_length(t) < 10, "short").when(F.rlike(t, F.lit(r"(###|%%%|&&&|\*\*\*)")), "symbols").when(F.rlike(t, F.lit("^[^a-z]*$")), "no_lower").when(F.contains(t, F.lit(" | ")), "navigation").otherwise("keep").alias("decision"))
 
@@ -199,7 +199,7 @@ def p24(spark, d):
 
 @plan("p25_geo_scope", """SELECT signal_id FROM signals JOIN funds USING (fund_id) WHERE CASE WHEN region IN ('EUROPE', 'AFRICA') THEN true WHEN type = 'deal_announced' THEN score >= 50 ELSE company_id % 2 = 0 END""")
 def p25(spark, d):
-    """Relevance by the fund's scope."""
+    """Relevance by the fund's scope."""
     e = E(spark, d)
     ok = F.when(F.col("region").isin("EUROPE", "AFRICA"), F.lit(True)).when(F.col("type") == "deal_announced", F.col("score") >= 50).otherwise(F.col("company_id") % 2 == 0)
     return e.signals.join(e.funds.select("fund_id", "region"), "fund_id").where(ok).select("signal_id")

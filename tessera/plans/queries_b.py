@@ -101,7 +101,7 @@ def j11(spark, d):
 
 @plan("j12_new_by_fingerprint", "SELECT DISTINCT substr(md5(title || '|' || source), 1, 12) AS fp FROM docs d WHERE doc_id % 3 = 0 AND NOT EXISTS (SELECT 1 FROM docs o WHERE o.doc_id % 3 = 1 AND o.title = d.title AND o.source = d.source)")
 def j12(spark, d):
-    """News whose fingerprint is not known yet."""
+    """News whose fingerprint is not known yet."""
     x = E(spark, d).docs.select("doc_id", F.substring(F.md5(F.concat_ws("|", "title", "source")), 1, 12).alias("fp"))
     return x.where("doc_id % 3 = 0").join(x.where("doc_id % 3 = 1"), "fp", "left_anti").select("fp").distinct()
 
@@ -110,7 +110,7 @@ def j12(spark, d):
 m AS (SELECT target_id, 0 AS r, min(company_id) AS c FROM t JOIN k USING (exact) GROUP BY 1 UNION ALL SELECT target_id, 1, min(company_id) FROM t JOIN k USING (alias) GROUP BY 1 UNION ALL SELECT target_id, 2, min(company_id) FROM t JOIN k USING (domain) GROUP BY 1)
 SELECT target_id, arg_min(c, r) AS company_id, CASE min(r) WHEN 0 THEN 'exact' WHEN 1 THEN 'alias' WHEN 2 THEN 'domain' ELSE 'none' END AS tier FROM t LEFT JOIN m USING (target_id) GROUP BY target_id""")
 def j13(spark, d):
-    """Entity resolution: exact, alias, domain, else new."""
+    """Entity resolution: exact, alias, domain, else new."""
     c = E(spark, d).companies.select("company_id", F.lower("name").alias("exact"), F.concat_ws("/", "brand", "sector").alias("alias"), F.concat(F.split("name", " ")[1], "size").alias("domain"))
     k, t = c.where("company_id < 100"), c.where("company_id >= 100").withColumnRenamed("company_id", "target_id")
     return R.cascade(t, k, "target_id", "company_id", [(x, F.col(x), F.col(x)) for x in ("exact", "alias", "domain")])
@@ -225,7 +225,7 @@ def a5(spark, d):
 
 @plan("a6_sector_ranking", """, c AS (SELECT fund_id, sector, count(*) AS n FROM items JOIN companies USING (company_id) WHERE status IS NULL OR status = 'current' GROUP BY ALL) SELECT fund_id, list(sector ORDER BY n DESC, sector) AS sectors FROM c GROUP BY fund_id""")
 def a6(spark, d):
-    """Sectors of each fund's present portfolio in order of count."""
+    """Sectors of each fund's present portfolio in order of count."""
     e = E(spark, d)
     n = e.items.where("status is null or status = 'current'").join(e.companies, "company_id").groupBy("fund_id", "sector").agg(F.count("*").alias("n"))
     return n.groupBy("fund_id").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), "sector"))), lambda x: x.sector).alias("sectors"))
@@ -342,7 +342,7 @@ def a22(spark, d):
 
 @plan("a23_people_stats", "SELECT c_nationkey, count(*) AS people, count(*) FILTER (c_mktsegment = 'BUILDING') AS building, count(*) FILTER (c_acctbal > 5000) AS senior, round(avg(nullif(c_acctbal, 0)), 1) AS mean_balance FROM customer GROUP BY c_nationkey")
 def a23(spark, d):
-    """Conditional counts and means without nulls and zeros."""
+    """Conditional counts and means without nulls and zeros."""
     return E(spark, d).table("customer").groupBy("c_nationkey").agg(F.count("*").alias("people"), F.count_if(F.col("c_mktsegment") == "BUILDING").alias("building"), F.count_if(F.col("c_acctbal") > 5000).alias("senior"), F.round(F.avg(F.nullif("c_acctbal", F.lit(0.0))), 1).alias("mean_balance"))
 
 
@@ -360,7 +360,7 @@ def a26(spark, d):
 
 @plan("a27_majority_vote", """, c AS (SELECT fund_id, sector, count(*) AS n, min(company_id) AS p FROM items JOIN companies USING (company_id) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY fund_id ORDER BY n DESC, p) AS k FROM c) SELECT fund_id, sector FROM r WHERE k = 1""")
 def a27(spark, d):
-    """Majority, of equals the first seen."""
+    """Majority, of equals the first seen."""
     e = E(spark, d)
     return R.majority(e.items.join(e.companies, "company_id"), ["fund_id"], "sector", "company_id")
 

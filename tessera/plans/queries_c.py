@@ -160,7 +160,7 @@ def w8(spark, d):
 
 @plan("w10_priority_rank", """, c AS (SELECT fund_id, count(*) AS n FROM items GROUP BY 1), s AS (SELECT fund_id, 5 + CASE WHEN region = 'EUROPE' THEN 25 ELSE 0 END + CASE WHEN aum >= 5000000000 THEN 35 WHEN aum >= 1000000000 THEN 30 WHEN aum >= 500000000 THEN 20 WHEN aum >= 100000000 THEN 10 ELSE 0 END + CASE WHEN category IN ('pe', 'vc') THEN 15 WHEN category = 'growth' THEN 10 ELSE 0 END + least(25, coalesce(n, 0) // 10) AS score FROM funds LEFT JOIN c USING (fund_id)) SELECT fund_id, CAST(score AS BIGINT) AS score, rank() OVER (ORDER BY score DESC) AS place FROM s""")
 def w10(spark, d):
-    """Scraping priority by bands, ranked."""
+    """Scraping priority by bands, ranked."""
     from tessera.functions import rules as Q
 
     e = E(spark, d)
@@ -172,7 +172,7 @@ def w10(spark, d):
 
 @plan("w11_quality_baseline")
 def w11(spark, d):
-    """Self-raising baseline per key: a new value is accepted if it is at least 0.9 of the baseline (T11). An ordered fold per key."""
+    """Self-raising baseline per key: a new value is accepted if it is at least 0.9 of the baseline. An ordered fold per key."""
     from tessera.streaming.folds import baseline
 
     return baseline(E(spark, d).signals.select("url_id", "observed_at", "signal_id", "score"), "url_id", ["observed_at", "signal_id"], "score").select("signal_id", F.round("baseline", 6).alias("baseline"), "alert")
@@ -187,7 +187,7 @@ def o1(spark, d):
 
 @plan("o2_feed_order", "SELECT signal_id, coalesce(published_at, observed_at - INTERVAL 1 HOUR) AS shown_at FROM signals ORDER BY shown_at DESC, signal_id LIMIT 100")
 def o2(spark, d):
-    """Feed order with a penalty for unconfirmed times; the first 100."""
+    """Feed order with a penalty for unconfirmed times; the first 100."""
     return E(spark, d).signals.select("signal_id", D.effective(F.col("published_at"), F.col("observed_at")).alias("shown_at")).orderBy(F.desc("shown_at"), "signal_id").limit(100)
 
 
@@ -268,7 +268,7 @@ def t6(spark, d):
 
 @plan("t8_incremental", "SELECT doc_id FROM docs d WHERE NOT EXISTS (SELECT 1 FROM docs o WHERE o.doc_id % 2 = 0 AND o.title = d.title AND o.lang = d.lang)")
 def t8(spark, d):
-    """Rows whose fingerprint is not in the cache of an earlier run."""
+    """Rows whose fingerprint is not in the cache of an earlier run."""
     x = E(spark, d).docs.select("doc_id", F.sha2(F.to_json(F.struct("title", "lang")), 256).alias("fp"))
     return x.join(x.where("doc_id % 2 = 0").select("fp").distinct(), "fp", "left_anti").select("doc_id")
 

@@ -33,7 +33,7 @@ NO_ENDING = f"regexp_replace({stripped(stripped(stripped(NO_LOGO)))}, '\\s+techn
 
 @plan("f1_company_name", f"SELECT company_id, {SQUASH.format(NO_ENDING)} AS norm FROM companies")
 def f1(spark, d):
-    """Company names for matching."""
+    """Company names for matching (F2)."""
     k = F.col("company_id") % 6
     raw = F.concat("name", F.when(k == 0, " (via Beta) S.p.A.").when(k == 1, ", Holding S.r.l.").when(k == 2, " Technologies").when(k == 3, " logo").when(k == 4, "-Group").otherwise(" Gruppo Holdings Ltd"))
     return E(spark, d).companies.select("company_id", T.norm_company(raw).alias("norm"))
@@ -126,7 +126,7 @@ AMOUNT = "CASE l_linenumber % 5 WHEN 0 THEN '1,5 Bln Euro' WHEN 1 THEN CAST(CAST
 
 @plan("f27_f36_amounts", "SELECT l_linenumber, CAST(CAST(l_quantity AS INTEGER) AS BIGINT) AS q, CASE l_linenumber % 5 WHEN 0 THEN 1500000000.0 WHEN 1 THEN CAST(l_quantity AS INTEGER) * 1000000.0 WHEN 2 THEN 2500.75 WHEN 3 THEN CAST(l_quantity AS INTEGER) * 1000.0 END AS amount, CASE WHEN l_linenumber % 5 = 1 THEN CAST(CAST(l_quantity AS INTEGER) AS DOUBLE) ELSE 0.0 END AS millions, count(*) AS n FROM lineitem GROUP BY ALL")
 def f27(spark, d):
-    """Amounts in free text, in units and in millions."""
+    """Amounts in free text, in units and in millions."""
     q = F.col("l_quantity").cast("int").cast("string")
     k = F.col("l_linenumber") % 5
     text = F.when(k == 0, "1,5 Bln Euro").when(k == 1, F.concat(q, F.lit(" mln"))).when(k == 2, "2.500,75").when(k == 3, F.concat(q, F.lit("k"))).otherwise("n.a.")
@@ -162,7 +162,7 @@ def f38(spark, d):
 
 @plan("f42_tenure", "SELECT c_custkey, list_sort(list(DISTINCT year(o_orderdate))) AS years, max(year(o_orderdate)) - min(year(o_orderdate)) AS tenure FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
 def f42(spark, d):
-    """Experience over a nested list."""
+    """Experience over a nested list."""
     e = E(spark, d)
     per = e.table("orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.array_sort(F.collect_set(F.year("o_orderdate").cast(LONG))).alias("years"))
     return e.table("customer").select("c_custkey").join(per, "c_custkey").select("c_custkey", "years", (F.array_max("years") - F.array_min("years")).alias("tenure"))
@@ -178,13 +178,13 @@ RULES_SQL = " ".join("WHEN " + " OR ".join(f"contains(t, '{k.replace(chr(39), ch
 
 @plan("c1_news_rules", f", x AS (SELECT doc_id, trim(lower(title)) AS t FROM docs) SELECT doc_id, CASE WHEN length(t) < 20 OR NOT contains(t, ' ') THEN 'noise' {RULES_SQL} ELSE 'other' END AS type FROM x")
 def c1(spark, d):
-    """Ordered keyword rules, the first match wins."""
+    """Ordered keyword rules, the first match wins."""
     return E(spark, d).docs.select("doc_id", Q.news_type(F.col("title")).alias("type"))
 
 
 @plan("c3_two_phase_corrections", "SELECT signal_id, CASE WHEN t = 'exit_announced' AND score < 20 THEN 'website_change' ELSE t END AS type FROM (SELECT *, CASE WHEN type = 'website_change' AND score > 60 THEN 'deal_announced' WHEN type = 'people_move' AND company_id % 2 = 0 THEN 'exit_announced' ELSE type END AS t FROM signals)")
 def c3(spark, d):
-    """Universal demotions after corrections by current type, in two phases (C4)."""
+    """Universal demotions after corrections by current type, in two phases."""
     t = F.col("type")
     first = F.when((t == "website_change") & (F.col("score") > 60), "deal_announced").when((t == "people_move") & (F.col("company_id") % 2 == 0), "exit_announced").otherwise(t)
     s = E(spark, d).signals.withColumn("t", first)
@@ -198,7 +198,7 @@ def c6(spark, d):
 
 @plan("c7_quality_score", """SELECT signal_id, least(greatest(50 + CASE WHEN published_at IS NOT NULL THEN 15 ELSE 0 END + CASE WHEN type IN ('deal_announced', 'exit_announced') THEN 20 ELSE 0 END - CASE WHEN type = 'website_change' THEN 45 ELSE 0 END + CASE WHEN score >= 80 THEN 25 WHEN score >= 40 THEN 10 ELSE 0 END - CASE WHEN company_id % 10 = 0 THEN 20 ELSE 0 END, 0), 100) AS quality FROM signals""")
 def c7(spark, d):
-    """Additive score within 0 to 100."""
+    """Additive score within 0 to 100."""
     t = F.col("type")
     q = Q.score(F.lit(50), Q.if_then(F.col("published_at").isNotNull(), 15), Q.if_then(t.isin("deal_announced", "exit_announced"), 20), -Q.if_then(t == "website_change", 45), Q.band(F.col("score"), [(80, 25), (40, 10)], 0), -Q.if_then(F.col("company_id") % 10 == 0, 20))
     return E(spark, d).signals.select("signal_id", q.cast("int").alias("quality"))
@@ -238,7 +238,7 @@ def x5(spark, d):
 
 @plan("x6_classifier")
 def x6(spark, d):
-    """TF-IDF and logistic regression on labelled documents, predictions for all of them."""
+    """TF-IDF and logistic regression on labelled documents, predictions for all of them."""
     from tessera.ml import predicted, text_classifier
 
     e = E(spark, d)
