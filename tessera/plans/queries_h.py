@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessera import ml
 from tessera.functions import judgement as G
 from tessera.functions import names as N
+from tessera.operators import matching as M
 
 from .entities import Entities as E
 from .queries_f import isin, q
@@ -164,3 +165,80 @@ def x5(spark, d):
     score = F.when(i % 5 != 0, (i % 10) / 10.0)
     cols = ml.extra_features(F.col("t"), pick(SITES_OF, i), i % 3 == 0, score)
     return x.select("doc_id", *(F.round(c, 6).alias(k) if k == "avg_token_len" else c.alias(k) for k, c in cols.items()))
+
+
+@plan("p16_portfolio_filter_set", """SELECT 'unknown_small_with_site' AS view, fund_id, company_id FROM items JOIN companies USING (company_id) WHERE status IS NULL AND sector = 'SMALL' AND company_id % 4 <> 0 UNION ALL
+SELECT 'current_home', fund_id, company_id FROM items JOIN companies USING (company_id) WHERE status = 'current' AND brand IN ('Brand#1', 'Brand#2', 'Brand#3') UNION ALL SELECT 'without_site', fund_id, company_id FROM items JOIN companies USING (company_id) WHERE company_id % 4 = 0""")
+def p16(spark, d):
+    """Filters of a portfolio, each 'all' or a value: sector, status (unknown is null), with or without a site, home region; three choices of them."""
+    e = E(spark, d)
+    site = F.when(F.col("company_id") % 4 != 0, F.concat(F.lit("https://c"), "company_id"))
+    x = e.items.join(e.companies, "company_id").select("fund_id", "company_id", "sector", "status", site.alias("website"), F.col("brand").isin("Brand#1", "Brand#2", "Brand#3").alias("home"))
+
+    def chosen(view, sector="all", status="all", website="all", region="all"):
+        out = x
+        if sector != "all":
+            out = out.where(F.col("sector") == sector)
+        if status != "all":
+            out = out.where(F.col("status").isNull() if status == "unknown" else F.col("status") == status)
+        if website != "all":
+            out = out.where(F.col("website").isNotNull() if website == "with" else F.col("website").isNull())
+        if region == "home":
+            out = out.where("home")
+        return out.select(F.lit(view).alias("view"), "fund_id", "company_id")
+
+    return chosen("unknown_small_with_site", "SMALL", "unknown", "with").unionByName(chosen("current_home", status="current", region="home")).unionByName(chosen("without_site", website="without"))
+
+
+#: Amounts that were left in Italian.
+ITALIAN_AMOUNTS = [
+    r"\d+(?:[,.]\d+)?\s+milioni\s+di\s+euro", r"\d+(?:[,.]\d+)?\s+mln\s+(?:di\s+)?euro", r"\d+(?:[,.]\d+)?\s+milioni\s+euro", r"milioni\s+di\s+euro", r"\d+(?:[,.]\d+)?\s+miliardi\s+di\s+euro", r"\d+(?:[,.]\d+)?\s+mld\s+(?:di\s+)?euro",
+    r"miliardi\s+di\s+euro", r"\d+(?:[,.]\d+)?\s+migliaia\s+di\s+euro", r"migliaia\s+di\s+euro", r"\boltre\s+\d+(?:[,.]\d+)?\s+mil", r"\boltre\s+(?:i\s+)?\d+\s+mil",
+]
+SUMMARIES = ["", "Round da 3,5 milioni di euro e oltre 20 milioni", "A deal of 12 MLN di euro", "miliardi di euro", "Worth EUR 3m", "oltre i 50 milioni di Euro", None]
+
+
+@plan("p33_currency_residue", f"""SELECT doc_id, list_filter(m, lambda x, i: list_position(list_transform(m, lambda y: lower(y)), lower(x)) = i) AS residue FROM (SELECT doc_id, list_concat({', '.join(f"regexp_extract_all(t, {q('(?i)' + p)})" for p in ITALIAN_AMOUNTS[:2])}, {', '.join(f"regexp_extract_all(t, {q('(?i)' + p)})" for p in ITALIAN_AMOUNTS[2:])}) AS m FROM (SELECT doc_id, coalesce({picked(SUMMARIES, 'doc_id')}, '') || ' ' || coalesce(title, '') AS t FROM docs)) WHERE len(m) > 0""")
+def p33(spark, d):
+    """Summaries with amounts left in Italian, and what was found, each once in any case."""
+    t = F.concat(F.coalesce(pick(SUMMARIES, F.col("doc_id")), F.lit("")), F.lit(" "), F.coalesce("title", F.lit("")))
+    found = F.flatten(F.array(*(F.regexp_extract_all(t, F.lit("(?i)" + p), 0) for p in ITALIAN_AMOUNTS)))
+    x = E(spark, d).docs.select("doc_id", found.alias("m")).where(F.size("m") > 0)
+    return x.select("doc_id", F.filter("m", lambda v, i: F.array_position(F.transform("m", lambda y: F.lower(y)), F.lower(v)) == i + 1).alias("residue"))
+
+
+#: Endings that don't count when names are matched.
+ENDINGS = ["sgr", "spa", "srl", "s.p.a.", "s.r.l.", "sa", "partners", "capital", "group"]
+
+
+def bare(c):
+    """A name without endings and other characters than letters and digits."""
+    c = F.lower(c)
+    for x in ENDINGS:
+        c = F.replace(c, F.lit(x), F.lit(""))
+    return F.regexp_replace(c, "[^a-z0-9]", "")
+
+
+def bare_sql(c: str) -> str:
+    c = f"lower({c})"
+    for x in ENDINGS:
+        c = f"replace({c}, {q(x)}, '')"
+    return f"regexp_replace({c}, '[^a-z0-9]', '', 'g')"
+
+
+URL_NAME = "CASE doc_id % 5 WHEN 0 THEN f.name || ' SGR' WHEN 1 THEN f.slug WHEN 2 THEN 'www ' || f.name || ' partners' WHEN 3 THEN substr(f.name, 1, 12) ELSE 'nobody' || doc_id END"
+
+
+@plan("j28_url_entities", f"""SELECT doc_id, min(i.fund_id) AS fund_id FROM (SELECT doc_id, {bare_sql(URL_NAME)} AS u FROM docs JOIN funds f ON f.fund_id = doc_id % 50 + 1) x JOIN (SELECT fund_id, {bare_sql('name')} AS n, replace(slug, '-', '') AS s FROM funds) i ON u = n OR u = s OR (length(u) >= 4 AND length(n) >= 4 AND (contains(n, u) OR contains(u, n))) GROUP BY doc_id""")
+def j28(spark, d):
+    """Names taken from addresses matched to investors: equal to the name or slug without endings, or one holding the other from four letters on; the
+    first investor counts."""
+    e, i = E(spark, d), F.col("doc_id")
+    funds = e.funds.select("fund_id", "name", "slug")
+    named = e.docs.select("doc_id", (i % 50 + 1).alias("fund_id")).join(funds, "fund_id")
+    name = F.when(i % 5 == 0, F.concat("name", F.lit(" SGR"))).when(i % 5 == 1, F.col("slug")).when(i % 5 == 2, F.concat(F.lit("www "), "name", F.lit(" partners"))).when(i % 5 == 3, F.left("name", F.lit(12))).otherwise(F.concat(F.lit("nobody"), i))
+    x = named.select("doc_id", bare(name).alias("u"))
+    y = funds.select("fund_id", bare(F.col("name")).alias("n"), F.replace("slug", F.lit("-"), F.lit("")).alias("s"))
+    equal = x.join(y.select("fund_id", F.explode(F.array_distinct(F.array("n", "s"))).alias("u")), "u").select("doc_id", "fund_id")
+    held = M.substring_pairs(x.where(F.char_length("u") >= 4), y.where(F.char_length("n") >= 4), "doc_id", "fund_id", "u", "n")
+    return equal.unionByName(held).groupBy("doc_id").agg(F.min("fund_id").alias("fund_id"))
