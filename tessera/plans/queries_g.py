@@ -222,7 +222,7 @@ SCHOOL_NAMES = [
 ]
 
 
-@plan("f43_school_names", f"""SELECT c_custkey, CASE {' '.join(f"WHEN regexp_matches(s, {q('(?i)' + p)}) THEN {q(n)}" for p, n in SCHOOLS)} WHEN regexp_matches(s, {q(STUDI)}) THEN 'Univ. ' || trim(regexp_replace(regexp_extract(s, {q(STUDI)}, 1), '[,(\-–].*$', '')) WHEN regexp_matches(s, {q(OF)}) THEN 'Univ. ' || trim(regexp_replace(regexp_extract(s, {q(OF)}, 1), '[,(\-–].*$', ''))
+@plan("f43_school_names", rf"""SELECT c_custkey, CASE {' '.join(f"WHEN regexp_matches(s, {q('(?i)' + p)}) THEN {q(n)}" for p, n in SCHOOLS)} WHEN regexp_matches(s, {q(STUDI)}) THEN 'Univ. ' || trim(regexp_replace(regexp_extract(s, {q(STUDI)}, 1), '[,(\-–].*$', '')) WHEN regexp_matches(s, {q(OF)}) THEN 'Univ. ' || trim(regexp_replace(regexp_extract(s, {q(OF)}, 1), '[,(\-–].*$', ''))
 WHEN trim(regexp_replace(s, {q(UNIVERSITY)}, ' ')) NOT IN (trim(s), '') THEN CASE WHEN length(trim(regexp_replace(s, {q(UNIVERSITY)}, ' '))) > 20 THEN left(trim(regexp_replace(s, {q(UNIVERSITY)}, ' ')), 17) || '...' ELSE trim(regexp_replace(s, {q(UNIVERSITY)}, ' ')) END
 ELSE CASE WHEN length(trim(regexp_replace(s, {q(SUFFIX)}, ''))) > 20 THEN left(trim(regexp_replace(s, {q(SUFFIX)}, '')), 17) || '...' ELSE trim(regexp_replace(s, {q(SUFFIX)}, '')) END END AS school
 FROM (SELECT c_custkey, ([{', '.join(map(q, SCHOOL_NAMES))}])[c_custkey % {len(SCHOOL_NAMES)} + 1] AS s FROM customer)""")
