@@ -44,7 +44,8 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: encodes each text and checks itself by decoding."""
-    return byte_bpe.round_trip(docs)
+    # Workers are reused from stage to stage, so what they remember stays small.
+    return byte_bpe.round_trip(docs, remembered=50_000)
 
 
 STAGES = [

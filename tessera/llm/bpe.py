@@ -37,6 +37,11 @@ class Merges:
         self.halves: dict = {}
         self.pairs: dict = {}
         self.steps: dict = {}
+        self.most_pairs, self.most_steps = PAIRS, STEPS
+
+    def limit(self, remembered: int) -> None:
+        """Keeps the caches of pairs and prefixes within a bound."""
+        self.most_pairs, self.most_steps = min(PAIRS, remembered), min(STEPS, remembered)
 
     def rank(self, a, b) -> int:
         """When a and b, as neighbours, merge; NEVER if they don't."""
@@ -94,7 +99,7 @@ class Merges:
                 until, b = ranks[b] + 1, hb[0]
             else:
                 break
-        if len(self.pairs) >= PAIRS:
+        if len(self.pairs) >= self.most_pairs:
             self.pairs.clear()
         self.pairs[key] = ok
         return ok
@@ -118,7 +123,7 @@ class Merges:
             if t is None:
                 t = self.last_token(piece, last, end)
                 if prefix is not None:
-                    if len(steps) >= STEPS:
+                    if len(steps) >= self.most_steps:
                         steps.clear()
                     steps[prefix] = t
             last.append(t)

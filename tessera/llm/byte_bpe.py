@@ -25,18 +25,20 @@ from .common import parts, spread
 RANKS = "byte_bpe_50k.tiktoken"
 #: Fixed value: the split pattern, for texts of plain characters.
 PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-#: Chunks and pieces of a generation that a worker remembers; characters that a match of the pattern looks ahead.
-CHUNKS, PIECES, AHEAD = 100_000, 100_000, 3
+#: Chunks of a generation that a worker remembers by default (``remembered``; it takes some 200 bytes for each of two generations of chunks and as many
+#: pieces); characters that a match of the pattern looks ahead.
+REMEMBERED, AHEAD = 350_000, 3
 
 
 class Codec:
     """Encodes texts to ids and back. Ids of a chunk or piece are kept packed as little-endian 32-bit integers."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         import public_tokenizers
         import regex
 
-        self.merges, self.chunks, self.memory = rank_file(path), Memory(CHUNKS), Memory(PIECES)
+        self.merges, self.chunks, self.memory = rank_file(path), Memory(remembered), Memory(remembered)
+        self.merges.limit(remembered)
         self.finditer = regex.compile(public_tokenizers.PATTERN).finditer
         self.bytes_of = {i: t for t, i in self.merges.ids.items()}
 
@@ -135,10 +137,10 @@ class Encoded:
 
 
 @lru_cache(2)
-def codec(path: str | None = None) -> Codec:
+def codec(path: str | None = None, remembered: int = REMEMBERED) -> Codec:
     import public_tokenizers
 
-    return Codec(path or public_tokenizers.path(RANKS))
+    return Codec(path or public_tokenizers.path(RANKS), remembered)
 
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -169,11 +171,12 @@ def decode(ids: DataFrame, path: str | None = None) -> DataFrame:
     return ids.select("doc_id", "ids").mapInArrow(rows, "doc_id long, decoded binary")
 
 
-def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: encodes, decodes the ids and digests both, in one pass over whole texts."""
+def round_trip(docs: DataFrame, path: str | None = None, remembered: int = REMEMBERED) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256: encodes, decodes the ids and digests both, in one pass over whole texts. ``remembered`` bounds what
+    a worker remembers; results don't depend on it."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path)
+        c = codec(path, remembered)
         for b in batches:
             for part in parts(b, 4_000_000, 8192):
                 packed = c.many(part.column(1).to_pylist())
