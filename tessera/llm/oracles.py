@@ -26,3 +26,21 @@ e AS (SELECT *, length(text) + coalesce(list_sum(list_transform(regexp_extract_a
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256, CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
 sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum(n + length(role) + length('<s>[ROLE][/ROLE][INST][/INST]</s>') + 1) AS BIGINT) AS formatted_chars FROM e GROUP BY conv_id
 """
+
+QUALITY_RULES = r"""
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT r, unnest(range(1, len(w) - 1)) AS i, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i:i + 2])) AS g FROM w WHERE len(w) > 2),
+m AS (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM g),
+v AS (SELECT r, count(DISTINCT i + k) AS n FROM m, range(3) x(k) WHERE c > 1 GROUP BY r),
+l AS (SELECT r, count(*) AS n, count(DISTINCT x) AS d FROM (SELECT r, unnest(string_split(t, chr(10))) AS x FROM w) WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY r),
+c AS (SELECT doc_id, source, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(l.n, 0) AS n_lines, coalesce(l.n - l.d, 0) AS n_dup_lines, coalesce(v.n, 0) AS n_repeat_words
+  FROM w LEFT JOIN v USING (r) LEFT JOIN l USING (r)),
+f AS (SELECT *, n_words < 50 AS f1, 100 * n_repeat_words > 50 * n_words AS f2, 10 * n_symbols > n_words AS f3, 10 * n_dup_lines > 3 * n_lines AS f4, word_chars < 3 * n_words OR word_chars > 10 * n_words AS f5 FROM c),
+h AS (SELECT source, k AS rule, count(*) AS n, count(*) FILTER ([f1, f2, f3, f4, f5][k]) AS k FROM f, range(1, 6) x(k) WHERE source IS NOT NULL GROUP BY source, x.k),
+p AS (SELECT rule, sum(k) / sum(n) AS mean, sum(k * k / n) / sum(n) - (sum(k) / sum(n)) ** 2 - mean * (1 - mean) * count(*) / sum(n) AS apart FROM h GROUP BY rule),
+s AS (SELECT rule, mean, CASE WHEN apart * 1000000 > mean * (1 - mean) THEN greatest(mean * (1 - mean) / apart - 1, 2) ELSE 1000000 END AS strength FROM p),
+b AS (SELECT source, (k + mean * strength) / (n + strength) AS rate, rate - 3 * sqrt(rate * (1 - rate) / (n + strength + 1)) AS low FROM h JOIN s USING (rule)),
+u AS (SELECT source, CASE WHEN max(low) >= 0.8 THEN 'reject' WHEN max(low) >= 0.5 THEN 'strict' ELSE 'keep' END AS verdict FROM b GROUP BY source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f1 OR f2 AS base_failed, NOT (f1 OR f2) AND CASE coalesce(verdict, 'keep') WHEN 'reject' THEN false WHEN 'strict' THEN NOT (f3 OR f4 OR f5) ELSE true END AS kept, coalesce(verdict, 'keep') AS verdict
+FROM f LEFT JOIN u USING (source)
+"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, chat, decontaminate, language_id, near_dedup, oracles, quality, secret_scan, token_counts, token_file, vector_dedup
+from . import byte_bpe, chat, decontaminate, language_id, near_dedup, oracles, quality, quality_rules, secret_scan, token_counts, token_file, vector_dedup
 from .common import table
 
 
@@ -52,6 +52,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_token_counts": op2_token_counts,
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_format": op8_chat_format,
     "op9_quality": op9_quality,
     "op10_decontaminate": op10_decontaminate,
+    "op11_quality_rules": op11_quality_rules,
 }
 
 #: DuckDB SQL, where SQL can express an operator.
@@ -70,4 +75,5 @@ SQL: dict[str, str] = {
     "op1_near_dedup": oracles.NEAR_DEDUP,
     "op7_vector_dedup": oracles.VECTOR_DEDUP,
     "op8_chat_format": oracles.CHAT_FORMAT,
+    "op11_quality_rules": oracles.QUALITY_RULES,
 }
