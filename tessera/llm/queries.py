@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, decontaminate, language_id, near_dedup, oracles, quality, quality_rules, secret_scan, token_counts, token_file, vector_dedup
+from . import byte_bpe, chat, decontaminate, hard_negatives, language_id, near_dedup, oracles, quality, quality_rules, secret_scan, token_counts, token_file, vector_dedup
 from .common import table
 
 
@@ -56,6 +57,11 @@ def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 100 == 0, scale=256.0, positives=5, negatives=5, low=80, high=100)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_token_counts": op2_token_counts,
@@ -68,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality": op9_quality,
     "op10_decontaminate": op10_decontaminate,
     "op11_quality_rules": op11_quality_rules,
+    "op12_hard_negatives": op12_hard_negatives,
 }
 
 #: DuckDB SQL, where SQL can express an operator.
@@ -76,4 +83,5 @@ SQL: dict[str, str] = {
     "op7_vector_dedup": oracles.VECTOR_DEDUP,
     "op8_chat_format": oracles.CHAT_FORMAT,
     "op11_quality_rules": oracles.QUALITY_RULES,
+    "op12_hard_negatives": oracles.HARD_NEGATIVES,
 }
