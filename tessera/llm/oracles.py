@@ -53,3 +53,21 @@ p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_
 SELECT p.anchor_id, p.other AS positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, p.other ORDER BY s.score DESC, s.other) AS INTEGER) AS rank, s.other AS negative_id, p.score AS positive_score, s.score AS negative_score
 FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score QUALIFY rank <= 5
 """
+
+
+def vector_codes(rounds: int = 4) -> str:
+    """Rounds one after the other; squared distances from products of integers in double precision, exact under 2^53."""
+    steps = [
+        """WITH k AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+v AS MATERIALIZED (SELECT r, p, list_slice(e, CAST(p * len(e) / 4 AS INTEGER) + 1, CAST((p + 1) * len(e) / 4 AS INTEGER)) AS x FROM k, range(4) q(p)),
+c0 AS MATERIALIZED (SELECT p, r - 1 AS n, x AS c FROM v WHERE r <= 256)"""
+    ]
+    for i in range(rounds + 1):
+        steps.append(f"a{i} AS MATERIALIZED (SELECT r, p, any_value(x) AS x, min({{d: list_dot_product(x, x) - 2 * list_dot_product(x, c) + list_dot_product(c, c), n: n}}) AS best FROM v JOIN c{i} USING (p) GROUP BY r, p)")
+        if i < rounds:
+            steps.append(f"m{i} AS (SELECT p, n, list(m ORDER BY j) AS c FROM (SELECT p, best.n AS n, j, floor(sum(x[j]) / count(*)) AS m FROM a{i}, range(1, 1025) q(j) WHERE j <= len(x) GROUP BY p, best.n, j) GROUP BY p, n)")
+            steps.append(f"c{i + 1} AS MATERIALIZED (SELECT p, n, coalesce(m{i}.c, c{i}.c) AS c FROM c{i} LEFT JOIN m{i} USING (p, n))")
+    last = f"""o AS (SELECT r, string_agg(printf('%02x', best.n), '' ORDER BY p) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM a{rounds} GROUP BY r)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, (SELECT sha256(string_agg(array_to_string(list_transform(c, lambda y: CAST(y AS BIGINT)), ','), ',' ORDER BY p, n)) FROM c{rounds}) AS codebooks_sha256 FROM o JOIN k USING (r)"""
+    return ",\n".join([*steps, last])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, decontaminate, hard_negatives, language_id, near_dedup, oracles, quality, quality_rules, secret_scan, token_counts, token_file, vector_dedup
+from . import byte_bpe, chat, decontaminate, hard_negatives, language_id, near_dedup, oracles, quality, quality_rules, secret_scan, token_counts, token_file, vector_codes, vector_dedup
 from .common import table
 
 
@@ -62,6 +62,10 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 100 == 0, scale=256.0, positives=5, negatives=5, low=80, high=100)
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"), parts=4, entries=256, rounds=4, scale=1024.0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_token_counts": op2_token_counts,
@@ -75,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontaminate": op10_decontaminate,
     "op11_quality_rules": op11_quality_rules,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 #: DuckDB SQL, where SQL can express an operator.
@@ -84,4 +89,5 @@ SQL: dict[str, str] = {
     "op8_chat_format": oracles.CHAT_FORMAT,
     "op11_quality_rules": oracles.QUALITY_RULES,
     "op12_hard_negatives": oracles.HARD_NEGATIVES,
+    "op13_vector_codes": oracles.vector_codes(rounds=4),
 }
