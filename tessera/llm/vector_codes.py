@@ -8,7 +8,7 @@ rounding, exceeds an exact distance already known goes; survivors receive exact
 Codebooks start as the parts of the first vectors by id. Each round assigns every part and replaces each entry by the componentwise floor of
 the mean of its parts; entries without parts stay. Then parts are assigned once more.
 
-Rows with a null vector, or a null or non-finite component, are dropped, as are vectors of another length than the first kept one by id.
+Rows with a null or empty vector, or a null or non-finite component, are dropped, as are vectors of another length than the first kept one by id.
 Components are clamped to +-2^24 after scaling, so a distance fits in 64 bits; a sum of errors beyond them is null. With fewer vectors than entries, codebooks are
 as short. Ids may be null (they come last) or repeat (ties by vector); repeated rows count and return as often as they are there. Lengths not
 divisible by the number of parts are cut as evenly as can be. Extra columns are ignored; an empty table gives no rows.
@@ -63,7 +63,8 @@ class Codebook:
 
     def __init__(self, entries: np.ndarray):
         self.entries = entries
-        self.coarse, self.fine = outline(entries, max(1, entries.shape[1])), outline(entries, SEGMENT)
+        if entries.shape[1]:
+            self.coarse, self.fine = outline(entries, entries.shape[1]), outline(entries, SEGMENT)
 
     def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
         """Index of each row's nearest entry, its squared distance, and how many exact distances it took."""
@@ -159,7 +160,7 @@ def vector_codes(vectors: DataFrame, parts: int = 4, entries: int = 256, rounds:
     """vec_id, code, error, label_error, codebooks_sha256 of every sound row of ``vectors(vec_id, label, embedding)``."""
     kind = "float" if vectors.schema["embedding"].dataType.elementType.typeName() == "float" else "double"
     v = vectors.select("vec_id", "label", F.col("embedding").cast(f"array<{kind}>").alias("e"))
-    v = v.where(F.col("e").isNotNull() & F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
+    v = v.where((F.size("e") > 0) & F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
     label = vectors.schema["label"].dataType.simpleString()
     schema = f"vec_id {vectors.schema['vec_id'].dataType.simpleString()}, label {label}, code string, error long"
     first = v.orderBy(F.asc_nulls_last("vec_id"), "e").select(F.size("e").alias("dim")).first()

@@ -15,7 +15,7 @@ LARGEST = 1 << 24
 
 
 def brute(rows, parts=4, entries=256, rounds=4, scale=1024.0):
-    sound = [(i, label, [float(np.float32(c)) for c in x]) for i, label, x, *_ in rows if x is not None and all(c is not None and math.isfinite(c) for c in x)]
+    sound = [(i, label, [float(np.float32(c)) for c in x]) for i, label, x, *_ in rows if x and all(c is not None and math.isfinite(c) for c in x)]
     sound.sort(key=lambda r: (r[0] is None, r[0] or 0, r[2]))
     sound = [r for r in sound if len(r[2]) == len(sound[0][2])]
     if not sound:
