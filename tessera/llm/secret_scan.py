@@ -4,7 +4,7 @@ Labelled credentials are put into a prefix tree; states that are statistically c
 symbol frequencies, recursively) are merged into a probabilistic automaton. Ordinary identifiers are learnt into a second one in the same way.
 Candidates are all stretches of 16 or more credential characters that start at a border of a run (its start, or behind a character that is neither
 letter nor digit) and end at one. All are scored: by the likelihood under the first automaton against that under the second; no rule refuses
-any. Of the stretches of one start the likeliest counts; those well above the ordinary are added as spans of kind ``format``. They may reach beyond
+any. A value that something is set to has a pair of automata of its own, whose credentials include bare hexadecimal tokens. Of the stretches of one start the likeliest counts; those well above the ordinary are added as spans of kind ``format``. They may reach beyond
 a base span or between two, so that of a prefixed key nothing stays. Three fixed base kinds (assign, access, hex) are always kept.
 
 Null and empty texts have no spans. Spans are in code points, end exclusive, ordered by start and then kind (assign, access, hex,
@@ -13,6 +13,8 @@ format). Repeated rows give repeated results; extra columns are ignored. One pas
 
 from __future__ import annotations
 
+import bisect
+import functools
 import hashlib
 import math
 import random
@@ -20,6 +22,7 @@ import re
 import string
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterable
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 
@@ -38,13 +41,26 @@ FORMATS = (
     ("sk-", ALNUM, (48,)), ("AIza", URL_SAFE, (35,)), ("AKIA", UPPER_NUM, (16,)), ("ASIA", UPPER_NUM, (16,)), ("xoxb-", "0123456789-", (12,)), ("xoxp-", "0123456789-", (12,)), ("eyJ", URL_SAFE, (60, 90)),
     ("SG.", URL_SAFE, (66,)), ("", BASE64, (40, 44)), ("", ALNUM, (32, 40)), ("dop_v1_", HEXA, (64,)), ("pypi-", URL_SAFE, (80,)),
 )
+#: Lengths of the hexadecimal tokens that are secrets where something is set to them; elsewhere such runs are mostly digests of content.
+HEX_TOKENS = (("", HEXA, (32, 40, 64)), ("", HEXA.upper(), (32, 40)))
+#: What stands before a value that something is set to.
+SET_TO = re.compile(r"""[:=]\x20*["']?\Z""")
 #: Symbols kept literally at the start of a candidate; later ones count by class.
 LITERAL = 4
 
 
+CLASS = {c: "9" if c.isdigit() else "h" if "a" <= c <= "f" else "l" if c.islower() else "U" if c.isupper() else c for c in ALNUM + "+/_.=-"}
+
+
+def classes(text: str) -> list[str]:
+    """Classes of characters: hexadecimal digit, number, lower and upper case, others themselves."""
+    return [CLASS[c] for c in text]
+
+
 def symbols(text: str) -> list[str]:
-    """The automaton's symbols: the first characters themselves, then classes: hexadecimal digit, number, lower and upper case, others themselves."""
-    return [c if i < LITERAL and not c.isdigit() else "9" if c.isdigit() else "h" if "a" <= c <= "f" else "l" if c.islower() else "U" if c.isupper() else c for i, c in enumerate(text)]
+    """The automaton's symbols: the first characters themselves, digits aside, then classes."""
+    kinds = classes(text)
+    return [c if k != "9" else k for c, k in zip(text[:LITERAL], kinds)] + kinds[LITERAL:]
 
 
 def credential(r: random.Random, fmt: tuple) -> str:
@@ -90,6 +106,16 @@ def labelled(seed: int = 7, each: int = 60, formats: tuple = FORMATS) -> list[tu
     return [(credential(r, f), 1) for f in formats for _ in range(each)] + [(ordinary(r), 0) for _ in range(each * 50)]
 
 
+def assigned(seed: int = 11, each: int = 60) -> list[tuple[str, int]]:
+    """Labelled values of assignments: credentials of all formats and hexadecimal tokens (1); ordinary values (0), among which bare digests aren't."""
+    r, out = random.Random(seed), []
+    while len(out) < each * 25:
+        t = ordinary(r)
+        if not HEX.fullmatch(t.rpartition("/")[2].partition(".")[0].lower()):
+            out.append((t, 0))
+    return [(credential(r, f), 1) for f in FORMATS for _ in range(each)] + [(credential(r, f), 1) for f in HEX_TOKENS for _ in range(4 * each)] + out
+
+
 class Automaton:
     """A probabilistic automaton: arcs[state][symbol] = (next state, count), ends[state] = count."""
 
@@ -177,6 +203,8 @@ class Model:
     #: Share of the frequencies in a step that an automaton knows; how far a ratio may fall below its best before the rest is another candidate's;
     #: symbols of a candidate, and its log-likelihood ratio, at least.
     SMOOTH, DROP, LEAST, SURE = 0.1, 8.0, 16, 10.0
+    #: Characters by which starts are remembered.
+    SEEN = 80
 
     def __init__(self, examples: list[tuple[str, int]], threshold: float = 0.3):
         self.threshold = threshold
@@ -196,13 +224,18 @@ class Model:
             ends[a] = math.log(max(automaton.ends[a] / n, 1e-3))
         return steps, ends, {s: math.log(self.SMOOTH * p) for s, p in share.items()}, math.log(self.SMOOTH / total)
 
-    def best(self, run: str, start: int) -> tuple[float, int]:
-        """(total ratio, end) of the likeliest candidate from ``start``; (0, start) if none is likelier than ordinary."""
+    def best(self, run: str, start: int, kinds: list[str] | None = None) -> tuple[float, int, int]:
+        """(total ratio, end, reach) of the likeliest candidate from ``start``; (0, start, reach) if none is likelier than ordinary. No character from ``reach``
+        on was looked at. ``kinds`` are the classes of the run's characters, which are the same from every start."""
         (s1, e1, f1, u1), (s2, e2, f2, u2) = self.good, self.bad
+        kinds = kinds or classes(run)
         a = b = 0
         ratio, top, found, peak = 0.0, 0.0, start, 0.0
         n = len(run)
-        for i, s in enumerate(symbols(run[start:]), start):
+        for i in range(start, n):
+            s = kinds[i]
+            if i < start + LITERAL and s != "9":
+                s = run[i]
             x = s1.get(a)
             x = x.get(s) if x else None
             y = s2.get(b)
@@ -220,18 +253,23 @@ class Model:
                 whole = ratio + (e1[a] - e2[b] if i + 1 == n else 0.0)
                 if whole >= max(self.SURE, self.threshold * (i + 1 - start)) and whole > top:
                     top, found = whole, i + 1
-        return top, found
+        return top, found, i + 2
 
-    def found(self, run: str) -> list[tuple[int, int]]:
-        """The credentials in a run of credential characters: the first likely start, its likeliest end, and so on behind it."""
-        out, at, n = [], 0, len(run)
+    def found(self, run: str, at: int = 0) -> list[tuple[int, int]]:
+        """The credentials in a run of credential characters from ``at`` on: the first likely start, its likeliest end, and so on behind it.
+
+        Starts that are followed by the same characters, as far as a search looked, end alike; rulers, paths and tables of the same pieces are searched once.
+        """
+        out, n, kinds, vain = [], len(run), classes(run), set()
         while at <= n - self.LEAST:
-            if at == 0 or not run[at - 1].isalnum():
-                _, end = self.best(run, at)
+            if (at == 0 or not run[at - 1].isalnum()) and run[at : at + self.SEEN] not in vain:
+                _, end, reach = self.best(run, at, kinds)
                 if end > at:
                     out.append((at, end))
                     at = end
                     continue
+                if reach <= min(n, at + self.SEEN):
+                    vain.add(run[at : at + self.SEEN])
             at += 1
         return out
 
@@ -251,13 +289,35 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def spans(text: str | None, model: Model) -> tuple[list, list]:
+class Models(NamedTuple):
+    """A model for values that something is set to (``name = "value"``, ``name: value``), and one for all other runs."""
+
+    bare: Model
+    value: Model
+
+    def found(self, run: str, is_value: bool) -> list[tuple[int, int]]:
+        """The credentials in a run; its own start, if it is a value, and the starts behind an equals sign within it are judged as values."""
+        starts = [0] * is_value + [m.end() for m in re.finditer("=", run)]
+        out: list[tuple[int, int]] = []
+        for at, to in zip(starts, [x - 1 for x in starts[1:]] + [len(run)]):
+            if to - at >= Model.LEAST:
+                _, end, _ = self.value.best(run[at:to], 0)
+                if end:
+                    out.append((at, at + end))
+        for a, b in self.bare.found(run):
+            k = bisect.bisect_left(out, (a, b))
+            if not (k and out[k - 1][1] > a or k < len(out) and out[k][0] < b):
+                out.insert(k, (a, b))
+        return out
+
+
+def spans(text: str | None, model: Model | Models) -> tuple[list, list]:
     """The base spans, and all spans: those and the stretches that the automata score as credentials, unless one base span holds them."""
     if not text:
         return [], []
     base, more = base_spans(text), []
     for m in CANDIDATE.finditer(text):
-        for a, b in model.found(m[0]):
+        for a, b in model.found(m[0], SET_TO.search(text, max(0, m.start() - 80), m.start()) is not None) if isinstance(model, Models) else model.found(m[0]):
             a, b = a + m.start(), b + m.start()
             if not any(s <= a and b <= e for s, _, e in base):
                 more.append((a, 3, b))
@@ -268,7 +328,7 @@ def joined(found: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in found)
 
 
-def scanner(model: Model) -> Callable:
+def scanner(model: Model | Models) -> Callable:
     def one(key, text):
         base, every = spans(text, model)
         n = Counter(k for _, k, _ in base)
@@ -282,13 +342,19 @@ def trained(examples: list[tuple[str, int]] | None = None) -> Model:
     return Model(labelled() if examples is None else examples)
 
 
-def secret_scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
+@functools.cache
+def models() -> Models:
+    """The models of the documented formats, fitted once a session."""
+    return Models(trained(), trained(assigned()))
+
+
+def secret_scan(docs: DataFrame, model: Model | Models | None = None) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans of every row of ``docs(doc_id, text)``."""
-    model = model or trained()
+    model = model or models()
     return docs.transform(per_text("doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string", lambda: scanner(model)))
 
 
-def redactor(model: Model, mark: str) -> Callable:
+def redactor(model: Model | Models, mark: str) -> Callable:
     def one(key, text):
         if not text:
             return key, text
@@ -302,11 +368,11 @@ def redactor(model: Model, mark: str) -> Callable:
     return one
 
 
-def redact(docs: DataFrame, model: Model | None = None, mark: str = "[SECRET]") -> DataFrame:
+def redact(docs: DataFrame, model: Model | Models | None = None, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with each span of its text replaced by ``mark`` (overlapping spans by one); null stays null. Other columns as they are."""
     from pyspark.sql.types import StructType
 
-    model, names = model or trained(), docs.columns
+    model, names = model or models(), docs.columns
     schema = StructType.fromJson(docs.schema.jsonValue())
 
     def rows(batches):
