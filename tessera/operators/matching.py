@@ -13,27 +13,67 @@ from tessera.functions import text as T
 PIECE = 12
 
 
-def mentions(docs: DataFrame, phrases: DataFrame, doc_id: str, text: str, phrase_id: str, phrase: str, longest: int = 4) -> DataFrame:
-    """(doc_id, phrase_id) where the normalised text holds the normalised phrase, of any number of words, at word borders.
+#: Numbers that the phrases' first words are hashed to, for the filter that texts see.
+BITS = 1 << 16
+
+
+def mentions_at(docs: DataFrame, phrases: DataFrame, doc_id: str, text: str, phrase_id: str, phrase: str, longest: int = 4, before: int = 0, after: int = 0) -> DataFrame:
+    """(doc_id, phrase_id, at, before, after) where the words of the normalised text from number ``at`` on (from 1) are those of the normalised phrase, of any length.
+    ``before`` and ``after`` are up to as many words around it as asked for, joined by spaces.
 
-    Word n-grams of the texts, distinct within each, join the phrases' first ``longest`` words by equality; candidates for longer phrases are
-    then looked up in their text. Only lengths that some phrase has are built (at most ``longest`` numbers are gathered).
+    Within each text only positions stay whose words, as many as the shortest phrase has (``longest`` at most), hash to a number that some phrase has; the filter is a
+    constant of fixed size. Those positions alone are exploded and meet the phrases' first ``longest`` words by equality. Longer phrases are then compared with
+    their text at that position.
     """
-    keyed = phrases.select(phrase_id, T.squash(F.col(phrase)).alias("_p")).where("_p <> ''").withColumn("_s", F.split("_p", " "))
-    keyed = keyed.select(phrase_id, F.array_join(F.slice("_s", 1, longest), " ").alias("_g"), F.when(F.size("_s") > longest, F.col("_p")).alias("_p"))
-    lengths = sorted(r.n for r in keyed.select(F.size(F.split("_g", " ")).alias("n")).distinct().collect())
-    docs = docs.select(doc_id, T.squash(F.col(text)).alias("_t"))
-    words = docs.select(doc_id, F.filter(F.split("_t", " "), lambda w: w != "").alias("_w"))
-
-    def of(n: int):
-        starts = F.sequence(F.lit(1), F.size("_w") - n + 1)
-        return F.when(F.size("_w") >= n, F.transform(starts, lambda i: F.array_join(F.slice(F.col("_w"), i, n), " "))).otherwise(F.array().cast("array<string>"))
-
-    grams = F.flatten(F.array(*(of(n) for n in lengths or [1])))
-    met = words.select(doc_id, F.explode(F.array_distinct(grams)).alias("_g")).join(keyed, "_g")
-    # Those that the first words decide need no second look.
-    whole = met.where("_p is not null").join(docs, doc_id).where(F.contains(F.concat(F.lit(" "), "_t", F.lit(" ")), F.concat(F.lit(" "), "_p", F.lit(" "))))
-    return met.where("_p is null").select(doc_id, phrase_id).unionByName(whole.select(doc_id, phrase_id)).distinct()
+    keyed = phrases.select(phrase_id, F.split(T.squash(F.col(phrase)), " ").alias("_s")).where(F.element_at("_s", 1) != "")
+    keyed = keyed.select(phrase_id, F.slice("_s", 1, longest).alias("_g"), F.when(F.size("_s") > longest, F.col("_s")).alias("_p"), F.size("_s").alias("_n"))
+    lengths = sorted((r.n, r.longer) for r in keyed.groupBy(F.size("_g").alias("n")).agg(F.bool_or(F.col("_p").isNotNull()).alias("longer")).collect()) or [(1, False)]
+    first, has_longer = lengths[0][0], lengths[-1][1]
+    number = lambda words: F.pmod(F.xxhash64(words), F.lit(BITS)).cast("int")
+    known = keyed.select(number(F.element_at("_g", 1)).alias("one"), number(F.slice("_g", 1, first)).alias("some")).distinct().collect()
+    ones, some = {r.one for r in known}, {r.some for r in known}
+    # A constant of fixed size; the optimiser folds it.
+    table = lambda of: F.from_json(F.lit("[" + ",".join("true" if i in of else "false" for i in range(BITS)) + "]"), "array<boolean>")
+    one, all_first = table(ones), table(some)
+    words = docs.select(doc_id, F.filter(F.split(T.squash(F.col(text)), " "), lambda w: w != "").alias("_w"))
+    starts = F.sequence(F.lit(1), F.size("_w") - first + 1)
+    there = F.filter(starts, lambda i: F.get(one, number(F.get("_w", i - 1))) & F.get(all_first, number(F.slice("_w", i, first))))
+    hits = words.select(doc_id, "_w", F.explode(F.when(F.size("_w") >= first, there)).alias("at"))
+    grams = F.array(*(F.when(F.size("_w") >= F.col("at") + (n - 1), F.slice("_w", F.col("at"), n)) for n, _ in lengths))
+    ahead = F.array_join(F.slice("_w", F.greatest(F.col("at") - before, F.lit(1)), F.least(F.lit(before), F.col("at") - 1)), " ").alias("before")
+    hits = hits.select(doc_id, "at", ahead, F.slice("_w", F.col("at"), longest + after).alias("_r"), F.explode(F.array_compact(grams)).alias("_g"))
+    met = hits.join(keyed, "_g")
+    follows = F.slice("_r", F.col("_n") + 1, after) if after else F.array().cast("array<string>")
+    if has_longer:
+        # Longer phrases look into their text; texts without a candidate aren't needed again.
+        met = met.join(words, doc_id).where(F.col("_p").isNull() | (F.slice("_w", F.col("at"), F.col("_n")) == F.col("_p")))
+        follows = F.slice("_w", F.col("at") + F.col("_n"), after) if after else follows
+    return met.select(doc_id, phrase_id, "at", "before", F.array_join(follows, " ").alias("after"))
+
+
+def mentions(docs: DataFrame, phrases: DataFrame, doc_id: str, text: str, phrase_id: str, phrase: str, longest: int = 4) -> DataFrame:
+    """(doc_id, phrase_id) where the normalised text holds the normalised phrase, of any number of words, at word borders."""
+    return mentions_at(docs, phrases, doc_id, text, phrase_id, phrase, longest).select(doc_id, phrase_id).distinct()
+
+
+#: Words by which a text says who organised a deal, before the name and behind it.
+ORGANISED_BY = "organized?|arranged?|led|orchestrated|promoted|curato|organizzato|promosso"
+ORGANISES = "organizes?|arranges?|leads?|orchestrates?|promotes?|ha organizzato|ha guidato"
+ARTICLES, DEALS = "a|the|un|una|il|la", "club deal|funding round|investment round|round|deal|operazione"
+#: Characters between "by" and the name at most; letters of a name, and of a first word that stands for it, at least.
+GAP, NAME, FIRST_WORD = 20, 4, 6
+
+
+def organisers(texts: DataFrame, names: DataFrame, text_id: str, text: str, name_id: str, name: str) -> DataFrame:
+    """(text_id, name_id) where a text names an organiser of a deal: "led by [up to 20 characters] NAME", or "NAME leads a round". Names are taken whole, or by
+    their first word if it is long enough."""
+    clean = names.where(F.char_length(F.trim(name)) >= NAME)
+    first = F.substring_index(F.trim(name), " ", 1)
+    known = clean.select(name_id, F.col(name).alias("_name")).unionByName(clean.where(F.char_length(first) >= FIRST_WORD).select(name_id, first.alias("_name"))).distinct()
+    found = mentions_at(texts, known, text_id, text, name_id, "_name", before=GAP // 2 + 2, after=5)
+    passive = F.rlike("before", F.lit(f"(^| )({ORGANISED_BY}) by( [a-z ]{{1,{GAP - 1}}})?$"))
+    active = F.rlike("after", F.lit(f"^({ORGANISES}) (({ARTICLES}) )?({DEALS})( |$)"))
+    return found.where(passive | active).select(text_id, name_id).distinct()
 
 
 def jaccard_pairs(df: DataFrame, scope: Sequence[str], id_: str, words: str, least: float) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import signal_types as S
 from tessera.functions.signal_values import MASK, MASKED
+from tessera.operators import matching as M
 
 from .entities import Entities as E
 from .queries_f import q
@@ -75,3 +76,29 @@ SELECT doc_id, [type] || list_filter([{', '.join(f"CASE WHEN ({S.spelled(r.holds
 def c6_types(spark, d):
     """A signal's type, then every other one that its text speaks of."""
     return S.all_types(signals(E(spark, d))).select("doc_id", "types")
+
+
+#: Sentences about deals; {} is a fund's name, or the first word of it.
+ROLES = ["The club deal was organized by {}.", "Round led by the investment team of {} in May.", "{} leads a funding round of 5 million.", "{} ha guidato il round.", "Promosso by {}", "Arranged by the advisers and friends of {}.", "{} leads the market.", "A deal with {}.", "Led by 3 funds and {}."]
+NORMAL = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
+
+
+@plan("j17_organisers", f""", f AS (SELECT fund_id, c.name FROM funds JOIN companies c ON c.company_id = fund_id), k AS (SELECT count(*) AS n FROM f),
+s AS (SELECT doc_id, o.fund_id AS own_id, replace({pick(ROLES, 'doc_id')}, '{{}}', CASE WHEN doc_id % 4 = 0 THEN string_split(f.name, ' ')[1] ELSE f.name END) || ' ' || coalesce(text, '') AS text
+  FROM docs JOIN k ON true JOIN f ON f.fund_id = 1 + doc_id * 7 % k.n JOIN f o ON o.fund_id = 1 + doc_id % k.n),
+t AS (SELECT doc_id, own_id, ' ' || {NORMAL.format('text')} || ' ' AS t FROM s),
+n AS (SELECT DISTINCT fund_id, {NORMAL.format('x')} AS x FROM (SELECT fund_id, name AS x FROM f WHERE length(trim(name)) >= 4 UNION ALL SELECT fund_id, string_split(trim(name), ' ')[1] FROM f WHERE length(trim(name)) >= 4 AND length(string_split(trim(name), ' ')[1]) >= 6))
+SELECT doc_id, own_id AS fund_id, 'own' AS via FROM t UNION ALL
+SELECT DISTINCT doc_id, fund_id, 'organiser' FROM t JOIN n ON contains(t, ' ' || x || ' ') WHERE fund_id <> own_id AND (regexp_matches(t, ' ({M.ORGANISED_BY}) by ([a-z ]{{0,{M.GAP - 2}}}[a-z] )?' || x || ' ') OR regexp_matches(t, ' ' || x || ' ({M.ORGANISES}) (({M.ARTICLES}) )?({M.DEALS}) '))""")
+def j17_organisers(spark, d):
+    """Texts go to their own fund and to every fund that they name as an organiser, by the words around the name."""
+    e = E(spark, d)
+    f = e.funds.select("fund_id").join(e.companies.select(F.col("company_id").alias("fund_id"), "name"), "fund_id")
+    i, n = F.col("doc_id"), F.col("n")
+    role = F.element_at(F.array(*map(F.lit, ROLES)), (i % len(ROLES) + 1).cast("int"))
+    docs = e.docs.select(i, "text").join(F.broadcast(f.agg(F.count("*").alias("n")))).withColumns({"named": 1 + i * 7 % n, "own_id": 1 + i % n})
+    docs = docs.join(f.withColumnsRenamed({"fund_id": "named"}), "named").join(f.select(F.col("fund_id").alias("own_id")), "own_id")
+    name = F.when(i % 4 == 0, F.substring_index("name", " ", 1)).otherwise(F.col("name"))
+    texts = docs.select("doc_id", "own_id", F.concat(F.replace(role, F.lit("{}"), name), F.lit(" "), F.coalesce("text", F.lit(""))).alias("text"))
+    others = M.organisers(texts.select("doc_id", "text"), f, "doc_id", "text", "fund_id", "name").join(texts.select("doc_id", "own_id"), "doc_id").where("fund_id <> own_id")
+    return texts.select("doc_id", F.col("own_id").alias("fund_id"), F.lit("own").alias("via")).unionByName(others.select("doc_id", "fund_id", F.lit("organiser").alias("via")))
