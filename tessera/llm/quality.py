@@ -59,17 +59,21 @@ class Network:
             self.tables = [(self.w[k][None, :, :] + self.w[k + 1][:, None, :]).reshape(65536, FILTERS) for k in range(0, WIDTH, 2)]
         return self.tables
 
-    def hop_maxima(self, pairs: np.ndarray, where: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
-        """Largest response of each filter in each hop, and its position."""
+    def hop_maxima(self, pairs: np.ndarray, hops: np.ndarray, where: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+        """Largest response of each filter in each hop of texts with so many hops, and its position."""
         t0, t1, t2 = self.ready()
         n = len(pairs) - WIDTH // 2
-        top, at = [], []
+        top, at, ends, over = [], [], np.cumsum(hops) - 1, WIDTH // 2 - 1
         for lo in range(0, n, BLOCK):
             hi = min(n, lo + BLOCK)
             h = t0[pairs[lo:hi]]
             h += t1[pairs[lo + 1 : hi + 1]]
             h += t2[pairs[lo + 2 : hi + 2]]
             h = h.reshape(-1, HOP, FILTERS)
+            # The last windows of a text would reach into the next one; they, like the one before them, are of zeros alone.
+            first, last = np.searchsorted(ends, [lo // HOP, hi // HOP])
+            own = ends[first:last] - lo // HOP
+            h[own, HOP - over :] = h[own, HOP - over - 1 : HOP - over]
             if where:
                 k = h.argmax(1)
                 at.append(k + (lo + np.arange(len(h)) * HOP)[:, None])
@@ -80,7 +84,7 @@ class Network:
 
     def logits(self, texts: list[str | None]) -> np.ndarray:
         pairs, hops = padded(texts)
-        top, _ = self.hop_maxima(pairs)
+        top, _ = self.hop_maxima(pairs, hops)
         first = np.cumsum(hops) - hops
         last = np.zeros(len(top), bool)
         last[first + hops - 1] = True
@@ -98,7 +102,7 @@ class Network:
         """Log-loss of a batch and its gradients, by back-propagation through the maxima."""
         pairs, hops = padded(texts)
         self.tables = None
-        top, at = self.hop_maxima(pairs, where=True)
+        top, at = self.hop_maxima(pairs, hops, where=True)
         first = np.cumsum(hops) - hops
         of = np.repeat(np.arange(len(hops)), hops)
         last = np.zeros(len(top), bool)
