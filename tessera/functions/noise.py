@@ -33,6 +33,9 @@ HINTS = [
 AMOUNT = r"€\s*\d+(?:[.,]\d+)?|\$\s*\d+(?:[.,]\d+)?|\b\d+(\.\d+)?\s*(milion|million|mln|m€|bn|billion|miliardi|milioni)\b"
 SECTION = r"^(?:investimenti|realizzate|realizzati|operazioni|partecipazioni)\s+(?:fondo|del\s+fondo|gapef|[a-z]+\s+\d)"
 WHOLE_LIST = r"\binvestimenti\s+portfolio\b"
+#: What announces a deal or exit by its name, and names that are none.
+SLOT = r"\bnew (?:portfolio )?(?:investment|exit):?\s*(.+)$"
+PLACEHOLDERS = [r"^our activities\b", r"^our latest news\b", r"^our companies\b", r"^our portfolio\b", r"^portfolio companies\b", r"^current portfolio\b", r"^prior investments\b", r"^ourportfoliocompanies\b", r"^portfolio\b"]
 
 
 def any_of(patterns: list[str]) -> str:
@@ -53,4 +56,5 @@ def garbage_reason(text: Column) -> Column:
         .when(has(LISTS) & ~hint & ~amount & listed, "list")
         .when(has(LOW_VALUE) & ~hint, "low_value")
         .when(has([SECTION]), "section")
+        .when(F.rlike(F.trim(F.regexp_extract(t, "(?d)" + SLOT, 1)), F.lit("(?U)" + any_of(PLACEHOLDERS))), "placeholder")
     )

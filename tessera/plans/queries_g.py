@@ -15,7 +15,7 @@ LONG = "bigint"
 #: Beginnings of texts that the rules are about; the documents' titles follow them.
 OPENINGS = [
     "", "Vai al contenuto ", "Read more about ", "Best Italian mid-market fund ", "About us: ", "About us: the fund invests in ", "Our portfolio | ", "Our portfolio | the deal of ", "Our portfolio of 3 million ", "Insights and interview: ",
-    "Interview: the new CEO joins ", "Investimenti fondo alfa ", "Realizzate gapef ", "New hire at ", "Cookie settings ", "© 2024 ", "Newsletter: subscribe to ",
+    "Interview: the new CEO joins ", "Investimenti fondo alfa ", "Realizzate gapef ", "New hire at ", "Cookie settings ", "New investment: our portfolio ", "New portfolio exit: current portfolio of ", "New investment: Alfa of our portfolio ", "© 2024 ", "Newsletter: subscribe to ",
 ]
 
 
@@ -27,10 +27,10 @@ OPENED = f"CASE doc_id % {len(OPENINGS)} " + " ".join(f"WHEN {i} THEN {q(x)}" fo
 
 
 @plan("p19_garbage_text", f"""SELECT doc_id, CASE WHEN length(t) < 20 THEN 'short' WHEN {has(N.FURNITURE)} THEN 'furniture' WHEN {has(N.SCAFFOLD)} AND NOT {has(N.HINTS)} THEN 'scaffold'
-WHEN {has(N.LISTS)} AND NOT {has(N.HINTS)} AND NOT {has([N.AMOUNT])} AND (contains(t, '|') OR length(t) < 90 OR {has([N.WHOLE_LIST])}) THEN 'list' WHEN {has(N.LOW_VALUE)} AND NOT {has(N.HINTS)} THEN 'low_value' WHEN {has([N.SECTION])} THEN 'section' END AS reason
+WHEN {has(N.LISTS)} AND NOT {has(N.HINTS)} AND NOT {has([N.AMOUNT])} AND (contains(t, '|') OR length(t) < 90 OR {has([N.WHOLE_LIST])}) THEN 'list' WHEN {has(N.LOW_VALUE)} AND NOT {has(N.HINTS)} THEN 'low_value' WHEN {has([N.SECTION])} THEN 'section' WHEN regexp_matches(trim(regexp_extract(t, {q(N.SLOT)}, 1)), {q(N.any_of(N.PLACEHOLDERS))}) THEN 'placeholder' END AS reason
 FROM (SELECT doc_id, regexp_replace(lower(trim({OPENED})), '[à-öø-ɏ]', 'a', 'g') AS t FROM docs)""")
 def p19(spark, d):
-    """Why a text is no news: furniture of pages, fixed parts, lists and announcements without a hint at a deal or people; null if it may be one."""
+    """Why a text is no news: furniture of pages, fixed parts, lists and announcements without a hint at a deal or people, placeholders where a company's name should be; null if it may be one."""
     opening = F.element_at(F.array(*map(F.lit, OPENINGS)), (F.col("doc_id") % len(OPENINGS) + 1).cast("int"))
     return E(spark, d).docs.select("doc_id", N.garbage_reason(F.concat(opening, F.coalesce("title", F.lit("")))).alias("reason"))
 

@@ -119,6 +119,7 @@ def test_garbage_reasons(spark):
     cases = {
         "Skip to the main content of this page": "furniture", "Too short": "short", None: "short", "Chi siamo, la nostra storia e i valori": "scaffold", "About us: the firm invests in companies": None, "Our portfolio | Alfa | Beta | Gamma": "scaffold", "Portafoglio | Alfa | Beta | Gamma": "list",
         "Portafoglio | Alfa per 30 milioni": None, "An interview with the founder of the firm": "low_value", "An interview with the new CEO of the firm": None, "Realizzate fondo q2 Fine Sounds S.p.A.": "section", "Alfa acquires Beta for €30 million in cash": None,
+        "New investment: our portfolio of the year": "placeholder", "A new portfolio exit:  Current Portfolio": "placeholder", "New investment: Alfa of our portfolio": None, "New investment portfolios of the firm": None,
     }
     df = spark.createDataFrame(list(cases.items()), "t string, want string").select("want", noise.garbage_reason(F.col("t")).alias("got"))
     assert all(r.want == r.got for r in df.collect())
