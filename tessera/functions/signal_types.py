@@ -236,6 +236,10 @@ SPOKEN_OF = [
     Rule("deal", "invest_verbs OR bought", "deal_announced"),
 ]
 
+#: Types under which news of a company already held may run, and what tells it.
+HELD_TYPES = ("other", "deal_announced", "partnership")
+HELD = Rule("held", "portfolio_update OR portfolio_company_backed OR portfolio_co_as_acquirer", "portfolio_update")
+
 PATTERNS = SHARED | SINGLE
 FIELDS = {"": "text", "_t": "title", "_d": "changes"}
 
@@ -358,3 +362,11 @@ def all_types(signals: DataFrame) -> DataFrame:
     spoken = F.array(*(F.when(F.expr(spelled(r.holds)), r.gives) for r in SPOKEN_OF))
     types = F.array_distinct(F.concat(F.array(F.coalesce("type", F.lit("other"))), F.array_compact(spoken)))
     return rows.select(*signals.columns, types.alias("types"))
+
+
+def held_news(signals: DataFrame) -> DataFrame:
+    """Adds ``held`` to ``signals(type, text, ...)``: ``portfolio_update`` where the text is of a company already held and the type may be changed for it, else null."""
+    wanted = facts_of([HELD.holds])
+    own = signals.withColumn("_text", F.lower(F.trim(F.coalesce("text", F.lit(""))))).withColumn("_try_text", worth_trying(F.col("_text"), [p for p, _ in wanted.values()]))
+    rows = own.select(*signals.columns, *(fact(p, F.col("_text"), F.col("_try_text")).alias(n) for n, (p, _) in wanted.items()))
+    return rows.select(*signals.columns, F.when(F.col("type").isin(*HELD_TYPES) & F.expr(spelled(HELD.holds)), HELD.gives).alias("held"))

@@ -78,6 +78,13 @@ def c6_types(spark, d):
     return S.all_types(signals(E(spark, d))).select("doc_id", "types")
 
 
+@plan("c3_held_news", f""", s AS ({SIGNALS}), x AS (SELECT doc_id, type, page, {LOWER} FROM s), f AS (SELECT doc_id, type, {facts_sql([S.HELD])} FROM x)
+SELECT doc_id, type, CASE WHEN type IN ({', '.join(map(q, S.HELD_TYPES))}) AND ({S.spelled(S.HELD.holds)}) THEN {q(S.HELD.gives)} END AS held FROM f""")
+def c3_held(spark, d):
+    """News of companies already held, among signals whose type may be changed for it."""
+    return S.held_news(signals(E(spark, d))).select("doc_id", "type", "held")
+
+
 #: Sentences about deals; {} is a fund's name, or the first word of it.
 ROLES = ["The club deal was organized by {}.", "Round led by the investment team of {} in May.", "{} leads a funding round of 5 million.", "{} ha guidato il round.", "Promosso by {}", "Arranged by the advisers and friends of {}.", "{} leads the market.", "A deal with {}.", "Led by 3 funds and {}."]
 NORMAL = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"

@@ -107,3 +107,9 @@ def test_all_types(spark):
     df = spark.createDataFrame([("fundraise_closed", text), ("other", "Alfa and Beta join forces"), (None, None)], "type string, text string")
     got = [r.types for r in S.all_types(df).collect()]
     assert got == [["fundraise_closed", "exit_announced", "people_move"], ["other"], ["other"]]
+
+
+def test_held_news(spark):
+    rows = [("other", "Portfolio company Beta opens new office"), ("other", "Backed by Alfa, Beta expands into Spain"), ("exit_announced", "Portfolio company news"), ("other", "Generic news about prices"), ("partnership", None), (None, "Portfolio company news")]
+    got = [r.held for r in S.held_news(spark.createDataFrame(rows, "type string, text string")).collect()]
+    assert got == ["portfolio_update", "portfolio_update", None, None, None, None]
