@@ -91,11 +91,11 @@ def _plain_number(raw: Column, decimals: Column) -> Column:
     return text.when(last_comma, F.translate(F.translate(raw, ".", ""), ",", ".")).otherwise(F.translate(raw, ".,", "")).try_cast("double")
 
 
-def _scaled(value: Column, symbol: Column) -> Column:
-    """A value in units with its largest letter: thousands floored, values of 100 and more whole."""
+def _scaled(value: Column, symbol: Column, whole: Column) -> Column:
+    """A value in units with its largest letter: thousands floored, values of 100 and more whole where ``whole`` holds."""
     letter = F.when(value >= 1e9, "B").when(value >= 1e6, "M").otherwise("K")
     x = F.when(value >= 1e9, value / 1e9).when(value >= 1e6, value / 1e6).otherwise(F.floor(value / 1e3).cast("double"))
-    return F.concat(symbol, F.when(x >= 100, F.bround(x, 0).cast("long").cast("string")).otherwise(_digits(x)), letter)
+    return F.concat(symbol, F.when((x >= 100) & whole, F.bround(x, 0).cast("long").cast("string")).otherwise(_digits(x)), letter)
 
 
 def _amount(s: Column) -> Column:
@@ -115,7 +115,7 @@ def _amount(s: Column) -> Column:
         .when((unit == "mila") & (symbol.isNotNull()), F.concat(symbol, _digits(value / 1000), F.lit("M")))
         .when(unit.isNull() & in_full & few, F.concat(symbol, _digits(value / 1e6), F.lit("M")))
         .when(unit.isNull() & in_full & F.rlike(raw, F.lit(r"\.")) & (value < 1e5), F.concat(symbol, _digits(value / 1e3), F.lit("K")))
-        .when(unit.isNull() & in_full, _scaled(value, symbol))
+        .when(unit.isNull() & in_full, _scaled(value, symbol, F.contains(raw, F.lit(","))))
         .when(unit.isNull() & before.isin("€"), F.regexp_replace(s, r"^€\s+", "€"))
         .otherwise(s)
     )
@@ -204,3 +204,50 @@ def sentence_case(c: Column) -> Column:
     folded = F.aggregate(words, F.struct(F.lit("").alias("text"), F.lit(True).alias("fresh")), step, lambda at: at["text"])
     first = F.regexp_extract(folded, r"(?s)^(\P{L}*\p{L})", 1)
     return F.when(title_cased(words), F.concat(F.upper(first), F.substr(folded, F.char_length(first) + 1))).otherwise(c)
+
+
+# Headlines
+
+_MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
+_SHORT = "Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec"
+_ITALIAN = "Gen|Feb|Mar|Apr|Mag|Giu|Lug|Ago|Set|Ott|Nov|Dic"
+#: Papers that are named behind a headline, sectors that stand before a date.
+PAPERS = r"IL SOLE 24 ORE|CORRIERE\s+\w+|BEBEEZ|FORBES|BLOOMBERG|REUTERS|FINANCIAL TIMES|MILANO FINANZA|MF[\s-]MILANO FINANZA|LA REPUBBLICA|ITALIA OGGI|MF NEWSWIRES|STARTUPITALIA"
+SECTORS = r"Healthcare|Tech(?:nology)?|Business\s+Services|Industrials|Financial\s+Services|Consumer|TMT|Energy"
+#: What goes from headlines, in order. No pattern looks around, so DuckDB reads them too.
+TITLE_STAGES: list[Stage] = [
+    ("link texts", r"(?i)more\s*details\s*$", ""), ("link texts", r"(?i)\s*Approfondisci\s*$", ""), ("link texts", r"(?i)^LEGGI\s+TUTTO\s*", ""), ("link texts", r"(?i)\s*Read\s+more\s*$", ""), ("capitals glued to a word", r"([a-z])([A-Z]{3,})", "$1 $2"),
+    ("an addition with its sector", r"(?i)^(.+?)\s+added to\s+.+?\s+portfolio\s*(\([^()]*\))\s*$", "New portfolio addition: $1 $2"), ("an addition", r"(?i)^(.+?)\s+added to\s+.+?\s+portfolio\s*$", "New portfolio addition: $1"),
+    ("an addition, Italian", r"(?i)^(.+?)\s+aggiunt[oa]\s+al?\s+portafoglio\s+.+$", "New portfolio addition: $1"), ("press release", r"(?i)^Press\s*release\s*", ""),
+    ("a place and a date", rf"(?i)^[A-Z][A-Z\s,]+[–—-]+\s*(?:{_MONTHS}|\d{{1,2}})\s+\d{{1,2}},?\s*\d{{4}}\s*[–—-]+\s*", ""), ("a place and a date", rf"(?i)^[A-Z][A-Z\s,]+,\s+\d{{1,2}}\s+(?:{_MONTHS})\s+\d{{4}}\s*[–—-]+\s*", ""),
+    ("a date before", rf"(?i)^\d{{1,2}}\s+(?:{_MONTHS}|{_SHORT})\s+\d{{4}}\s*(?:[|–—-]\s*)?", ""), ("a date before", rf"(?i)^(?:{_SHORT})\s+\d{{1,2}}\s*,\s*\d{{4}}\s*[|–—-]\s*(?:\w+\s+(?:news|update)\s*)?", ""),
+    ("an Italian date before", rf"(?i)^(?:[A-ZÀ-Ö][a-zà-ö]+,?\s+)?\d{{1,2}}\s+(?:{_ITALIAN})\.?\s+\d{{4}}\s*", ""), ("a sector and a date behind", rf"(?i)(?:{SECTORS})\s*\d{{1,2}}\s+(?:{_MONTHS})\s+\d{{4}}\s*$", ""),
+    ("a date behind", rf"(?:{_MONTHS})\s+\d{{1,2}},?\s*\d{{0,4}}\s*$", ""), ("a date behind", rf"(?i)\s+\d{{1,2}}\s+(?:{_MONTHS})\s+\d{{4}}\s*$", ""), ("a day left behind", r"\s+\d{1,2}\s*$", ""),
+    ("a paper", rf"(?i)\s*[–—-]+\s*(?:{PAPERS})\s*$", ""), ("quotes", r'^[“”"]+\s*', ""), ("quotes", r'\s*[“”"]+$', ""), ("spaces", r"\s+$", ""),
+]
+#: What goes from summaries, in order: marks, reading times, headers of press releases, dates that were added, templates.
+TEXT_STAGES: list[Stage] = [
+    ("rumours", r"(?i)^\s*\[Rumor\]\s*", ""), ("headers", r"(?i)^Featured\s+News\s+Press\s+Review\s*[:–-]?\s*", ""), ("headers", r"(?i)^Media\s*:\s*[A-Za-zÀ-ɏ]+,?\s+", ""), ("reading times", r"(?i)\b\d+\s*min(?:ute)?s?\.?\s*read\b", ""),
+    ("reading times", r"(?i)\b\d+\s*min(?:uto|uti)\s*di\s*lettura\b", ""), ("reading times", r"(?i)\b(?:tempo\s+di\s+lettura|read\s+time)\b", ""), ("added dates", r"(?i)[,.]?\s*(?:announced?|published|reported|observed|noted|dated?|as\s+of)\s+(?:on\s+)?\d{4}-\d{2}-\d{2}\s*\.?\s*$", ""),
+    ("added dates", rf"(?i)[,.]?\s*(?:announced?|published|reported|observed|noted|dated?|as\s+of)\s+(?:on\s+)?(?:{_MONTHS})\s+\d{{1,2}},?\s*\d{{4}}\s*\.?\s*$", ""), ("dates left behind", r"(?i)(?:\s+on)?\s+\d{4}-\d{2}-\d{2}\s*\.?\s*$", ""),
+    ("dates within", r"(?i)\s+the\s+is\s+dated\s+.{0,30}$", ""), ("dates within", r"(?i),?\s+announced\s+in\s+a\s+dated\s+\d{4}-\d{2}-\d{2}\b[^.]*\.", "."), ("dates within", r"(?i),?\s+in\s+a\s+dated\s+\d{4}-\d{2}-\d{2}\b[^,.]*", ""),
+    ("headers within", r"(?i)\s+Media\s*:\s*\w+,\s+[A-Za-z]+\s+\d{1,2}(?:\s*(?:th|st|nd|rd))?,?\s+\d{4}\s*[–—-]+\s*", " "), ("templates", r"(?i)\.\s+New\s+investment\s+involving\s+[^.]{3,80}\.?\s*$", ""), ("spaces", r"\s{2,}", " "), ("full stops", r"\.+\s*$", ""), ("spaces", r"^\s+|\s+$", ""),
+]
+
+
+def headline(c: Column) -> Column:
+    """A headline without link texts, dates, places of press releases, papers and quotes; additions to portfolios in one form."""
+    return staged(c, TITLE_STAGES)
+
+
+def summary(c: Column) -> Column:
+    """A summary without marks, reading times and added dates, with spaces and amounts put right first."""
+    return staged(amounts(spacing(c)), TEXT_STAGES)
+
+
+def stages_sql(text: str, stages: Sequence[Stage]) -> str:
+    """The stages as DuckDB SQL."""
+    for _, pattern, instead in stages:
+        quoted, there = pattern.replace("'", "''"), re.sub(r"\$(\d)", r"\\\1", instead)
+        text = f"regexp_replace({text}, '{quoted}', '{there}', 'g')"
+    return text

@@ -51,3 +51,30 @@ def test_long_texts(spark):
     df = spark.createDataFrame([(text,)], "t string")
     got = df.select(D.amounts("t").alias("a"), D.spacing("t").alias("s")).first()
     assert got.a == text.replace("120 milioni di euro", "€120M").strip() and got.s == text.replace("daBeta", "da Beta").strip()
+
+
+HEADLINES = [
+    ("Alfa buys Betamore details", "Alfa buys Beta"), ("LEGGI TUTTO Alfa compra Beta Approfondisci", "Alfa compra Beta"), ("16 January 2026F2i enters Beta", "F2i enters Beta"), ("MILAN – November 25, 2025 – Alfa buys Beta", "Alfa buys Beta"), ("Padova, 22 Dic. 2025 Alfa compra", "Alfa compra"),
+    ("NPO Torino added to Alfa SGR portfolio (ICT)", "New portfolio addition: NPO Torino (ICT)"), ("NPO Torino added to Alfa SGR portfolio", "New portfolio addition: NPO Torino"), ("Beta aggiunta al portafoglio di Alfa", "New portfolio addition: Beta"), ("Alfa enters TinextaDecember 30, 2025", "Alfa enters Tinexta"),
+    ("Alfa exits Beta Healthcare29 October 2025", "Alfa exits Beta"), ("Alfa compra Beta – IL SOLE 24 ORE", "Alfa compra Beta"), ("“Alfa buys aNEVERHACK”", "Alfa buys a NEVERHACK"), ("Alfa buys 100 shares", "Alfa buys 100 shares"), ("", ""), (None, None),
+]
+SUMMARIES = [
+    ("[Rumor] Alfa buys Beta, announced on 2026-01-15.", "Alfa buys Beta"), ("Media: Milan, Alfa raccoglie 120 milioni di euro. 3 min read", "Alfa raccoglie €120M"), ("Alfa buys Beta. New investment involving Beta.", "Alfa buys Beta"), ("Alfa investe daBeta as of January 15, 2026.", "Alfa investe da Beta"), ("", ""), (None, None),
+]
+
+
+@pytest.mark.parametrize("change, cases", [(D.headline, HEADLINES), (D.summary, SUMMARIES)], ids=["headline", "summary"])
+def test_headlines_and_summaries(spark, change, cases):
+    got = results(spark, change, cases)
+    assert not [(t, got[i], wanted) for i, (t, wanted) in enumerate(cases) if got[i] != wanted]
+
+
+def test_broken_words(spark):
+    from tessera.operators import repair as R
+
+    whole = "Il finanziamento cresce, il finanziamento aiuta: to be, to go."
+    texts = [whole, whole, whole, "Il finanziamen to cresce", "A Finanziamen to. Then", "finanziamen. to stays", "finanziamen  to stays", "", None, "to", " to ", "il cre sce to", whole + " un finanziamen to fin anziamento"]
+    got = {r.i: (r.t, r.n_repaired) for r in R.repaired(spark.createDataFrame(list(enumerate(texts)), "i long, t string"), "i", "t").collect()}
+    wanted = {3: ("Il finanziamento cresce", 1), 4: ("A Finanziamento. Then", 1), 11: ("il cresce to", 1), 12: (whole + " un finanziamento finanziamento", 2)}
+    assert got == {i: wanted.get(i, (t, 0)) for i, t in enumerate(texts)}
+    assert R.repaired(spark.createDataFrame([], "i long, t string"), "i", "t").count() == 0
