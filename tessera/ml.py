@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import IDF, CountVectorizer, HashingTF, NGram, RegexTokenizer, SQLTransformer, VectorAssembler
+from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, HashingTF, IndexToString, NGram, Normalizer, RegexTokenizer, SQLTransformer, StringIndexer, VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -96,3 +98,39 @@ def signal_vectors(rows: DataFrame, extras: list[str], most: int = 20_000, least
         IDF(inputCol="tf", outputCol="tfidf"), VectorAssembler(inputCols=["tfidf", *extras], outputCol="vector"),
     ]
     return Pipeline(stages=stages).fit(rows)
+
+
+def smooth_vectors(rows: DataFrame, extras: list[str], most: int = 20_000, least: float = 2.0, share: float = 0.95) -> PipelineModel:
+    """``signal_vectors`` with smoothed weights and unit length: a gram weighs its count times ln((1 + texts) / (1 + texts with it)) + 1, and a text's weights are
+    divided by their length; the numbers of ``extras`` follow as they are. All stages are Spark's own, so the model can be saved, loaded and put into other pipelines."""
+    grams = Pipeline(stages=[
+        RegexTokenizer(inputCol="text", outputCol="words", pattern=r"[a-z0-9à-öø-ÿ']{2,}", gaps=False), NGram(n=2, inputCol="words", outputCol="pairs"),
+        SQLTransformer(statement="SELECT *, concat(words, pairs) AS grams FROM __THIS__"), CountVectorizer(inputCol="grams", outputCol="tf", vocabSize=most, minDF=least, maxDF=share),
+    ]).fit(rows)
+    weights = IDF(inputCol="tf", outputCol="_").fit(grams.transform(rows)).idf.toArray() + 1
+    weighted = ElementwiseProduct(scalingVec=Vectors.dense(weights), inputCol="tf", outputCol="weighted")
+    return PipelineModel([*grams.stages, weighted, Normalizer(inputCol="weighted", outputCol="tfidf"), VectorAssembler(inputCols=["tfidf", *extras], outputCol="vector")])
+
+
+def signal_model(rows: DataFrame, extras: list[str], most: int = 20_000, iterations: int = 20) -> PipelineModel:
+    """Fits rows(text, keep, type, extras): whether a signal is kept (0 or 1, null: not known) and its type (null: not known), as one pipeline that can be saved and loaded."""
+    rows = rows.where("text is not null")
+    vectors = smooth_vectors(rows, extras, most)
+    seen = vectors.transform(rows)
+    own = lambda name: dict(featuresCol="vector", predictionCol=f"{name}_prediction", probabilityCol=f"{name}_probability", rawPredictionCol=f"{name}_raw", weightCol="weight", maxIter=iterations, regParam=0.01)
+    names = StringIndexer(inputCol="type", outputCol="label", stringOrderType="alphabetAsc").fit(seen.where("type is not null"))
+    keep = LogisticRegression(**own("keep"), family="binomial").fit(balanced(seen.where("keep is not null").withColumn("label", F.col("keep").cast("double"))))
+    kind = LogisticRegression(**own("type"), family="multinomial").fit(balanced(names.transform(seen.where("type is not null"))))
+    return PipelineModel([*vectors.stages, keep, kind, IndexToString(inputCol="type_prediction", outputCol="type_label", labels=names.labels)])
+
+
+def classified(model: PipelineModel, rows: DataFrame, keep_threshold: float = 0.8, type_threshold: float = 0.6) -> DataFrame:
+    """The rows with what a fitted or loaded ``signal_model`` says: keep, keep_prob, keep_confidence, keep_confident, type_label, type_prob, type_confident, confidence. A null text is read as an empty one."""
+    said = model.transform(rows.withColumn("text", F.coalesce("text", F.lit(""))))
+    p, q = F.get(vector_to_array("keep_probability"), 1), F.array_max(vector_to_array("type_probability"))
+    sure = F.greatest(p, 1 - p)
+    own = [c for c in rows.columns if c not in ("keep", "keep_prob", "keep_confidence", "keep_confident", "type_label", "type_prob", "type_confident", "confidence")]
+    return said.select(
+        *own, (p >= 0.5).alias("keep"), p.alias("keep_prob"), sure.alias("keep_confidence"), (sure >= keep_threshold).alias("keep_confident"), "type_label", q.alias("type_prob"),
+        (q >= type_threshold).alias("type_confident"), F.least(sure, q).alias("confidence"),
+    )

@@ -50,3 +50,17 @@ def d17_elements(spark, d):
     """Articles and elements of a class that are in no other one, counted by page."""
     rows = X.elements(listed(E(spark, d)))
     return X.outermost(rows, (F.col("tag") == "article") | F.col("attributes")["class"].isNotNull()).groupBy(F.col("page").alias("page_id")).agg(F.count("*").alias("outermost"))
+
+
+@plan("x4_signal_predictions")
+def x4(spark, d):
+    """What a model of two questions says of every document: whether to keep it (learnt from labels of quality) and of which kind it is (learnt from its language), with its confidence."""
+    from tessera import ml
+
+    e = E(spark, d)
+    labels = e.table("labels").where("quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("keep"))
+    docs = e.docs.select("doc_id", "text", F.col("lang").alias("type"))
+    extras = ml.extra_features(F.coalesce("text", F.lit("")), F.lit("NEWS"), F.lit(False), F.lit(0))
+    rows = docs.withColumns(extras)
+    model = ml.signal_model(rows.join(labels, "doc_id", "left"), list(extras), most=2_000)
+    return ml.classified(model, rows).select("doc_id", "keep", "keep_confident", "type_label", "type_confident", F.round("confidence", 3).alias("confidence"))
