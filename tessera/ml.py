@@ -116,11 +116,12 @@ def signal_model(rows: DataFrame, extras: list[str], most: int = 20_000, iterati
     """Fits rows(text, keep, type, extras): whether a signal is kept (0 or 1, null: not known) and its type (null: not known), as one pipeline that can be saved and loaded."""
     rows = rows.where("text is not null")
     vectors = smooth_vectors(rows, extras, most)
-    seen = vectors.transform(rows)
+    seen = vectors.transform(rows).select("keep", "type", "vector").persist()  # read by both fits
     own = lambda name: dict(featuresCol="vector", predictionCol=f"{name}_prediction", probabilityCol=f"{name}_probability", rawPredictionCol=f"{name}_raw", weightCol="weight", maxIter=iterations, regParam=0.01)
     names = StringIndexer(inputCol="type", outputCol="label", stringOrderType="alphabetAsc").fit(seen.where("type is not null"))
     keep = LogisticRegression(**own("keep"), family="binomial").fit(balanced(seen.where("keep is not null").withColumn("label", F.col("keep").cast("double"))))
     kind = LogisticRegression(**own("type"), family="multinomial").fit(balanced(names.transform(seen.where("type is not null"))))
+    seen.unpersist()
     return PipelineModel([*vectors.stages, keep, kind, IndexToString(inputCol="type_prediction", outputCol="type_label", labels=names.labels)])
 
 

@@ -54,7 +54,7 @@ def d17_elements(spark, d):
 
 @plan("x4_signal_predictions")
 def x4(spark, d):
-    """What a model of two questions says of every document: whether to keep it (learnt from labels of quality) and of which kind it is (learnt from its language), with its confidence."""
+    """What a model of two questions says of every document: whether to keep it (learnt from labels of quality) and of which kind it is (learnt from its language), with its confidence. Learnt from the labelled documents, said of all."""
     from tessera import ml
 
     e = E(spark, d)
@@ -62,5 +62,5 @@ def x4(spark, d):
     docs = e.docs.select("doc_id", "text", F.col("lang").alias("type"))
     extras = ml.extra_features(F.coalesce("text", F.lit("")), F.lit("NEWS"), F.lit(False), F.lit(0))
     rows = docs.withColumns(extras)
-    model = ml.signal_model(rows.join(labels, "doc_id", "left"), list(extras), most=2_000)
+    model = ml.signal_model(rows.join(labels, "doc_id"), list(extras), most=2_000)
     return ml.classified(model, rows).select("doc_id", "keep", "keep_confident", "type_label", "type_confident", F.round("confidence", 3).alias("confidence"))
