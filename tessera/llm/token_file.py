@@ -24,10 +24,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import FIRST, UNSAFE, Memory, chunked, gathered
+from .bpe import UNSAFE
 from .common import parts, written
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -36,8 +37,11 @@ MAGIC = b"TCM2"
 LANES, STEPS, BLOCK = 4096, 1024, 1 << 23
 #: Bits of the order-2 table, highest confidence, bits of order 0's shares and of the orders' weights, and steps between recounts.
 SLOTS, SURE, ZERO, SHARE, EVERY = 19, 7, 18, 10, 64
-#: Chunks of a generation that a worker remembers, and how the vocabulary writes a space.
-CHUNKS, SPACE = 500_000, "\u0120"
+#: Pieces that a worker remembers, bytes from which on one is long, and bytes and rows of text that it encodes at once.
+PIECES, LONG, BYTES, ROWS = 1_000_000, 64, 24_000_000, 8192
+#: Kinds of bytes in UTF-8, 0 where the lead byte doesn't tell; a letter's further bytes take the kind of its first.
+LETTER, QUOTE, OTHER, WHITE, BLANK = 1, 2, 3, 4, 5
+KIND = np.array([(LETTER if chr(b).isalpha() else {"'": QUOTE, " ": BLANK}.get(chr(b), WHITE if chr(b).isspace() else OTHER)) if b < 128 else LETTER if 0xC3 <= b <= 0xC9 else 0 for b in range(256)], np.uint8)
 FULL, WHOLE = np.uint64(32), np.uint64(ZERO + SHARE)
 SCHEMA = "part int, row int, doc_ids array<long>, lengths array<int>, coded binary"
 
@@ -227,40 +231,107 @@ def decompress(data: bytes) -> np.ndarray:
     return out
 
 
+def pieces(texts: list[str]) -> tuple[pa.StringArray, np.ndarray]:
+    """Texts of plain characters cut where the vocabulary's pattern always starts a new piece and what stands before is split as if it ended there,
+    and each text's end among the pieces. Borders are: a space before what is no white space; an ASCII non-letter after a letter; a letter after an
+    ASCII non-letter but a space (it joins the letter), an apostrophe (of 's) and the second of two white spaces (the first would have joined it)."""
+    column = pa.array(texts, pa.string())
+    if not (total := int(pc.sum(pc.binary_length(column)).as_py() or 0)):
+        return pa.array([], pa.string()), np.zeros(len(texts), np.int64)
+    ends = np.frombuffer(column.buffers()[1], np.int32, len(texts) + 1).astype(np.int64)
+    data = np.frombuffer(column.buffers()[2], np.uint8, total)
+    kind = KIND[data]
+    signs = np.nonzero(data == 0xC3)[0]  # multiplication and division are no letters
+    kind[signs[np.isin(data[signs + 1], (0x97, 0xB7))]] = 0
+    tails = np.nonzero((data & 0xC0) == 0x80)[0]
+    kind[tails] = kind[tails - 1]
+    letter, white = kind == LETTER, kind >= WHITE
+    border = np.zeros(total, bool)
+    border[:-1] = (kind[:-1] == BLANK) & (kind[1:] != 0) & ~white[1:]
+    border[ends[1:][ends[1:] > 0] - 1] = False
+    border[1:] |= letter[:-1] & (kind[1:] > LETTER)
+    joins = letter[1:] & ((kind[:-1] == OTHER) | (kind[:-1] == WHITE))
+    joins[1:] &= ~(white[1:-1] & (white[:-2] | (kind[:-2] == 0)))
+    border[1:] |= joins
+    border[ends[:-1][ends[:-1] < total]] = True
+    at = np.append(np.nonzero(border)[0], total).astype(np.int32)
+    return pa.StringArray.from_buffers(len(at) - 1, pa.py_buffer(at), column.buffers()[2]), np.searchsorted(at, ends[1:])
+
+
+class Known:
+    """Pieces that a worker remembers with their ids, in flat arrays; past its bound, in pieces or in bytes of them, the half that was used last
+    stays, but for the long ones."""
+
+    def __init__(self, most: int):
+        self.most, self.now = most, 0
+        self.keys, self.flat = pa.array([], pa.string()), np.zeros(0, np.uint16)
+        self.size, self.used = np.zeros(0, np.int32), np.zeros(0, np.int32)
+
+    def all(self, values: pa.StringArray, learn) -> np.ndarray:
+        """The places of pieces; ``learn`` gives the ids of different ones not remembered."""
+        if len(self.keys) > self.most or self.keys.nbytes > 2 * LONG * self.most:
+            stay = np.sort(np.argsort(self.used, kind="stable")[-(self.most // 2) :])
+            stay = stay[pc.binary_length(self.keys.take(pa.array(stay))).to_numpy() <= LONG]
+            self.flat, self.keys = self.ids(stay), self.keys.take(pa.array(stay))
+            self.size, self.used = self.size[stay], self.used[stay]
+        self.now += 1
+        values = values.dictionary_encode()
+        different = values.dictionary
+        at = pc.index_in(different, value_set=self.keys).fill_null(-1).to_numpy(zero_copy_only=False).copy()
+        fresh = np.nonzero(at < 0)[0]
+        if len(fresh):
+            order, flat, size = learn(different.take(pa.array(fresh)).to_pylist())
+            fresh = fresh[order]
+            at[fresh] = len(self.keys) + np.arange(len(fresh), dtype=np.int32)
+            self.keys = pa.concat_arrays([self.keys, different.take(pa.array(fresh))])
+            self.flat, self.size = np.concatenate([self.flat, flat]), np.concatenate([self.size, size])
+            self.used = np.concatenate([self.used, np.zeros(len(fresh), np.int32)])
+        self.used[at] = self.now
+        return at[values.indices.to_numpy()]
+
+    def ids(self, index: np.ndarray) -> np.ndarray:
+        """The ids of the pieces at these places, joined."""
+        begin, n = np.cumsum(self.size) - self.size, self.size[index]
+        ends = np.cumsum(n)
+        return self.flat[np.repeat(begin[index] - (ends - n), n) + np.arange(int(n.sum()))]
+
+
 class Encoder:
-    """Encodes texts by the tokenizers library: each different chunk once, while the worker remembers it (those of the last two generations stay)."""
+    """Encodes texts by the tokenizers library: each different piece once, while the worker remembers it."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.library, self.memory = Tokenizer.from_file(path), Memory(CHUNKS)
-        vocabulary = self.library.get_vocab()
-        self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.spaced[[i for t, i in vocabulary.items() if t[0] == SPACE]] = True
-
-    def ids_of(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u2").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def learn(self, fresh: list[str]) -> list[bytes]:
-        """Ids of chunks. Those that follow a space are encoded some hundred at once, and told apart by that space."""
-        inner = [x for x in fresh if x and x[0] != FIRST and " " not in x]
-        packed = b"".join(self.ids_of(["".join([" " + x for x in inner[i : i + 100]]) for i in range(0, len(inner), 100)]))
-        at = [*(2 * np.nonzero(self.spaced[np.frombuffer(packed, "<u2")])[0]).tolist(), len(packed)]
-        if len(at) != len(inner) + 1:
-            raise ValueError("a chunk has another number of spaces than one")
-        found = {x: packed[i:j] for x, i, j in zip(inner, at, at[1:])}
-        rest = [x for x in fresh if x not in found]
-        found.update(zip(rest, self.ids_of([x[1:] if x[:1] == FIRST else " " + x for x in rest])))
-        return [found[x] for x in fresh]
+        self.library, self.known = Tokenizer.from_file(path), Known(PIECES)
+        (self.line,) = self.library.encode("\n", add_special_tokens=False).ids
+
+    def ids_of(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint16) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, fresh: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """An order of pieces, and in that order their ids, joined, and how many each has. Words are encoded some hundred at once, and told apart by
+        the line ends between them."""
+        word = np.array([x.isalpha() or x[:1] == " " and x[1:].isalpha() for x in fresh], bool)
+        words, rest = [x for x, w in zip(fresh, word) if w], [x for x, w in zip(fresh, word) if not w]
+        lines = self.ids_of(["\n".join(words[i : i + 100]) + "\n" for i in range(0, len(words), 100)])
+        packed = np.concatenate([*lines, np.zeros(0, np.uint16)])
+        ends, others = np.nonzero(packed == self.line)[0], self.ids_of(rest)
+        if len(ends) != len(words):
+            raise ValueError("a word holds a line's end")
+        size = np.append(np.diff(ends, prepend=-1) - 1, np.array([len(x) for x in others], np.int64))
+        return np.argsort(~word, kind="stable"), np.concatenate([packed[packed != self.line], *others]), size.astype(np.int32)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of texts as little-endian 16-bit integers."""
         odd = [bool(t) and (UNSAFE.search(t) is not None or "<|endoftext|>" in t) for t in texts]
-        index, different, counts = chunked([t or "" for t, o in zip(texts, odd) if not o])
-        plain = iter(gathered(index, self.memory.all(different, self.learn), counts, 2))
+        values, last = pieces([t or "" for t, o in zip(texts, odd) if not o])
+        index = self.known.all(values, self.learn)
+        ends = np.append(0, np.cumsum(self.known.size[index], dtype=np.int64))[last] * 2
+        raw = self.known.ids(index).astype("<u2").tobytes()
+        plain = iter([raw[i:j] for i, j in zip([0, *ends.tolist()], ends.tolist())])
         whole = iter(self.ids_of([t for t, o in zip(texts, odd) if o]))
-        return [next(whole if o else plain) for o in odd]
+        return [next(whole).astype("<u2").tobytes() if o else next(plain) for o in odd]
 
 
 @lru_cache(2)
@@ -284,7 +355,7 @@ def packed(path: str | None, end_id: int):
             return pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(got, (pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()))], names=["part", "row", "doc_ids", "lengths", "coded"])
 
         for b in batches:
-            for part_of in parts(b, 8_000_000, 8192):
+            for part_of in parts(b, BYTES, ROWS):
                 for key, ids in zip(part_of.column(0).to_pylist(), library.encode(part_of.column(1).to_pylist())):
                     docs.append((key, len(ids) // 2 + 1))
                     held += [ids, end]

@@ -190,6 +190,44 @@ def test_token_file_chunks_match_library(texts):
     assert e.encode(rows) == want == e.encode(rows)
 
 
+def test_token_file_words_are_encoded_once_whatever_stands_around_them():
+    e, sent = token_file.Encoder(P.path("byte_bpe_50k.json")), []
+    ids_of = e.ids_of
+    e.ids_of = lambda xs: sent.extend(xs) or ids_of(xs)
+    rows = [f"x {w}{b}{c}{w}{d}" for w in ("alphabetic", "Wörterbuch", "señal") for b in ("", ",", ".", "%%%", "'s") for c in (" ", "\n") for d in ("", ".", "!", " ", "  ")]
+    want = [np.array(e.library.encode(t, add_special_tokens=False).ids, "<u2").tobytes() for t in rows]
+    assert e.encode(rows) == want
+    words = [x for s in sent for x in s.split("\n")]
+    assert all(sum(w in x for x in words) == 2 for w in ("alphabetic", "Wörterbuch", "señal"))  # with and without a space
+    sent.clear()
+    assert e.encode(rows[::-1]) == want[::-1] and not any(sent)
+
+
+def test_token_file_pieces_keep_the_patterns_borders():
+    split = token_file.Encoder(P.path("byte_bpe_50k.json")).library.pre_tokenizer.pre_tokenize_str
+    r, signs = random.Random(9), "ab  \n\t's.\xa0é×ª±7"
+    rows = ["", "\xa0\nT", "a  ", " ", *("".join(r.choices(signs, k=r.randrange(9))) for _ in range(20_000))]
+    values, ends = token_file.pieces(rows)
+    values, at = values.to_pylist(), 0
+    for t, end in zip(rows, ends.tolist()):
+        own, at = values[at:end], end
+        assert "".join(own) == t and [p for x in own for p, _ in split(x)] == [p for p, _ in split(t)], t
+
+
+def test_token_file_memory_is_bounded(monkeypatch):
+    monkeypatch.setattr(token_file, "PIECES", 50)
+    e, r, seen = token_file.Encoder(P.path("byte_bpe_50k.json")), random.Random(8), []
+    for _ in range(40):
+        rows = [" ".join("".join(r.choices("abcdé,.'\n", k=3)) for _ in range(r.randrange(6))) for _ in range(4)]
+        assert e.encode(rows) == [np.array(e.library.encode(t, add_special_tokens=False).ids, "<u2").tobytes() for t in rows]
+        seen.append(len(e.known.keys))
+    assert max(seen) < 120 and sum(b < a for a, b in zip(seen, seen[1:])) > 3
+    for i in range(20):
+        rows = ["short " + "abcdefghij"[i % 10] * (9000 + i)]
+        assert e.encode(rows) == [np.array(e.library.encode(t, add_special_tokens=False).ids, "<u2").tobytes() for t in rows]
+        assert e.known.keys.nbytes < 20_000
+
+
 def test_token_file_ties_and_very_long_texts(spark):
     rows = [(5, "b"), (5, "a"), (5, "a"), (None, "n"), (5, None), (7, "long text, " * 400_000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("coded", F.lit("clash"))
