@@ -239,6 +239,7 @@ def j28(spark, d):
     name = F.when(i % 5 == 0, F.concat("name", F.lit(" SGR"))).when(i % 5 == 1, F.col("slug")).when(i % 5 == 2, F.concat(F.lit("www "), "name", F.lit(" partners"))).when(i % 5 == 3, F.left("name", F.lit(12))).otherwise(F.concat(F.lit("nobody"), i))
     x = named.select("doc_id", bare(name).alias("u"))
     y = funds.select("fund_id", bare(F.col("name")).alias("n"), F.replace("slug", F.lit("-"), F.lit("")).alias("s"))
-    equal = x.join(y.select("fund_id", F.explode(F.array_distinct(F.array("n", "s"))).alias("u")), "u").select("doc_id", "fund_id")
-    held = M.substring_pairs(x.where(F.char_length("u") >= 4), y.where(F.char_length("n") >= 4), "doc_id", "fund_id", "u", "n")
+    first = y.select("fund_id", F.explode(F.array_distinct(F.array("n", "s"))).alias("u")).groupBy("u").agg(F.min("fund_id").alias("fund_id"))
+    equal = x.join(first, "u").select("doc_id", "fund_id")
+    held = M.first_held(x.where(F.char_length("u") >= 4), y.where(F.char_length("n") >= 4), "doc_id", "fund_id", "u", "n")
     return equal.unionByName(held).groupBy("doc_id").agg(F.min("fund_id").alias("fund_id"))
