@@ -108,46 +108,112 @@ def greedy_merge(df: DataFrame, id_: str, keys: Sequence[str], order: Sequence[C
     return df.join(kept, id_)
 
 
+#: Rows of a scope that tell which words are rare.
+LOOKED_AT = 4096
+
+
 def greedy_similar(
     df: DataFrame, scope: Sequence[str], id_: str, words: str, all_words: str, at: str, order: Sequence[Column], near: Sequence[tuple[float, float]] = ((3, 0.4), (7, 0.5)), unknown: float = 0.6,
     native: str | None = None, whole_days: bool = False,
 ) -> DataFrame:
     """Rows kept by greedy similarity within a scope. A row with fewer than three words passes and suppresses nothing; others go if a kept
-    one shares enough words within enough days. Kept rows are looked up by word, so only those with a common word are compared.
+    one shares enough words within enough days.
 
     With ``native``, ``words`` are the native ones mapped to one language: the larger of both overlaps counts, over the smaller native set.
-    ``whole_days`` rounds the difference, kept row's time taken from the row's, down to days before its sign is dropped."""
+    ``whole_days`` rounds the difference, kept row's time taken from the row's, down to days before its sign is dropped.
+
+    Two rows whose smaller set has n words must share two of its n - k + 2 rarest, k being the least number of common words that the lowest overlap asks for, or one if k
+    is 1. So kept rows are looked up by the rarest words of the smaller of both and compared when a second one leads to them; frequent words bring few of them. Which words
+    are rare is told by the scope's first rows; any order of words gives the same result."""
+    low = min(unknown, *(r for _, r in near))
 
     def fold(rows: Iterable[tuple]) -> Iterator[tuple]:
-        kept, by_word = [], ({}, {})
-        for i, ws, every, t, own in rows:
-            sets = (set(ws or ()), set(own or ()) if native else set())
-            base = sets[1] if native else sets[0]
-            if len(every or ()) < 3 or not base:
+        from array import array
+        from collections import Counter
+        from itertools import chain, islice
+
+        rows = iter(rows)
+        first = list(islice(rows, LOOKED_AT))
+        counts = Counter(w for _, ws, _, _, own in first for w in {*(ws or ()), *(own or ())})
+        # Numbers in order of rarity: those of words not seen in the first rows are negative.
+        number = {w: n for n, (w, _) in enumerate(sorted(counts.items(), key=lambda x: x[1]))}
+        sizes, times, sets, natives = [], [], [], []
+        # Kept rows by their rarest words, by their other words, and those of which one common word is enough.
+        rare: dict[int, list[int]] = {}
+        others: dict[int, list[int]] = {}
+        single: dict[int, list[int]] = {}
+
+        def numbers(ws: Iterable) -> list[int]:
+            out = set()
+            for w in ws:
+                n = number.get(w)
+                if n is None:
+                    n = number[w] = -1 - len(number)
+                out.add(n)
+            return sorted(out)
+
+        for i, ws, few, t, own in chain(first, rows):
+            side = numbers(ws or ())
+            mine = side if own is None else numbers(own)
+            size = len(mine)
+            if few or not size:
                 yield (i,)
                 continue
-            common: dict = {}
-            for side, index in zip(sets, by_word):
-                counts: dict = {}
-                for w in side:
-                    for k in index.get(w, ()):
-                        counts[k] = counts.get(k, 0) + 1
-                for k, n in counts.items():
-                    common[k] = max(common.get(k, 0), n)
-            gone = False
-            for k, n in common.items():
-                size, other = kept[k]
-                ratio = n / min(len(base), size)
-                days = None if t is None or other is None else abs((t - other).days) if whole_days else abs((t - other).total_seconds()) / 86400
-                if (days is None and ratio >= unknown) or (days is not None and any(days <= limit and ratio >= r for limit, r in near)):
-                    gone = True
-                    break
+            words_of, native_of = set(side), None if own is None else set(mine)
+            one = low * size - 1e-9 <= 1
+            most = max(-int(-(low * size - 1e-9) // 1) - 2, 0)
+            ahead = set(side[: max(len(side) - most, 0)])
+            if native_of is not None:
+                ahead.update(mine[: max(len(mine) - most, 0)])
+
+            def similar(k: int) -> bool:
+                other = times[k]
+                if t is None or other is None:
+                    least = unknown
+                else:
+                    days = abs((t - other).days) if whole_days else abs((t - other).total_seconds()) / 86400
+                    least = min((r for limit, r in near if days <= limit), default=None)
+                    if least is None:
+                        return False
+                n = len(words_of.intersection(sets[k]))
+                if native_of is not None or natives[k] is not None:
+                    n = max(n, len((words_of if native_of is None else native_of).intersection(sets[k] if natives[k] is None else natives[k])))
+                return n / min(size, sizes[k]) >= least
+
+            once: set[int] = set()
+            looked: set[int] = set()
+
+            def led_to(w: int) -> Iterator[int]:
+                yield from single.get(w, ())
+                for index in (rare, others) if w in ahead else (rare,):
+                    if ks := index.get(w):
+                        if one:
+                            yield from ks
+                        else:
+                            yield from once.intersection(ks)
+                            once.update(ks)
+
+            def met(w: int) -> bool:
+                for k in led_to(w):
+                    if k not in looked:
+                        looked.add(k)
+                        if similar(k):
+                            return True
+                return False
+
+            every = side if native_of is None else sorted(words_of | native_of)
+            gone = any(met(w) for w in every)
             if not gone:
-                for side, index in zip(sets, by_word):
-                    for w in side:
-                        index.setdefault(w, []).append(len(kept))
-                kept.append((len(base), t))
+                k = len(sizes)
+                for w in every:
+                    (single if one else rare if w in ahead else others).setdefault(w, []).append(k)
+                sizes.append(size)
+                times.append(t)
+                sets.append(array("i", side))
+                natives.append(None if own is None else array("i", mine))
                 yield (i,)
 
-    kept = fold_scopes(df.withColumn("_own", F.col(native) if native else F.lit(None).cast("array<string>")), scope, order, [id_, words, all_words, at, "_own"], f"{id_} long", fold)
+    own = F.when(~F.sort_array(native).eqNullSafe(F.sort_array(words)), F.coalesce(native, F.array().cast("array<string>"))) if native else F.lit(None).cast("array<string>")
+    x = df.withColumns({"_own": own, "_few": F.coalesce(F.size(all_words), F.lit(0)) < 3})
+    kept = fold_scopes(x, scope, order, [id_, words, "_few", at, "_own"], f"{id_} long", fold)
     return df.join(kept, id_, "left_semi")

@@ -372,3 +372,22 @@ def test_distinct_names_are_whole(spark, data):
         want.setdefault(r.user_id % 10, set()).add(r.event_id % 200)
     rows = {r.fund_id: r.names for r in QUERIES["u2_distinct_names_whole"](spark, data).collect()}
     assert rows == {f: sorted(ids) for f, ids in want.items()} and max(max(x) for x in rows.values()) >= 50
+
+
+def test_greedy_similar_against_plain_python(spark, monkeypatch):
+    """Words of very different frequency, sets of 1 to 30, and few first rows that tell which words are rare."""
+    monkeypatch.setattr(dedup, "LOOKED_AT", 5)
+    r = random.Random(3)
+    word = lambda: f"w{int(400 * r.random() ** 3)}"
+    day = dt.datetime(2024, 1, 1)
+    rows = []
+    for i in range(700):
+        own = {word() for _ in range(r.randint(0, r.choice([3, 30])))}
+        if i % 3 == 0 and rows:
+            own = {w for w in r.choice(rows)[2] if r.random() < 0.8} | {word()}
+        mapped = {w if len(w) > 3 else "w" + w[1] for w in own} if i % 2 else own
+        rows.append((i, r.choice("fg"), own, mapped, len(own) + i % 2, r.randint(0, 5), None if i % 6 == 0 else day + dt.timedelta(hours=r.randint(0, 700))))
+    df = spark.createDataFrame([(i, s, sorted(o), sorted(m), ["x"] * n, q, t) for i, s, o, m, n, q, t in rows], "id long, s string, native array<string>, mapped array<string>, every array<string>, q int, at timestamp")
+    got = dedup.greedy_similar(df, ["s"], "id", "mapped", "every", "at", [F.desc("q"), F.col("id")], native="native", whole_days=True)
+    wanted = plain_survivors(rows)
+    assert sorted(x.id for x in got.collect()) == wanted and 50 < len(wanted) < 650
