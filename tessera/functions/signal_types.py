@@ -319,14 +319,28 @@ def sought(items) -> set[str]:
 NUMBERS = {name: i for i, name in enumerate(PATTERNS)}
 
 
+def longest_of(words: Iterable[str]) -> str:
+    """A pattern that matches the longest of the words that begin at a place: alternatives part at single characters, so each is read once."""
+    after: dict[str, list[str]] = {}
+    for w in sorted(set(words)):
+        if w:
+            after.setdefault(w[0], []).append(w[1:])
+    branches = [re.escape(c) + longest_of(rest) for c, rest in after.items()]
+    return f"(?:{'|'.join(branches)})" + ("?" if "" in words else "") if branches else ""
+
+
 def worth_trying(field: Column, patterns: Iterable[str]) -> Column:
-    """The numbers of those patterns of which a field holds a needle."""
-    of: dict[str, list[int]] = {}
+    """The numbers of those patterns of which a field holds a needle. All needles are looked for in one pass: at each place the longest is found, and
+    it stands for those that it begins with."""
+    of: dict[str, set[int]] = {}
     for p in dict.fromkeys(patterns):
         for n in needles(p):
-            of.setdefault(n, []).append(NUMBERS[p])
-    known = F.create_map(*(x for n in sorted(of) for x in (F.lit(n), F.array(*map(F.lit, of[n])))))
-    return F.flatten(F.transform(F.filter(F.array(*map(F.lit, sorted(of))), lambda n: F.contains(field, n)), lambda n: known[n]))
+            of.setdefault(n, set()).add(NUMBERS[p])
+    if not of:
+        return F.array().cast("array<int>")
+    known = F.create_map(*(x for n in sorted(of) for x in (F.lit(n), F.array(*map(F.lit, sorted(set().union(*(of[n[:k]] for k in range(1, len(n) + 1) if n[:k] in of))))))))
+    found = F.array_distinct(F.regexp_extract_all(field, F.lit(f"(?s)(?=({longest_of(of)}))"), 1))
+    return F.array_distinct(F.flatten(F.transform(found, lambda n: known[n])))
 
 
 def fact(pattern: str, field: Column, tried: Column) -> Column:

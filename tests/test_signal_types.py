@@ -113,3 +113,21 @@ def test_held_news(spark):
     rows = [("other", "Portfolio company Beta opens new office"), ("other", "Backed by Alfa, Beta expands into Spain"), ("exit_announced", "Portfolio company news"), ("other", "Generic news about prices"), ("partnership", None), (None, "Portfolio company news")]
     got = [r.held for r in S.held_news(spark.createDataFrame(rows, "type string, text string")).collect()]
     assert got == ["portfolio_update", "portfolio_update", None, None, None, None]
+
+
+def test_needles_in_one_pass(spark):
+    """Patterns worth trying, against a search for each needle: overlapping needles, ones that others begin with, signs, letters of other scripts."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from tessera.functions import signal_types as S
+
+    r = random.Random(1)
+    needles = sorted({n for p in S.PATTERNS for n in S.needles(p)})
+    texts = ["", "€🙂\nà", *needles, *("".join(r.choice([n, n[:-1], n[1:], " ", "é🙂", "\n"]) for n in r.sample(needles, 12)) for _ in range(300))]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", S.worth_trying(F.col("t"), list(S.PATTERNS)).alias("x")).collect()
+    for row in got:
+        assert set(row.x) == {S.NUMBERS[p] for p in S.PATTERNS if any(n in texts[row.i] for n in S.needles(p))} and len(set(row.x)) == len(row.x)
+    plan = spark.range(1).select(S.worth_trying(F.col("id").cast("string"), list(S.PATTERNS)).alias("x"))._jdf.queryExecution().analyzed().toString()
+    assert "contains(" not in plan.lower()  # no search for each needle
