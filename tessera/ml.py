@@ -103,26 +103,39 @@ def signal_vectors(rows: DataFrame, extras: list[str], most: int = 20_000, least
 def smooth_vectors(rows: DataFrame, extras: list[str], most: int = 20_000, least: float = 2.0, share: float = 0.95) -> PipelineModel:
     """``signal_vectors`` with smoothed weights and unit length: a gram weighs its count times ln((1 + texts) / (1 + texts with it)) + 1, and a text's weights are
     divided by their length; the numbers of ``extras`` follow as they are. All stages are Spark's own, so the model can be saved, loaded and put into other pipelines."""
-    grams = Pipeline(stages=[
+    grams = gram_counts(rows, most, least, share)
+    return PipelineModel([*grams.stages, *smoothed(grams.transform(rows), extras)])
+
+
+def gram_counts(rows: DataFrame, most: int, least: float = 2.0, share: float = 0.95) -> PipelineModel:
+    """Fits the counts of rows(text)'s words and pairs; column ``tf``."""
+    return Pipeline(stages=[
         RegexTokenizer(inputCol="text", outputCol="words", pattern=r"[a-z0-9à-öø-ÿ']{2,}", gaps=False), NGram(n=2, inputCol="words", outputCol="pairs"),
         SQLTransformer(statement="SELECT *, concat(words, pairs) AS grams FROM __THIS__"), CountVectorizer(inputCol="grams", outputCol="tf", vocabSize=most, minDF=least, maxDF=share),
     ]).fit(rows)
-    weights = IDF(inputCol="tf", outputCol="_").fit(grams.transform(rows)).idf.toArray() + 1
+
+
+def smoothed(counted: DataFrame, extras: list[str]) -> list:
+    """Fits what follows the counts of rows(tf, extras): smoothed weights, unit length, the numbers of ``extras`` behind them."""
+    weights = IDF(inputCol="tf", outputCol="_").fit(counted).idf.toArray() + 1
     weighted = ElementwiseProduct(scalingVec=Vectors.dense(weights), inputCol="tf", outputCol="weighted")
-    return PipelineModel([*grams.stages, weighted, Normalizer(inputCol="weighted", outputCol="tfidf"), VectorAssembler(inputCols=["tfidf", *extras], outputCol="vector")])
+    return [weighted, Normalizer(inputCol="weighted", outputCol="tfidf"), VectorAssembler(inputCols=["tfidf", *extras], outputCol="vector")]
 
 
 def signal_model(rows: DataFrame, extras: list[str], most: int = 20_000, iterations: int = 20) -> PipelineModel:
     """Fits rows(text, keep, type, extras): whether a signal is kept (0 or 1, null: not known) and its type (null: not known), as one pipeline that can be saved and loaded."""
     rows = rows.where("text is not null")
-    vectors = smooth_vectors(rows, extras, most)
-    seen = vectors.transform(rows).select("keep", "type", "vector").persist()  # read by both fits
+    grams = gram_counts(rows, most)
+    # Texts are read twice, for the vocabulary and for these counts; the weights and both fits read the counts.
+    counted = grams.transform(rows).select("keep", "type", "tf", *extras).persist()
+    ends = smoothed(counted, extras)
+    seen = PipelineModel(ends).transform(counted).select("keep", "type", "vector")
     own = lambda name: dict(featuresCol="vector", predictionCol=f"{name}_prediction", probabilityCol=f"{name}_probability", rawPredictionCol=f"{name}_raw", weightCol="weight", maxIter=iterations, regParam=0.01)
     names = StringIndexer(inputCol="type", outputCol="label", stringOrderType="alphabetAsc").fit(seen.where("type is not null"))
     keep = LogisticRegression(**own("keep"), family="binomial").fit(balanced(seen.where("keep is not null").withColumn("label", F.col("keep").cast("double"))))
     kind = LogisticRegression(**own("type"), family="multinomial").fit(balanced(names.transform(seen.where("type is not null"))))
-    seen.unpersist()
-    return PipelineModel([*vectors.stages, keep, kind, IndexToString(inputCol="type_prediction", outputCol="type_label", labels=names.labels)])
+    counted.unpersist()
+    return PipelineModel([*grams.stages, *ends, keep, kind, IndexToString(inputCol="type_prediction", outputCol="type_label", labels=names.labels)])
 
 
 def classified(model: PipelineModel, rows: DataFrame, keep_threshold: float = 0.8, type_threshold: float = 0.6) -> DataFrame:

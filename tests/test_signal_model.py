@@ -43,3 +43,19 @@ def test_saved_and_loaded(spark, tmp_path):
     assert [said[i].keep for i in range(6)] == [True] * 3 + [False] * 3 and [said[i].type_label for i in range(6)] == ["deal"] * 3 + ["job"] * 3
     for r in said.values():
         assert r.keep == (r.keep_prob >= 0.5) and r.keep_confidence == max(r.keep_prob, 1 - r.keep_prob) and r.confidence == min(r.keep_confidence, r.type_prob) and r.keep_confident and r.type_confident
+
+
+def test_texts_are_read_twice(spark):
+    """Once for the vocabulary and once for the counts, which the weights and both fits share; the model's weights are those of ``smooth_vectors``."""
+    from pyspark.sql import functions as F
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(text):
+        seen.add(1)
+        return text
+
+    rows = rows_of(spark).withColumn("text", F.udf(counted, "string").asNondeterministic()("text"))
+    model = ml.signal_model(rows, ["size"])
+    assert seen.value == 2 * len(TEXTS)
+    assert model.stages[4].getScalingVec() == ml.smooth_vectors(rows_of(spark), ["size"]).stages[4].getScalingVec()
